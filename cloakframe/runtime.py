@@ -46,9 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL_DIR: str | None = None
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, lineage cut, safe against lost executors."""
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """df as a table in the shared folder: computed once, lineage cut, safe against lost executors.
+
+    few: rows are small, so they are dealt anew into as few files as their bytes need.
+    The shuffle files of earlier tables go when the driver's JVM drops what points to them, so it is asked to.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cloakframe/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if few else df).write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
