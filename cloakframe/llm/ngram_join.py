@@ -13,6 +13,7 @@ is lost, and a large group of near copies is not expanded into its pairs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,6 +166,35 @@ def _pairs_of(c: np.ndarray, n: np.ndarray, percent: int, label: np.ndarray | No
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
+class _Pairs:
+    """Distinct pairs, kept distinct as they come: many tokens of a shared passage name the same ones."""
+
+    def __init__(self):
+        self.held, self.size, self.lists = [np.zeros((0, 2), np.int64)], 0, set()
+
+    def first(self, members: np.ndarray) -> bool:
+        """Is this list of classes new? (Tokens that stand side by side mostly have the same list.)"""
+        g = hashlib.blake2b(members.tobytes(), digest_size=12).digest()
+        if g in self.lists:
+            return False
+        self.lists.add(g)
+        return True
+
+    def add(self, p: np.ndarray) -> None:
+        self.held.append(p)
+        self.size += len(p)
+        if self.size > 500_000:
+            self.held = [self.distinct()]
+            self.size = 0
+
+    def distinct(self) -> np.ndarray:
+        p = np.concatenate(self.held)
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        if len(p):
+            p = p[np.concatenate([[True], (p[1:] != p[:-1]).any(1)])]
+        return p
+
+
 def _candidates(percent: int, small: int, leaders: int):
     """kind 0: candidate pairs (a, b). kind 1: (a=token, b=class, n) of the lists that are longer than small."""
 
@@ -181,21 +211,22 @@ def _candidates(percent: int, small: int, leaders: int):
             t, c, n = t[keep], c[keep], n[keep]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
         length = np.diff(np.append(first, len(t)))
-        pairs, large = [], []
+        pairs, large = _Pairs(), []
         two = first[length == 2]
         ok = 100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1])
-        pairs.append(np.stack([c[two], c[two + 1]], 1)[ok])
+        pairs.add(np.stack([c[two], c[two + 1]], 1)[ok])
         for f, m in zip(first[length > 2], length[length > 2]):
             x, y = c[f : f + m], n[f : f + m]
+            if not pairs.first(x):
+                continue
             if m <= small:
-                pairs.append(_pairs_of(x, y, percent))
+                pairs.add(_pairs_of(x, y, percent))
                 continue
             large.append((f, m))
             for lead in np.argsort(mix(x.view(U)))[:leaders]:
                 o = x[(x != x[lead]) & (100 * np.minimum(y, y[lead]) >= percent * np.maximum(y, y[lead]))]
-                pairs.append(np.stack([np.minimum(o, x[lead]), np.maximum(o, x[lead])], 1))
-        p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        p = np.unique(p, axis=0) if len(p) else p
+                pairs.add(np.stack([np.minimum(o, x[lead]), np.maximum(o, x[lead])], 1))
+        p = pairs.distinct()
         yield _batch(0, p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
         for f, m in large:
             yield _batch(1, t[f : f + m].view(np.int64), c[f : f + m], n[f : f + m])
@@ -208,10 +239,30 @@ def _batch(kind: int, a, b, n) -> pa.RecordBatch:
 
 
 def _crossing(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        c, n, label = (table.column(x).to_numpy() for x in ("b", "n", "label"))
-        p = _pairs_of(c, n, percent, label)
-        return pa.table({"a": p[:, 0], "b": p[:, 1]})
+    """The pairs of different components in each token's list; rows come sorted by token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, part = _Pairs(), []
+
+        def close() -> None:
+            c, n, label = (np.concatenate([p[i] for p in part]) for i in (1, 2, 3))
+            at = np.argsort(c, kind="stable")
+            if pairs.first(c[at]):
+                pairs.add(_pairs_of(c[at], n[at], percent, label[at]))
+
+        for b in batches:
+            cols = [b.column(i).to_numpy() for i in range(4)]
+            cuts = np.flatnonzero(np.diff(cols[0])) + 1
+            for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+                if part and i < j and part[0][0][0] != cols[0][i]:
+                    close()
+                    part = []
+                if i < j:
+                    part.append([x[i:j] for x in cols])
+        if part:
+            close()
+        p = pairs.distinct()
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
     return run
 
@@ -226,29 +277,23 @@ def _own_text(k: int):
 
 
 def _verify(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-
-        def sets(ids: list[int], texts: pa.Array) -> list[np.ndarray]:
-            need = {}
-            for i, g in enumerate(ids):
-                if g not in kept and g not in need:
-                    need[g] = i
-            got = dict(zip(need, shingle_sets(texts.take(pa.array(list(need.values()), pa.int64())), k)))
-            here = [kept.get(g, got.get(g)) for g in ids]
-            for g, s in got.items():
-                if len(kept) >= 256:
-                    kept.pop(next(iter(kept)))
-                kept[g] = s
-            return here
+    """Rows (x, y, a, b, text) sorted by block pair (x, y), there the texts (of class a, b null) before the pairs."""
 
-        for b in batches:
-            x = [b.column(i).to_pylist() for i in (0, 1)]
-            for i in range(0, b.num_rows, 256):
-                a, c = x[0][i : i + 256], x[1][i : i + 256]
-                sa, sc = sets(a, b.column(2).slice(i, 256)), sets(c, b.column(3).slice(i, 256))
-                ok = [similar(p, q, percent) for p, q in zip(sa, sc)]
-                yield pa.RecordBatch.from_arrays([pa.array([v for v, o in zip(y, ok) if o], pa.int64()) for y in (a, c)], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets = None, {}
+        for batch in batches:
+            x, y, a, b = (batch.column(i).to_pylist() for i in range(4))
+            own = shingle_sets(batch.column(4), k)
+            left, right = [], []
+            for u, v, c, d, s in zip(x, y, a, b, own):
+                if (u, v) != at:
+                    at, sets = (u, v), {}
+                if d is None:
+                    sets[c] = s
+                elif c in sets and d in sets and similar(sets[c], sets[d], percent):
+                    left.append(c)
+                    right.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -269,7 +314,7 @@ def ngram_jaccard_join(
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = written(docs.mapInArrow(_scan(k), "kind int, doc_id long, n long, sig long"), "scan")
+    scanned = written(docs.mapInArrow(_scan(k), "kind int, doc_id long, n long, sig long"), "scan", few=True)
     ids = scanned.where("kind = 0").select("doc_id", "n", "sig")
 
     counts = scanned.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).where("n > 4")
@@ -282,19 +327,25 @@ def ngram_jaccard_join(
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = docs.mapInArrow(_postings(k, percent, hot, 4 * parts), "bucket int, blob binary")
-    found = written(postings.repartition(parts, "bucket").mapInArrow(_candidates(percent, small, leaders), "kind int, a long, b long, n long"), "candidates")
+    postings = postings.repartition(parts, "bucket").mapInArrow(_candidates(percent, small, leaders), "kind int, a long, b long, n long")
+    found = written(postings, "candidates", few=True)
+    del postings
 
     reps = ids.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     pairs = found.where("kind = 0").select("a", "b").distinct()
-    links = _verified(docs, reps, pairs, k, percent)
-    stars = connected_components(links)
     large = found.where("kind = 1")
+    ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).unionAll(large.select(F.col("b").alias("sig")))
+    texts = _texts(docs, reps, ends, k)
+    leader = pairs.select(F.col("a").alias("sig"), F.col("a").alias("token")).unionAll(pairs.select(F.col("b").alias("sig"), F.col("a").alias("token")))
+    links = _verified(texts, pairs, leader.groupBy("sig").agg(F.min("token").alias("token")), k, percent)
+    stars = connected_components(links)
     label = large.join(stars.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n", F.coalesce("component", "b").alias("label"))
     contested = label.groupBy("a").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("a")
-    crossing = label.join(contested, "a").groupBy("a").applyInArrow(_crossing(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    lists = written(label.join(contested, "a").select("a", "b", "n", "label"), "contested")
+    crossing = lists.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_crossing(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     crossing = written(crossing, "crossing")
     if not crossing.isEmpty():
-        links = links.unionAll(_verified(docs, reps, crossing, k, percent))
+        links = links.unionAll(_verified(texts, crossing, lists.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("token")), k, percent))
         stars = connected_components(links)
     # from classes to documents: the smallest doc_id of the component's classes
     classes = reps.join(stars.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("star"))
@@ -304,13 +355,24 @@ def ngram_jaccard_join(
     return out.unionAll(ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of classes whose sets reach the similarity, as a written table (a, b)."""
-    ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = ends.join(reps, "sig")
-    texts = docs.join(wanted, "doc_id").select("sig", "text").mapInArrow(_own_text(k), "sig long, text string")
-    texts = written(texts, "texts")
-    both = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b"
-    )
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long"), "links")
+def _texts(docs: DataFrame, reps: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(sig, text) of the classes, from one document of each, as a written table."""
+    texts = docs.join(classes.distinct().join(reps, "sig"), "doc_id").select("sig", "text")
+    return written(texts.mapInArrow(_own_text(k), "sig long, text string"), "texts")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, place: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of classes whose sets reach the similarity, as a written table (a, b).
+
+    place gives each class (sig) a token that many of its partners have too. Classes of one token are cut into
+    blocks of about 64, and a class's text travels once to each pair of blocks that has a candidate of it.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = place.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / 64).alias("cuts"))
+    block = place.join(many, "token").select("sig", F.xxhash64("token", F.pmod(F.xxhash64("sig"), "cuts")).alias("block"))
+    keyed = pairs.join(block.select(F.col("sig").alias("a"), F.col("block").alias("x")), "a").join(block.select(F.col("sig").alias("b"), F.col("block").alias("y")), "b")
+    keyed = written(keyed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b"), "blocks")
+    need = keyed.select("x", "y", F.col("a").alias("sig")).unionAll(keyed.select("x", "y", F.col("b").alias("sig"))).distinct()
+    rows = need.join(texts, "sig").select("x", "y", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = rows.unionAll(keyed.select("x", "y", "a", "b", F.lit("").alias("text"))).repartition(parts, "x", "y").sortWithinPartitions("x", "y", F.asc_nulls_first("b"))
+    return written(rows.mapInArrow(_verify(k, percent), "a long, b long"), "links", few=True)
