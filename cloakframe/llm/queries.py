@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +58,48 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakframe.llm.bpe import bpe_round_trip
 
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.linear import fold
+    from cloakframe.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    return score_quality(docs, model).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.secrets import with_secrets
+
+    found = with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("secrets").alias("s"))
+    return found.select("doc_id", F.col("s.start").alias("start"), F.length("s.value").alias("n_chars"), F.sha2("s.value", 256).alias("secret_sha256"), F.col("s.score").alias("score"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.language_id import fit_languages, identify_languages
+    from cloakframe.llm.linear import fold
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, fit_languages(docs.where(fold("doc_id", 4) != 2)))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op7_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.linear import fold
+    from cloakframe.llm.toxicity import fit_toxicity, grade_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    found = grade_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "severity", "grade", "predicted")
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
