@@ -103,3 +103,27 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     from cloakframe.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.html_wrapper import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.fingerprint import edited_versions, fingerprint, likeness
+
+    rows = edited_versions(table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("digests"), F.col("edited_digests"), F.col("next_digests")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(own).alias("fingerprint"),
+        fingerprint(edited).alias("edited_fingerprint"),
+        likeness(own, edited).alias("near_edited"),
+        likeness(own, after).alias("near_next"),
+    )
