@@ -99,12 +99,14 @@ def identify_languages(docs: DataFrame, model: LanguageModel, carry: tuple[str,
     """The carried columns, lang_pred, score and ambiguous (two languages nearly tie) of every whole text.
 
     A null text and one without a letter are `und` with score 0. Rows are answered one by one, so repeated rows
-    get equal answers and an empty table gives none; columns that are not carried play no part.
+    get equal answers and an empty table gives none; columns that are not carried play no part, and
+    carried ones must not be called like the three new ones.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
+    at_text = carry.index("text") if "text" in carry else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -113,7 +115,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, carry: tuple[str,
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 total = np.zeros((b.num_rows, len(m.bias) + 1))
-                texts = [_words(t or "") for t in b.column(0).to_pylist()]
+                texts = [_words(t or "") for t in b.column(at_text).to_pylist()]
                 rows.prepare(texts)
                 for i, words in enumerate(texts):
                     total[i] = rows.of(words).sum(0)
@@ -122,7 +124,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, carry: tuple[str,
                 none = n == 0
                 lang = [("und" if z else m.languages[k]) for k, z in zip(best, none)]
                 out = [pa.array(lang), pa.array(np.where(none, 0.0, score)), pa.array(vague & ~none)]
-                yield pa.RecordBatch.from_arrays([b.column(j + 1) for j in range(len(carry))] + out, names=[*carry, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([b.column(j) for j in range(len(carry))] + out, names=[*carry, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double, ambiguous boolean"
-    return docs.select(F.col("text").cast("string").alias("__text"), *carry).mapInArrow(run, schema)
+    return docs.select(*carry, *([] if "text" in carry else ["text"])).mapInArrow(run, schema)

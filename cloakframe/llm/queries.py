@@ -127,3 +127,20 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(own, edited).alias("near_edited"),
         likeness(own, after).alias("near_next"),
     )
+
+
+def sample_edits(docs: DataFrame) -> DataFrame:
+    """docs with three edits each: a deletion at a third, an insertion in the middle, a replacement at two thirds."""
+    n, t = F.length("text"), F.col("text")
+    edit = lambda a, b, s: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), s.alias("text"))
+    third, half, two = F.floor(n / 3), F.floor(n / 2), F.floor(n * 2 / 3)
+    return docs.withColumn(
+        "edits", F.array(edit(third, third + 40, F.lit("")), edit(half, half, F.substring(t, 1, 60)), edit(two, two + 25, F.concat(F.lit(" "), F.substring(t, -30, 30))))
+    )
+
+
+@query
+def op8_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.token_edits import count_edited
+
+    return count_edited(sample_edits(table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
