@@ -3,7 +3,8 @@
 A pair with Jaccard similarity >= t must share a token among the first n - ceil(t n) + 1 tokens of both sets,
 under any one order of all tokens. Order 1 puts the most frequent tokens last (so that passages which many
 documents share make no candidates) and generates the candidates from its posting lists; orders 2 and 3 are two
-hash orders, and a candidate is verified only if its prefixes meet under them too.
+hash orders, and a candidate is verified only if its prefixes meet under them too. A posting also tells how many
+tokens come before it, which bounds what a pair can still share.
 
 Texts with equal shingle sets form a class; only classes are joined. A posting list of up to ``small`` classes
 gives all its pairs. A longer one first gives stars around a few leaders; once their verified links are merged
@@ -110,7 +111,7 @@ def _scan(k: int):
 
 
 def _postings(k: int, percent: int, hot, buckets: int):
-    """Packed (token, class, set size) postings of the prefixes under order 1, cut into hash buckets of tokens."""
+    """Packed (token, class, set size, place in the class's order) postings of the prefixes under order 1, cut into hash buckets of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = hot.value
@@ -119,9 +120,10 @@ def _postings(k: int, percent: int, hot, buckets: int):
 
         def flush() -> pa.RecordBatch:
             t = np.concatenate(tok)
-            rec = np.empty(len(t), dtype=[("t", "<u8"), ("c", "<i8"), ("n", "<i4")])
+            rec = np.empty(len(t), dtype=[("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("p", "<i4")])
             lens = [len(x) for x in tok]
             rec["t"], rec["c"], rec["n"] = t, np.repeat(np.array(node, np.int64), lens), np.repeat(np.array(size, np.int32), lens)
+            rec["p"] = np.concatenate([np.arange(n, dtype=np.int32) for n in lens])
             bucket = ((t >> U(20)) % U(buckets)).astype(np.int32)
             at = np.argsort(bucket, kind="stable")
             rec, bucket = rec[at], bucket[at]
@@ -149,18 +151,29 @@ def _postings(k: int, percent: int, hot, buckets: int):
     return run
 
 
-def _pairs_of(c: np.ndarray, n: np.ndarray, percent: int, label: np.ndarray | None = None) -> np.ndarray:
-    """All (a < b) pairs of a list of classes that can reach the similarity by size (and differ in label)."""
+def _can(n1, p1, n2, p2, percent: int):
+    """Positional filter: with the first shared token at places p1 and p2 of n1 and n2, is the similarity in reach?
+
+    At most the tokens from there on are shared. A later shared token gives a lower bound, so a pair that is in
+    reach passes at its first one, and one that is not passes nowhere.
+    """
+    most = np.minimum(n1 - p1, n2 - p2)
+    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (most * (100 + percent) >= percent * (n1 + n2))
+
+
+def _pairs_of(c: np.ndarray, n: np.ndarray, p: np.ndarray, percent: int, label: np.ndarray | None = None) -> np.ndarray:
+    """All (a < b) pairs of a token's list that pass the filters (and differ in label)."""
     found = []
     order = np.argsort(n, kind="stable")
-    c, n = c[order], n[order]
+    c, n, p = c[order], n[order], p[order]
     label = label[order] if label is not None else None
     far = np.searchsorted(n, n * 100 // percent, side="right")
     for i in range(len(c) - 1):
         j = slice(i + 1, far[i])
-        x = c[j]
+        ok = _can(n[i], p[i], n[j], p[j], percent)
         if label is not None:
-            x = x[label[j] != label[i]]
+            ok &= label[j] != label[i]
+        x = c[j][ok]
         if len(x):
             found.append(np.stack([np.minimum(x, c[i]), np.maximum(x, c[i])], 1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -196,46 +209,47 @@ class _Pairs:
 
 
 def _candidates(percent: int, small: int, leaders: int):
-    """kind 0: candidate pairs (a, b). kind 1: (a=token, b=class, n) of the lists that are longer than small."""
+    """kind 0: candidate pairs (a, b). kind 1: (a=token, b=class, n, p) of the lists that are longer than small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for b in batches for x in b.column(1).to_pylist()]
-        rec = np.frombuffer(b"".join(blobs), dtype=[("t", "<u8"), ("c", "<i8"), ("n", "<i4")])
+        rec = np.frombuffer(b"".join(blobs), dtype=[("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("p", "<i4")])
         del blobs
-        t, c, n = rec["t"], rec["c"], rec["n"].astype(np.int64)
+        t, c, n, q = rec["t"], rec["c"], rec["n"].astype(np.int64), rec["p"].astype(np.int64)
         at = np.lexsort((c, t))
-        t, c, n = t[at], c[at], n[at]
+        t, c, n, q = t[at], c[at], n[at], q[at]
         if len(t):  # a class that several tasks held is there several times
             keep = np.ones(len(t), bool)
             keep[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            t, c, n = t[keep], c[keep], n[keep]
+            t, c, n, q = t[keep], c[keep], n[keep], q[keep]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
         length = np.diff(np.append(first, len(t)))
         pairs, large = _Pairs(), []
         two = first[length == 2]
-        ok = 100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1])
+        ok = _can(n[two], q[two], n[two + 1], q[two + 1], percent)
         pairs.add(np.stack([c[two], c[two + 1]], 1)[ok])
         for f, m in zip(first[length > 2], length[length > 2]):
-            x, y = c[f : f + m], n[f : f + m]
-            if not pairs.first(x):
+            x, y, z = c[f : f + m], n[f : f + m], q[f : f + m]
+            if not pairs.first(np.concatenate([x, z])):
                 continue
             if m <= small:
-                pairs.add(_pairs_of(x, y, percent))
+                pairs.add(_pairs_of(x, y, z, percent))
                 continue
             large.append((f, m))
-            for lead in np.argsort(mix(x.view(U)))[:leaders]:
-                o = x[(x != x[lead]) & (100 * np.minimum(y, y[lead]) >= percent * np.maximum(y, y[lead]))]
+            # those with the fewest tokens before this one, which are rare ones of their own, lie in the middle
+            for lead in np.lexsort((x, z / y))[:leaders]:
+                o = x[(x != x[lead]) & _can(y, z, y[lead], z[lead], percent)]
                 pairs.add(np.stack([np.minimum(o, x[lead]), np.maximum(o, x[lead])], 1))
         p = pairs.distinct()
-        yield _batch(0, p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
+        yield _batch(0, p[:, 0], p[:, 1], np.zeros(len(p), np.int64), np.zeros(len(p), np.int64))
         for f, m in large:
-            yield _batch(1, t[f : f + m].view(np.int64), c[f : f + m], n[f : f + m])
+            yield _batch(1, t[f : f + m].view(np.int64), c[f : f + m], n[f : f + m], q[f : f + m])
 
     return run
 
 
-def _batch(kind: int, a, b, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], names=["kind", "a", "b", "n"])
+def _batch(kind: int, a, b, n, p) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n), pa.array(p)], names=["kind", "a", "b", "n", "p"])
 
 
 def _crossing(percent: int):
@@ -245,13 +259,13 @@ def _crossing(percent: int):
         pairs, part = _Pairs(), []
 
         def close() -> None:
-            c, n, label = (np.concatenate([p[i] for p in part]) for i in (1, 2, 3))
+            c, n, q, label = (np.concatenate([x[i] for x in part]) for i in (1, 2, 3, 4))
             at = np.argsort(c, kind="stable")
-            if pairs.first(c[at]):
-                pairs.add(_pairs_of(c[at], n[at], percent, label[at]))
+            if pairs.first(np.concatenate([c[at], q[at]])):
+                pairs.add(_pairs_of(c[at], n[at], q[at], percent, label[at]))
 
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(4)]
+            cols = [b.column(i).to_numpy() for i in range(5)]
             cuts = np.flatnonzero(np.diff(cols[0])) + 1
             for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
                 if part and i < j and part[0][0][0] != cols[0][i]:
@@ -327,7 +341,7 @@ def ngram_jaccard_join(
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = docs.mapInArrow(_postings(k, percent, hot, 4 * parts), "bucket int, blob binary")
-    postings = postings.repartition(parts, "bucket").mapInArrow(_candidates(percent, small, leaders), "kind int, a long, b long, n long")
+    postings = postings.repartition(parts, "bucket").mapInArrow(_candidates(percent, small, leaders), "kind int, a long, b long, n long, p long")
     found = written(postings, "candidates", few=True)
     del postings
 
@@ -339,9 +353,9 @@ def ngram_jaccard_join(
     leader = pairs.select(F.col("a").alias("sig"), F.col("a").alias("token")).unionAll(pairs.select(F.col("b").alias("sig"), F.col("a").alias("token")))
     links = _verified(texts, pairs, leader.groupBy("sig").agg(F.min("token").alias("token")), k, percent)
     stars = connected_components(links)
-    label = large.join(stars.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n", F.coalesce("component", "b").alias("label"))
+    label = large.join(stars.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n", "p", F.coalesce("component", "b").alias("label"))
     contested = label.groupBy("a").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("a")
-    lists = written(label.join(contested, "a").select("a", "b", "n", "label"), "contested")
+    lists = written(label.join(contested, "a").select("a", "b", "n", "p", "label"), "contested")
     crossing = lists.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_crossing(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     crossing = written(crossing, "crossing")
     if not crossing.isEmpty():
