@@ -191,7 +191,7 @@ class Bpe:
             if len(self.cache) > self.limit:
                 self.cache.clear()
             known = self.cache
-            self.learn({w for c in cut for _, ws in c if ws for w in ws if w not in known})
+            self.learn(set().union(*(ws for c in cut for _, ws in c if ws)).difference(known))
             for c in cut:
                 yield b"".join([b"".join(map(known.__getitem__, ws)) if ws is not None else self.special[p] for p, ws in c])
 

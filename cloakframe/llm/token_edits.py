@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cloakframe.llm.bpe import Bpe, tokenizer
 from cloakframe.runtime import ship
 
-LEAF = 512  # characters a leaf aims at
+LEAF = 96  # pre-tokens of a leaf
 AHEAD = 16  # no pre-token border depends on more characters after it; special tokens are shorter
 
 
@@ -88,20 +88,16 @@ class TokenTree:
         return out
 
     def _cut(self, pieces: list[str]) -> list[Node]:
-        known, special = self.bpe.cache, self.bpe.special
+        known = self.bpe.cache
         if len(known) > self.bpe.limit:
             known.clear()
-        self.bpe.learn({p for p in pieces if p not in known and p not in special})
-        out, held, chars, tokens = [], [], 0, 0
-        for p in pieces:
-            held.append(p)
-            chars += len(p)
-            tokens += 1 if p in special else len(known[p]) // 4
-            if chars >= LEAF:
-                out.append(Node(chars, tokens, "".join(held)))
-                held, chars, tokens = [], 0, 0
-        if held:
-            out.append(Node(chars, tokens, "".join(held)))
+        known.update(self.bpe.special)  # no ordinary pre-token is spelt like a special token
+        self.bpe.learn(set(pieces).difference(known))
+        out = []
+        for i in range(0, len(pieces), LEAF):
+            group = pieces[i : i + LEAF]
+            text = "".join(group)
+            out.append(Node(len(text), sum(map(len, map(known.__getitem__, group))) // 4, text))
         return out
 
     def edit(self, start: int, end: int, text: str) -> None:
