@@ -31,6 +31,17 @@ class Node:
     depth: int = 0
 
 
+def _commit(bpe: Bpe, trees: list[TokenTree], plans: list[Plan | None]) -> None:
+    """Encode the unknown pre-tokens of many plans at once, then carry the plans out."""
+    if len(bpe.cache) > bpe.limit:
+        bpe.cache.clear()
+    bpe.cache.update(bpe.special)
+    bpe.learn(set().union(*(p[1] for p in plans if p)).difference(bpe.cache))
+    for tree, plan in zip(trees, plans):
+        if plan:
+            tree.commit(plan)
+
+
 def _join(a: Node | None, b: Node | None) -> Node | None:
     if a is None or b is None:
         return a or b
@@ -68,10 +79,16 @@ def _split(node: Node | None, at: int, after: bool) -> tuple[Node | None, Node |
     return _join(node.left, a), b
 
 
+Plan = tuple[Node | None, list[str], Node | None]
+
+
 class TokenTree:
+    """A document's tree. Without text it starts empty; plan() and commit() let many trees learn words together."""
+
     def __init__(self, bpe: Bpe, text: str):
         self.bpe, self.reencoded = bpe, 0
-        self.root = _built(self._cut(self._pieces(text)))
+        self.root: Node | None = None
+        self.commit((None, self._pieces(text), None))
 
     @property
     def tokens(self) -> int:
@@ -102,6 +119,10 @@ class TokenTree:
 
     def edit(self, start: int, end: int, text: str) -> None:
         """Replace the characters from start to end (both cut to the document)."""
+        self.commit(self.plan(start, end, text))
+
+    def plan(self, start: int, end: int, text: str) -> Plan:
+        """The subtree before an edit, the pre-tokens it makes anew, and the subtree after."""
         size = self.root.chars if self.root else 0
         start = min(max(start, 0), size)
         end = min(max(end, start), size)
@@ -127,7 +148,11 @@ class TokenTree:
                 break
             taken, rest = _split(rest, 1, True)  # the border after the edit is gone: go on to the next one
             new += "".join(n.text for n in _leaves(taken))
-        self.root = _join(_join(before, _built(self._cut(pieces[:kept]))), rest)
+        return before, pieces[:kept], rest
+
+    def commit(self, plan: Plan) -> None:
+        before, pieces, rest = plan
+        self.root = _join(_join(before, _built(self._cut(pieces))), rest)
         if self.root and self.root.depth > 64:
             self.root = _built(list(_leaves(self.root)))
 
@@ -146,14 +171,14 @@ def count_edited(docs: DataFrame, path: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                rows = []
-                for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    tree = TokenTree(bpe, text or "")
-                    n = tree.tokens
-                    for e in edits or ():
-                        if e is not None:
-                            tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
-                    rows.append((n, tree.tokens, tree.root.chars if tree.root else 0, tree.reencoded))
+                trees = [TokenTree(bpe, "") for _ in range(b.num_rows)]
+                _commit(bpe, trees, [t.plan(0, 0, text or "") for t, text in zip(trees, b.column(1).to_pylist())])
+                first = [(t.tokens, t.reencoded) for t in trees]
+                edits = [[e for e in row or () if e is not None] for row in b.column(2).to_pylist()]
+                for i in range(max(map(len, edits), default=0)):
+                    plans = [t.plan(e[i]["start"] or 0, e[i]["end"] or 0, e[i]["text"] or "") if i < len(e) else None for t, e in zip(trees, edits)]
+                    _commit(bpe, trees, plans)
+                rows = [(n, t.tokens, t.root.chars if t.root else 0, t.reencoded - r) for t, (n, r) in zip(trees, first)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], names=["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_reencoded"]
                 )
