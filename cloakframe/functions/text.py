@@ -13,14 +13,15 @@ EOL = "\r\n|\n|\r"
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, word>> of the matches of a pattern; places count code points from 0."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.size(hits)),
-        F.array(F.lit(0)),
-        lambda z, i: F.concat(z, F.array(F.element_at(z, -1) + F.length(F.element_at(gaps, i)) + F.length(F.element_at(hits, i)))),
-    )
-    rows = F.transform(hits, lambda h, i: F.struct((F.element_at(ends, i + 2) - F.length(h)).alias("start"), F.element_at(ends, i + 2).alias("end"), h.alias("word")))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(v: Column) -> Column:
+        sizes = F.transform(F.arrays_zip(v["gaps"], v["hits"]), lambda x: F.struct(F.length(x["gaps"]).alias("g"), F.coalesce(F.length(x["hits"]), F.lit(0)).alias("h")))
+        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda z, x: F.concat(z, F.array(F.element_at(z, -1) + x["g"] + x["h"])))
+        return F.transform(F.array(F.struct(v["hits"].alias("hits"), ends.alias("ends"))), lambda w: F.transform(
+            w["hits"], lambda h, i: F.struct((w["ends"][i + 1] - F.length(h)).alias("start"), w["ends"][i + 1].alias("end"), h.alias("word"))))[0]
+
+    rows = F.transform(F.array(parts), placed)[0]  # bound once: a lambda would match the pattern again for every hit
     return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>"))
 
 
