@@ -50,20 +50,21 @@ FEATURES = {
 
 def candidates(text: Column) -> Column:
     """array<struct<start (code points from 0), value, before, after>> of a text's candidates; empty for null."""
-    hits = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(text, CANDIDATE, -1)
-    start = F.aggregate(
-        F.sequence(F.lit(1), F.size(hits)),
-        F.struct(F.length(F.element_at(gaps, 1)).alias("next"), F.array().cast("array<int>").alias("all")),
-        lambda z, i: F.struct(
-            (z["next"] + F.length(F.element_at(hits, i)) + F.length(F.element_at(gaps, i + 1))).alias("next"), F.concat(z["all"], F.array(z["next"])).alias("all")
-        ),
-        lambda z: z["all"],
-    )
-    rows = F.transform(
-        F.arrays_zip(hits.alias("h"), start.alias("s")),
-        lambda x, i: F.struct(x["s"].alias("start"), x["h"].alias("value"), F.substring(F.element_at(gaps, i + 1), -48, 48).alias("before"), F.substring(F.element_at(gaps, i + 2), 1, 48).alias("after")),
-    )
+    parts = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hits"), F.split(text, CANDIDATE, -1).alias("gaps"))
+
+    def placed(v: Column) -> Column:
+        sizes = F.transform(F.arrays_zip(v["gaps"], v["hits"]), lambda x: F.length(x["gaps"]) + F.coalesce(F.length(x["hits"]), F.lit(0)))
+        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda z, n: F.concat(z, F.array(F.element_at(z, -1) + n)))
+        bound = F.struct(v["hits"].alias("hits"), v["gaps"].alias("gaps"), ends.alias("ends"))
+        return F.transform(
+            F.array(bound),
+            lambda w: F.transform(
+                w["hits"],
+                lambda h, i: F.struct((w["ends"][i + 1] - F.length(h)).alias("start"), h.alias("value"), F.substring(w["gaps"][i], -48, 48).alias("before"), F.substring(w["gaps"][i + 1], 1, 48).alias("after")),
+            ),
+        )[0]
+
+    rows = F.transform(F.array(parts), placed)[0]  # bound once: a lambda would search the text again for every hit
     return F.when(text.rlike(CANDIDATE), rows).otherwise(F.array().cast("array<struct<start:int,value:string,before:string,after:string>>"))
 
 
