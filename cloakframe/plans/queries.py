@@ -129,11 +129,11 @@ k AS (
     SELECT 1 FROM v x WHERE x.file = v.file AND x.line_num = v.line_num AND NOT x.free AND x.s < v.e AND v.s < x.e
       AND (x.s - x.e, x.rank, x.s, x.src, x.reason) < (v.s - v.e, v.rank, v.s, v.src, v.reason)) AS kept
   FROM v),
-p0 AS (
+places AS (
   SELECT *, coalesce(lag(e) OVER w, 0) AS prior, lead(s) OVER w IS NULL AS final,
     s + coalesce(sum(length(val) - (e - s)) OVER (PARTITION BY file, line_num ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place0
   FROM k WHERE kept WINDOW w AS (PARTITION BY file, line_num ORDER BY s)),
-p AS (SELECT *, CAST(place0 AS BIGINT) AS place FROM p0),
+p AS (SELECT *, CAST(place0 AS BIGINT) AS place FROM places),
 masked AS (
   SELECT file, line_num, string_agg(substring(line, prior + 1, s - prior) || val || CASE WHEN final THEN substring(line, e + 1) ELSE '' END, '' ORDER BY s) AS masked
   FROM p GROUP BY file, line_num)"""

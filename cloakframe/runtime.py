@@ -54,6 +54,8 @@ def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cloakframe/{name}-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if few else df).write.option("compression", "zstd").parquet(path)
+    if few:
+        df = df.hint("rebalance").coalesce(2 * spark.sparkContext.defaultParallelism)
+    df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
