@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     to the shared folder. An edge list without edges gives an empty table.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = written(e, "edges")
+    e = written(e, "edges", few=True)
     state = None
     while True:
         # large star: every larger neighbour of a node moves to the node's smallest neighbour (or itself)
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of a node, and the node, move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges", few=True)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

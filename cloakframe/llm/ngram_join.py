@@ -355,9 +355,9 @@ def ngram_jaccard_join(
     stars = connected_components(links)
     label = large.join(stars.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n", "p", F.coalesce("component", "b").alias("label"))
     contested = label.groupBy("a").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("a")
-    lists = written(label.join(contested, "a").select("a", "b", "n", "p", "label"), "contested")
+    lists = written(label.join(contested, "a").select("a", "b", "n", "p", "label"), "contested", few=True)
     crossing = lists.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_crossing(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    crossing = written(crossing, "crossing")
+    crossing = written(crossing, "crossing", few=True)
     if not crossing.isEmpty():
         links = links.unionAll(_verified(texts, crossing, lists.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("token")), k, percent))
         stars = connected_components(links)
@@ -385,7 +385,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, place: DataFrame, k: int, perc
     many = place.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / 64).alias("cuts"))
     block = place.join(many, "token").select("sig", F.xxhash64("token", F.pmod(F.xxhash64("sig"), "cuts")).alias("block"))
     keyed = pairs.join(block.select(F.col("sig").alias("a"), F.col("block").alias("x")), "a").join(block.select(F.col("sig").alias("b"), F.col("block").alias("y")), "b")
-    keyed = written(keyed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b"), "blocks")
+    keyed = written(keyed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b"), "blocks", few=True)
     need = keyed.select("x", "y", F.col("a").alias("sig")).unionAll(keyed.select("x", "y", F.col("b").alias("sig"))).distinct()
     rows = need.join(texts, "sig").select("x", "y", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = rows.unionAll(keyed.select("x", "y", "a", "b", F.lit("").alias("text"))).repartition(parts, "x", "y").sortWithinPartitions("x", "y", F.asc_nulls_first("b"))
