@@ -200,9 +200,9 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Bpe:
-    """The tokenizer of a file, built once in each Python worker."""
-    return Bpe(path)
+def tokenizer(path: str, cache: int = 600_000) -> Bpe:
+    """The tokenizer of a file, built once in each Python worker; cache bounds the pre-tokens it keeps."""
+    return Bpe(path, cache)
 
 
 def bpe_round_trip(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -216,10 +216,10 @@ def bpe_round_trip(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_to
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, 200_000)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
                 got: dict[str, list] = {c: [] for c in columns}
                 for ids in bpe.encode_many([t or "" for t in b.column(1).to_pylist()]):
                     text = bpe.decode(ids) if {"decoded", "decoded_sha256"} & set(columns) else ""
