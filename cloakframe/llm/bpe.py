@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.runtime import ship
+from cloakframe.runtime import frugal, ship
 
 # Fixed value: the public byte-level pre-token pattern, with white space spelt out as Unicode's White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -36,6 +36,19 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def by_size(texts: list[str], most: int = 64, chars: int = 1 << 18) -> Iterator[list[str]]:
+    """The texts in order, in groups of at most `most` texts; a group ends once it has `chars` code points."""
+    some, n = [], 0
+    for t in texts:
+        some.append(t)
+        n += len(t)
+        if len(some) == most or n >= chars:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 class Bpe:
     """A tokenizer file of the tokenizers library: model BPE, byte-level, special tokens matched in the text.
 
@@ -186,8 +199,8 @@ class Bpe:
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for i in range(0, len(texts), 64):
-            cut = [[(p, None) if sp else (None, self.words.findall(p)) for p, sp in self.parts(t)] for t in texts[i : i + 64]]
+        for some in by_size(texts):
+            cut = [[(p, None) if sp else (None, self.words.findall(p)) for p, sp in self.parts(t)] for t in some]
             if len(self.cache) > self.limit:
                 self.cache.clear()
             known = self.cache
@@ -215,13 +228,16 @@ def bpe_round_trip(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_to
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_column]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, 200_000)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
+        for whole in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            at = 0
+            for texts in by_size([t or "" for t in whole.column(1).to_pylist()], 128, 1 << 20):
+                b = whole.slice(at, len(texts))
+                at += len(texts)
                 got: dict[str, list] = {c: [] for c in columns}
-                for ids in bpe.encode_many([t or "" for t in b.column(1).to_pylist()]):
+                for ids in bpe.encode_many(texts):
                     text = bpe.decode(ids) if {"decoded", "decoded_sha256"} & set(columns) else ""
                     row = {
                         "n_tokens": lambda: len(ids) // 4,

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.shingles import U, combine, hash_words, mix, split_words, text_chunks
-from cloakframe.runtime import ship
+from cloakframe.runtime import frugal, ship
 
 _KEEP = np.full(256, 32, np.uint8)  # letters, digits and all of UTF-8 beyond ASCII stay, A-Z in lower case
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -217,6 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).distinct().orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(index_items([r.item_id for r in rows], [r.text for r in rows], share, recall))
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for b in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.linear import LETTER, WordRows, sample, word_features
-from cloakframe.runtime import ship
+from cloakframe.runtime import frugal, ship
 
 SLOTS = 1 << 16
 
@@ -108,6 +108,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, carry: tuple[str,
     kinds = dict(docs.dtypes)
     at_text = carry.index("text") if "text" in carry else len(carry)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         rows = WordRows(len(m.bias) + 1, m.word_rows)

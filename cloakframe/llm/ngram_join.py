@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm.components import connected_components
 from cloakframe.llm.shingles import U, mix, set_signature, shingle_sets
-from cloakframe.runtime import ship, written
+from cloakframe.runtime import frugal, ship, written
 
 _ORDER2, _ORDER3 = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 
@@ -75,6 +75,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _scan(k: int):
     """doc_id, n, sig per document; and (kind 1) the tokens that several classes of a task hold, with their count."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -113,6 +114,7 @@ def _scan(k: int):
 def _postings(k: int, percent: int, hot, buckets: int):
     """Packed (token, class, set size, place in the class's order) postings of the prefixes under order 1, cut into hash buckets of tokens."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = hot.value
         seen: set[int] = set()
@@ -211,6 +213,7 @@ class _Pairs:
 def _candidates(percent: int, small: int, leaders: int):
     """kind 0: candidate pairs (a, b). kind 1: (a=token, b=class, n, p) of the lists that are longer than small."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for b in batches for x in b.column(1).to_pylist()]
         rec = np.frombuffer(b"".join(blobs), dtype=[("t", "<u8"), ("c", "<i8"), ("n", "<i4"), ("p", "<i4")])
@@ -255,6 +258,7 @@ def _batch(kind: int, a, b, n, p) -> pa.RecordBatch:
 def _crossing(percent: int):
     """The pairs of different components in each token's list; rows come sorted by token."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, part = _Pairs(), []
 
@@ -282,6 +286,7 @@ def _crossing(percent: int):
 
 
 def _own_text(k: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = pa.array([set_signature(s) for s in shingle_sets(b.column(1), k)], pa.int64())
@@ -293,6 +298,7 @@ def _own_text(k: int):
 def _verify(k: int, percent: int):
     """Rows (x, y, a, b, text) sorted by block pair (x, y), there the texts (of class a, b null) before the pairs."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets = None, {}
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.linear import WordRows, mark, sample, word_features
-from cloakframe.runtime import ship
+from cloakframe.runtime import frugal, ship
 
 SLOTS, WIDTH = 1 << 17, 16
 _SAME_WORD, _SAME_LINE = mark("same word", SLOTS), mark("same line", SLOTS)
@@ -97,6 +97,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     shared = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         rows = WordRows(2, m.word_rows)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.bpe import Bpe, tokenizer
-from cloakframe.runtime import ship
+from cloakframe.runtime import frugal, ship
 
 LEAF = 96  # pre-tokens of a leaf
 AHEAD = 16  # no pre-token border depends on more characters after it; special tokens are shorter
@@ -166,6 +166,7 @@ def count_edited(docs: DataFrame, path: str) -> DataFrame:
     """
     ship(docs.sparkSession)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for whole in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.linear import sample
-from cloakframe.runtime import ship
+from cloakframe.runtime import frugal, ship
 
 WORD = re.compile(r"\w+")
 
@@ -103,6 +103,7 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, threshold: float = 0.35
     shared = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
