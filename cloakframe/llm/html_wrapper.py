@@ -1,11 +1,13 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred from pages of the same host.
 
 The tag streams of a host's sample pages are folded (a run that repeats becomes a repeated group) and then aligned
-one after another: what only some pages have becomes an optional group, and text becomes a slot unless the same
-text stands in the same place on nearly all pages, which makes it part of the template. The wrapper also names the
-host's content region: the element whose slots hold most text outside menus, notices and the like. A page is read
-through its host's wrapper; one that the expression does not cover (a truncated page, a new section) is aligned
-with it first, as one more sample would be.
+one after another: what only some pages have becomes an optional group, and text becomes a slot. A text that stands
+in its slot on every page that has the slot, four pages with different articles at least, is template and dropped;
+inside articles if the element or one around it has a class, id or role, whatever it says (plain paragraphs stay). The wrapper also names the host's content region (the element whose slots hold most text) and
+overrules the lists of names below where an element with such a name holds nearly all text of the region, other text
+on each page. A page is read through its host's wrapper; one that the expression does not cover (a truncated page, a
+new section) is aligned with it first, as one more sample would be, but only for itself: its text does not depend on
+the pages read before it.
 """
 
 from __future__ import annotations
@@ -65,13 +67,18 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
             out.append(("close", tag, ""))
 
 
-def symbols(page: list[tuple[str, str, str]]) -> list[str]:
-    """A page's stream for alignment: tags with their labels, and # for text (once for neighbours)."""
+def symbols(page: list[tuple[str, str, str]], at: list[int] | None = None) -> list[str]:
+    """A page's stream for alignment: tags with their labels, and # for text (once for neighbours).
+
+    at gets the symbol (its number) of each entry of the stream.
+    """
     out = []
     for kind, name, extra in page:
         s = f"<{name}{'.' + extra if extra else ''}>" if kind == "open" else f"</{name}>" if kind == "close" else "#" if kind == "text" else ""
         if s and not (s == "#" and out and out[-1] == "#"):
             out.append(s)
+        if at is not None:
+            at.append(len(out) - 1)
     return out
 
 
@@ -106,17 +113,22 @@ def _same(a, b) -> bool:
     return a == b or (isinstance(a, tuple) or isinstance(b, tuple)) and _body(a) == _body(b)
 
 
-def align(a: list, b: list) -> list:
-    """The smallest common wrapper by longest common subsequence: the rest of either side becomes optional."""
+def align(a: list, b: list, source: list[int | None] | None = None) -> list:
+    """The smallest common wrapper by longest common subsequence: the rest of either side becomes optional.
+
+    source gets the number of each node in a (None: only b has it).
+    """
+    source = [] if source is None else source
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             rows[i][j] = rows[i + 1][j + 1] + 1 if _same(a[i], b[j]) else max(rows[i + 1][j], rows[i][j + 1])
     out, i, j = [], 0, 0
 
-    def optional(run: list) -> None:
-        for n in run:
+    def optional(run: list, first: int | None) -> None:
+        for k, n in enumerate(run):
             out.append(n if isinstance(n, tuple) and n[0] == "?" else ("?", (n,)))
+            source.append(None if first is None else first + k)
 
     while i < len(a) and j < len(b):
         if _same(a[i], b[j]):
@@ -127,15 +139,16 @@ def align(a: list, b: list) -> list:
                 out.append(("?", (("+", _body(a[i])),)))
             else:
                 out.append((kinds.pop(), _body(a[i])))
+            source.append(i)
             i, j = i + 1, j + 1
         elif rows[i + 1][j] >= rows[i][j + 1]:
-            optional([a[i]])
+            optional([a[i]], i)
             i += 1
         else:
-            optional([b[j]])
+            optional([b[j]], None)
             j += 1
-    optional(a[i:])
-    optional(b[j:])
+    optional(a[i:], i)
+    optional(b[j:], None)
     return out
 
 
@@ -151,9 +164,19 @@ def expression(nodes, letters: Alphabet) -> str:
     return "".join(letters[n] if isinstance(n, str) else f"(?:{expression(n[1], letters)}){n[0]}" for n in nodes)
 
 
-def read(page: list[tuple[str, str, str]], region: str, template: set[str]) -> tuple[list[str], Counter, list[tuple[str, str]]]:
-    """Text blocks of a page's region, the text mass of each possible region, and all (place, text) outside skipped parts."""
-    stack: list[tuple[str, bool]] = []
+def _named(tag: str, label: str) -> str:
+    return f"{tag}.{re.sub('[0-9]+', '0', label)}"
+
+
+def read(page: list[tuple[str, str, str]], region: str, dropped=lambda i, text: False, main: frozenset[str] = frozenset()) -> tuple[list[str], Counter, list[tuple[int, str, str, bool]]]:
+    """Text blocks of a page's region, the text mass of each possible region, and the region's texts.
+
+    Of these, (number in the stream, text, name, marked): the outermost element that the list of names rules out, or
+    "", and whether an element around the text has a label, inside the region's if there is one.
+    dropped tells template texts; main has names that the list does not rule out here.
+    """
+    stack: list[tuple[str, str | None]] = []  # tag, and why its text goes: "" by its tag, a name by its label
+    labels: list[bool] = []
     blocks, mass, seen = [], Counter(), []
     held: list[str] = []
     inside = lambda: any(t == region for t, _ in stack)
@@ -164,7 +187,7 @@ def read(page: list[tuple[str, str, str]], region: str, template: set[str]) -> t
         if text:
             blocks.append(text)
 
-    for kind, name, extra in page:
+    for i, (kind, name, extra) in enumerate(page):
         if kind == "open":
             if name not in INLINE:
                 flush()
@@ -175,43 +198,84 @@ def read(page: list[tuple[str, str, str]], region: str, template: set[str]) -> t
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and any(t == name for t, _ in stack):
                 last = max(i for i, (t, _) in enumerate(stack) if t == name)  # an end tag left out
                 if not any(t in ("ul", "ol", "table", "dl", "blockquote", "div", "section", "article") for t, _ in stack[last:]):
-                    del stack[last:]
-            off = name in SKIP or bool(extra and name not in ("html", "body", *CONTENT) and OFF_TOPIC.search(extra))
+                    del stack[last:], labels[last:]
+            off = "" if name in SKIP else None
+            if off is None and extra and name not in ("html", "body", *CONTENT) and OFF_TOPIC.search(extra) and _named(name, extra) not in main:
+                off = _named(name, extra)
             stack.append((name, off))
+            labels.append(bool(extra))
         elif kind == "close":
             if name not in INLINE:
                 flush()
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None:
-                del stack[at:]
-        elif not any(off for _, off in stack):
-            if kind == "text":
-                place = "/".join(t for t, _ in stack if t not in INLINE)
-                seen.append((place, " ".join(name.split())))
-                for t in {t for t, _ in stack if t in CONTENT}:
-                    mass[t] += len(name)
-                mass[""] += len(name)
-            if (not region or inside()) and (kind == "space" or f"{place}\t{seen[-1][1]}" not in template):
+                del stack[at:], labels[at:]
+        elif (offs := [off for _, off in stack if off is not None]) and "" in offs:
+            continue
+        elif kind == "space":
+            if not offs and (not region or inside()):
                 held.append(name)
+        else:
+            if not region or inside():
+                text = " ".join(name.split())
+                depth = next((k + 1 for k, (t, _) in enumerate(stack) if t == region), 0)
+                marked = not region or any(labels[depth:])
+                seen.append((i, text, offs[0] if offs else "", marked))
+                if not offs and not (marked and dropped(i, text)):
+                    held.append(name)
+            for t in {t for t, _ in stack if t in CONTENT}:
+                mass[t] += len(name)
+            mass[""] += len(name)
     flush()
     return blocks, mass, seen
 
 
+def _different(pages: list[list[tuple[int, str]]], fixed: set[tuple[int, str]]) -> set[int]:
+    """Pages whose text beside the fixed texts is a tenth of theirs at least, and not a near copy of another such page's."""
+    kept: dict[int, set[str]] = {}
+    for n, texts in enumerate(pages):
+        own = [t for s, t in texts if (s, t) not in fixed]
+        words = set(" ".join(own).split())
+        if words and sum(map(len, own)) >= 0.1 * sum(len(t) for _, t in texts) and all(2 * len(words & w) < len(words | w) for w in kept.values()):
+            kept[n] = words
+    return set(kept)
+
+
 def infer(pages: list[str]) -> str:
-    """A host's wrapper as JSON: its expression (nodes), content region and template texts."""
+    """A host's wrapper as JSON: its expression (nodes), content region, template texts by slot, and names overruled."""
     parsed = [tokens(p) for p in dict.fromkeys(pages)]
-    wrapper: list | None = None
-    mass, places = Counter(), Counter()
+    nodes: list | None = None
+    mass = Counter()
     for p in parsed:
-        nodes = fold(symbols(p))
-        wrapper = nodes if wrapper is None else align(wrapper, nodes)
-        _, m, seen = read(p, "", set())
-        mass += m
-        places.update({f"{a}\t{b}" for a, b in seen})
-    region = next((r for r in CONTENT if mass[r] >= 0.5 * max(1, mass[""])), "")
-    # at least four different pages, and none of them may lack the text: copies of an article are no template
-    template = [t for t, n in places.items() if len(parsed) >= 4 and n == len(parsed)]
-    return json.dumps({"nodes": wrapper or [], "region": region, "template": sorted(template)})
+        folded = fold(symbols(p))
+        nodes = folded if nodes is None else align(nodes, folded)
+        mass += read(p, "")[1]
+    spec = {"nodes": nodes or [], "region": next((r for r in CONTENT if mass[r] >= 0.5 * max(1, mass[""])), ""), "fixed": [], "main": []}
+    w = Wrapper(json.dumps(spec))
+    texts = [read(p, w.place(p))[2] for p in parsed]
+    held: dict[str, list[str]] = {}
+    for seen in texts:
+        size = Counter()
+        for _, t, off, _ in seen:
+            size[off] += len(t)
+        for off, n in size.items():
+            if off and n >= 0.8 * size.total():
+                held.setdefault(off, []).append("\n".join(t for _, t, x, _ in seen if x == off))
+    spec["main"] = sorted(off for off, own in held.items() if 2 * len(set(own)) > len(parsed) > 1)
+    slotted, marked = [], set()
+    for p, seen in zip(parsed, texts):
+        slots = w.slots(p)
+        kept = [x for x in seen if slots and slots[x[0]] is not None and (not x[2] or x[2] in spec["main"])]
+        slotted.append([(slots[i], t) for i, t, _, _ in kept])
+        marked.update((slots[i], t) for i, t, _, x in kept if x)
+    having, places = Counter(), Counter()
+    for page in slotted:
+        having.update({s for s, _ in page})
+        places.update(set(page))
+    fixed = {(s, t) for (s, t), n in places.items() if n == having[s] >= 4 and (s, t) in marked}
+    different = _different(slotted, fixed)
+    spec["fixed"] = sorted((s, t) for s, t in fixed if sum((s, t) in slotted[n] for n in different) >= 4)
+    return json.dumps(spec)
 
 
 def _frozen(n):
@@ -220,25 +284,47 @@ def _frozen(n):
 
 class Wrapper:
     def __init__(self, spec: str | None):
-        d = json.loads(spec) if spec else {"nodes": [], "region": "article", "template": []}
-        self.nodes, self.region, self.template = [_frozen(n) for n in d["nodes"]], d["region"], set(d["template"])
+        d = json.loads(spec) if spec else {"nodes": [], "region": "article", "fixed": [], "main": []}
+        self.nodes, self.region, self.main = [_frozen(n) for n in d["nodes"]], d["region"], frozenset(d["main"])
+        self.fixed = {(s, t) for s, t in d["fixed"]}
+        self.fixed_texts = {t for _, t in self.fixed}
         self.letters = Alphabet()
-        self.pattern = re.compile(expression(self.nodes, self.letters))
-        self.grown = 0
+        self.pattern = self._pattern(self.nodes)
+
+    def _pattern(self, nodes: list) -> re.Pattern:
+        return re.compile("".join(f"({expression([n], self.letters)})" for n in nodes))
+
+    def slots(self, stream: list[tuple[str, str, str]]) -> list[int | None] | None:
+        """The wrapper's node of each entry of a page's stream (None: a node of its own); None if no alignment covers it."""
+        at: list[int] = []
+        line = symbols(stream, at)
+        text = "".join(self.letters[s] for s in line)
+        m, source = self.pattern.fullmatch(text), list(range(len(self.nodes)))
+        if not m:
+            folded, source = fold(line), []
+            if len(folded) * max(1, len(self.nodes)) >= 100_000:  # an alignment beyond that is no likeness
+                return None
+            m = self._pattern(align(self.nodes, folded, source)).fullmatch(text)
+        if not m:
+            return None
+        node: list[int | None] = [None] * len(line)
+        for n, origin in enumerate(source):
+            a, b = m.span(n + 1)
+            node[a:b] = [origin] * (b - a)
+        return [node[s] if s >= 0 else None for s in at]
+
+    def place(self, stream: list[tuple[str, str, str]]) -> str:
+        tags = {name for kind, name, _ in stream if kind == "open"}
+        return self.region if self.region in tags else next((r for r in CONTENT if r in tags), "")
 
     def text(self, page: str) -> str:
         stream = tokens(page)
-        line = symbols(stream)
-        if not self.pattern.fullmatch("".join(self.letters[s] for s in line)) and self.grown < 16 and len(line) < 20_000:
-            folded = fold(line)
-            if len(folded) * max(1, len(self.nodes)) < 100_000:  # an alignment beyond that is no likeness
-                self.nodes = align(self.nodes, folded)
-                self.pattern = re.compile(expression(self.nodes, self.letters))
-                self.grown += 1
-        tags = {name for kind, name, _ in stream if kind == "open"}
-        region = self.region if self.region in tags else next((r for r in CONTENT if r in tags), "")
-        # inside an article nothing is template, however often it comes back
-        return "\n".join(read(stream, region, set() if region else self.template)[0])
+        # slots matter only to pages that hold a template text of the host
+        near = any(kind == "text" and " ".join(name.split()) in self.fixed_texts for kind, name, _ in stream) if self.fixed else False
+        slots = self.slots(stream) if near else None
+        # a page that no alignment covers has no slots: there a template text goes wherever it stands
+        dropped = (lambda i, t: (slots[i], t) in self.fixed) if slots else (lambda i, t: t in self.fixed_texts)
+        return "\n".join(read(stream, self.place(stream), dropped, self.main)[0])
 
 
 def host(url):

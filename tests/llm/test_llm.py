@@ -127,6 +127,23 @@ def test_html():
     assert w.text("") == "" and Wrapper(infer([])).text("<p>only</p>") == "only"
 
 
+def test_html_wrapper_decides():
+    from cloakframe.llm.html_wrapper import Wrapper, infer
+
+    r = random.Random(8)
+    page = "<body><article><h1>%s</h1><div class=zq>Offer: buy two hats</div><p>%s</p><p>%s</p><div class=notice>%s</div><ul id=k9><li>Read on for one euro</ul></article>"
+    made = [tuple(words(r, n) for n in (3, 20, 20, 6)) for _ in range(8)]
+    w = Wrapper(infer([page % m for m in made[:6]]))
+    assert [w.text(page % m) for m in made] == ["\n".join(m[:3]) for m in made]  # the names on no list too
+    quoted = (page % made[7]).replace("<h1>", "<blockquote class=b>Offer: buy two hats</blockquote><h1>")
+    assert w.text(quoted) == "Offer: buy two hats\n" + "\n".join(made[7][:3])  # the slot counts, not the text
+    copies = [page % (f"{made[0][0]} {i}", *made[0][1:]) for i in range(6)]  # copies of an article show no template
+    assert all(made[0][1] in Wrapper(infer(copies)).text(c) for c in copies)
+    page = "<body><article><h1>%s</h1><div class=notice><p>%s</div></article>"
+    w = Wrapper(infer([page % m[:2] for m in made[:6]]))
+    assert [w.text(page % m[:2]) for m in made] == ["\n".join(m[:2]) for m in made]  # main text under a listed name
+
+
 def test_classifiers(spark):
     from cloakframe.llm.language_id import fit_languages, identify_languages
     from cloakframe.llm.quality import fit_quality, score_quality
