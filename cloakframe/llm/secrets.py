@@ -14,8 +14,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A candidate: a run of at least 12 token characters with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+# Names of secrets, and first characters of known kinds of keys.
+NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|encryption|signing|auth|client|account|master|shared)[ _-]?key|[a-z0-9][_-]key(?:[_-]?id)?|auth|credential)s?"
+HEAD = r"(?:AKIA|ASIA|gh[opsur]_|github_pat_|xox[abprs]-|sk_live_|sk_test_|sk-|AIza)"
+
+# A candidate: the value set for a name (in quotes, or up to white space), whatever its length and characters; a key of
+# a known kind; or any run of at least 12 token characters with a digit in it.
+_SIGN = r"(?:=>|:=|[=:]|[ \t]is[ \t])"
+_SET = rf"(?<=(?i:{NAME})[\"']{{0,1}}[ \t]{{0,8}}{_SIGN}[ \t]{{0,8}}"
+CANDIDATE = (
+    rf"(?<=\"){_SET}\")(?:[^\"\\\r\n]++|\\.)++(?=\")|(?<='){_SET}')(?:[^'\\\r\n]++|\\.)++(?=')"
+    rf"|(?<=[=:>][ \t]{{0,8}}[\"']{{0,1}}|[ \t]is[ \t]{{1,8}}[\"']{{0,1}}){_SET}[\"']{{0,1}})(?!(?i:bearer|basic)\s)(?![=>])[^\s\"',;](?:\S*[^\s\"',;])?"
+    r"|(?<![A-Za-z0-9_+/-])(?:eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)*|" + HEAD + r"[A-Za-z0-9_+/-]{8,}={0,2})"
+    r"|(?<=(?i:bearer)\s)[A-Za-z0-9._~+/-]{8,}={0,2}"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+)
 
 # Common pieces of identifiers, for dictionary coverage.
 COMMON = (
@@ -27,6 +40,12 @@ COMMON = (
 # Words beside a secret, and words beside look-alikes.
 BEFORE = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)s?[\"']?\s*(=|:|=>|is)?\s*[\"']?$"
 HARMLESS = r"(?i)(commit|sha-?\d*|md5|checksum|digest|etag|rev(ision)?|uuid|guid|isbn|card|phone|tel|order|invoice|id|v|version|build)\.?\s*(=|:|#|no\.?)?\s*[\"']?$"
+# What stands for a secret without being one (empty values, placeholders, code that fetches it).
+STAND_IN = (
+    r"(?i)^(null|none|nil|true|false|yes|no|unset|empty|undefined|unknown|required|optional|hidden|redacted|invalid|expired|missing|str(ing)?|int|bytes|bool(ean)?|text|varchar|n/?a|todo|tbd)[.)!?]*$"
+    r"|^[*.•_#xX-]+$|^(\$\{|\$\(|%\(|<|\{|\[)|^\$[A-Za-z_]+$|^%[A-Z_]+%$|^[A-Za-z_.]+[(\[]"
+    r"|(?i)^(your|my|the|some|args|self|config|settings|options|params|env|environ|input|request|os|process)[._-]|(?i)^(pass(word|wd)?|token|secret|key|value)s?$"
+)
 
 FEATURES = {
     "length": "length(x.value)",
@@ -39,13 +58,20 @@ FEATURES = {
     "hex": "cast(x.value rlike '^[0-9a-f]+$' as double)",
     "numeric": "cast(x.value rlike '^[0-9-]+$' as double)",
     "groups": "cast(x.value rlike '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$' as double)",
-    "known_head": "cast(x.value rlike '^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|sk-|AIza|eyJ)' as double)",
+    "known_head": "cast(x.value rlike '^(" + HEAD + "|eyJ)' as double)",
     "dictionary": "1 - length(regexp_replace(lower(x.value), '" + "|".join(sorted(set(COMMON), key=lambda w: (-len(w), w))) + "', '')) / length(x.value)",
     "path": r"cast(x.value rlike '/.*/' or x.before rlike '([/\\\\.@]|://\\S*)$' or x.after rlike '^([/\\\\@]|\\.[a-z])' as double)",
     "named": "cast(x.before rlike '" + BEFORE.replace("\\", "\\\\").replace("'", "\\'") + "' as double)",
     "harmless": "cast(x.before rlike '" + HARMLESS.replace("\\", "\\\\").replace("'", "\\'") + "' as double)",
+    "assigned": "cast(x.before rlike '" + rf"(?i){NAME}[\"']?[ \t]*{_SIGN}[ \t]*[\"']?$".replace("\\", "\\\\").replace("'", "\\'") + "' as double)",
+    "equals": "cast(x.before rlike '=>?[\"\\']?$' as double)",
+    "word": "cast(x.value rlike '^[A-Za-z]?[a-z]+([ .!?,-]+[A-Za-z]?[a-z]+)*[.!?)]*$' as double)",
+    "stand_in": "cast(x.value rlike '" + STAND_IN.replace("\\", "\\\\").replace("'", "\\'") + "' as double)",
+    "ends": r"cast(x.after rlike '^[,;]*[ \\t]*(\\r?\\n|$)' as double)",
     "quoted": "cast(x.before rlike '[\"\\']$' and x.after rlike '^[\"\\']' as double)",
 }
+# a value set as programs and settings do it, as prose after a colon is not
+FEATURES["setting"] = "least({assigned}, 1 - {stand_in}, greatest({equals}, {quoted}, {ends}))".format(**FEATURES)
 
 
 def candidates(text: Column) -> Column:
@@ -112,6 +138,17 @@ def labelled_findings(n: int = 1500, seed: int = 41) -> list[tuple[str, int]]:
     hexa, up, both = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     filler = ["of the", "and so", "was in", "der die", "que la", "le des", "then", "is at", "with a", "und nicht", "para", "une"]
     say = lambda: " ".join(r.choice(filler) for _ in range(r.randint(1, 4)))
+    letters, named = "abcdefghijklmnopqrstuvwxyz", ["password", "db_password", "passwd", "pwd", "PASSWORD", "secret", "client_secret", "token", "auth_token", "api_key", "API_KEY", "passphrase", "credential"]
+    gone = ["null", "None", "true", "False", "required", "optional", "string", "****", "********", "xxxx", "redacted", "unknown", "your-password", "your_token", "expired", "missing", "<password>", "[SECRET]", "password", "..."]
+    word = lambda: "".join(r.choice(["ba", "do", "sun", "ter", "mi", "sword", "fish", "let", "gar", "den", "ro", "hun", "dra", "gon", "lo", "ve", "ing", "ma"]) for _ in range(r.randint(2, 4)))
+    marks = "!@#$%^&*.?+-_~"
+
+    def password() -> str:
+        """A short one as people make them: a word, altered, with figures or punctuation, or random characters."""
+        w = word()
+        w = r.choice([w, w.capitalize(), w.replace("o", "0").replace("e", "3"), w.replace("a", "@")])
+        return r.choice([w + pick("0123456789", r.randint(1, 4)), w + r.choice(marks) + pick("0123456789", r.randint(1, 4)), w + pick(marks, 2) + word(), pick(letters, 1) + pick(both + marks, r.randint(5, 14))])
+
     secrets = [
         lambda: r.choice(["", "key ", "aws_access_key_id = ", "AWS: "]) + r.choice(["AKIA", "ASIA"]) + pick(up, 16),
         lambda: r.choice(["password=", "password: ", "passwd = ", "pwd=", "db_password="]) + r.choice([pick(hexa, r.randint(14, 24)), pick(both, r.randint(12, 24)) + "7"]),
@@ -119,6 +156,23 @@ def labelled_findings(n: int = 1500, seed: int = 41) -> list[tuple[str, int]]:
         lambda: "Authorization: Bearer " + pick(both, r.randint(24, 60)) + "4",
         lambda: r.choice(["", "token "]) + "ghp_" + pick(both, 35) + "8",
         lambda: "private_key = " + pick(both + "+/", 63) + "9=",
+        lambda: r.choice(["", "key ", "AWS: ", "see "]) + r.choice(["AKIA", "ASIA"]) + pick(letters.upper(), 16),
+        lambda: r.choice(["", "use "]) + r.choice(["ghp_" + pick(both, 36), "xoxb-" + pick(both, 24), "sk_live_" + pick(both, 24), "AIza" + pick(both + "_-", 35), "sk-" + pick(both, 32)]),
+        lambda: "Authorization: Bearer " + r.choice([pick(letters + letters.upper(), r.randint(16, 40)), "eyJ" + pick(both, 20) + ".eyJ" + pick(both, 30) + "." + pick(both, 30)]),
+        lambda: r.choice(named) + r.choice(["=", " = ", ": "]) + password(),
+        lambda: r.choice(named) + r.choice(["=", " = ", ": ", "': ", " => "]) + r.choice(['"%s"', "'%s'"]) % r.choice([password(), word(), pick(letters + letters.upper(), r.randint(12, 40)), word() + " " + password()]),
+        lambda: r.choice(named) + "=" + r.choice([word(), pick(letters + letters.upper(), r.randint(6, 24))]),
+        lambda: r.choice(named) + ": " + word() + "\n",
+        lambda: r.choice(["my password is ", "the token is ", "passcode is "]) + password(),
+        lambda: r.choice(named) + r.choice(["=", ": "]) + pick("0123456789", r.randint(4, 10)),
+        lambda: r.choice(["token = ", "api_key = ", "secret: "]) + r.choice(['"%s"', "'%s'", "%s"]) % pick(letters + letters.upper(), r.randint(16, 40)),
+    ]
+    plain = [
+        lambda: r.choice(["password", "the secret", "Password", "token", "this token", "credentials", "pass"]) + r.choice([": ", " is "]) + word() + " " + say() + r.choice(["", "."]),
+        lambda: r.choice(named) + r.choice(["=", ": ", " = "]) + r.choice(["%s", "%s\n", '"%s"']) % r.choice(gone),
+        lambda: r.choice(["The secret: ", "password: ", "token: "]) + r.choice(filler) + " " + word() + ", " + say(),
+        lambda: r.choice(named) + r.choice([" = ", "="]) + r.choice(["get_%s()", "os.environ['%s']", "${%s}", "<%s>", "{{ %s }}", "args.%s", "self.%s", "config.%s", "$%s", "getpass(%s)"]) % r.choice([word(), word().upper()]),
+        lambda: r.choice(["sk-", "AKIA ", "eyJ "]) + "-".join(word() for _ in range(3)),
     ]
     harmless = [
         lambda: r.choice(["commit ", "sha ", "sha256: ", "md5=", "checksum ", "revision ", "etag: "]) + pick(hexa, r.choice([32, 40, 64])),
@@ -133,6 +187,7 @@ def labelled_findings(n: int = 1500, seed: int = 41) -> list[tuple[str, int]]:
         lambda: pick("abcdefghijklmnopqrstuvwxyz", 7) + "_mail_" + pick("0123456789", 3) + "@mail.example.com",
         lambda: "password reset for order " + pick("0123456789", 12),
     ]
+    harmless += plain * 2  # as many as there are secrets of the kinds that these look like
     out = []
     for i in range(n):
         good = i % 2 == 0
