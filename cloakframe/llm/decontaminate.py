@@ -9,6 +9,10 @@ exact edit distance between the item and its best stretch of the document.
 Windows start where an item could: an item of n words within k edits keeps one of any k + 1 disjoint runs of its
 words, so every window that can match has an intact run of n // (k + 1) words (three at most here) of some item.
 Only windows placed by such runs are embedded; that loses nothing and spares almost all positions.
+
+Items of a size for which no bounded number of repetitions reaches the target recall (from some 300 words on) are not
+embedded: k edits spoil at most k * q of an item's runs of q words, so stretches of a document with fewer of its runs
+than the rest hold no match, and all others are verified exactly.
 """
 
 from __future__ import annotations
@@ -46,8 +50,8 @@ def word_sequences(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def edit_distance(item: np.ndarray, text: np.ndarray) -> int:
-    """The least edit distance between the item and any stretch of text."""
+def _last_row(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The least edit distance between the item and any stretch of text that ends at each place."""
     row = np.zeros(len(text) + 1, np.int64)
     step = np.arange(len(text) + 1)
     for i, x in enumerate(item):
@@ -55,7 +59,12 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> int:
         t[0] = i + 1
         t[1:] = np.minimum(row[1:] + 1, row[:-1] + (text != x))
         row = np.minimum.accumulate(t - step) + step
-    return int(row.min())
+    return row
+
+
+def edit_distance(item: np.ndarray, text: np.ndarray) -> int:
+    """The least edit distance between the item and any stretch of text."""
+    return int(_last_row(item, text).min())
 
 
 def walk(words: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, steps: np.ndarray) -> np.ndarray:
@@ -80,6 +89,7 @@ class Items:
     allowed: np.ndarray
     runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     tables: list[tuple[int, int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]] = field(default_factory=list)
+    exact: set[int] = field(default_factory=set)  # size levels without tables: each placed window is verified
 
 
 def _edited(w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -135,15 +145,22 @@ def index_items(ids: list[int], texts: list[str], share: float = 0.2, recall: fl
             missed &= walk(tflat, tstart, tend, s, steps) != keys[source]
             order = np.argsort(keys, kind="stable")
             tables.append((s, steps, keys[order], members[order]))
-        items.tables.append((int(lv), least, tables))
+        if missed.mean() > 1 - recall:
+            items.exact.add(int(lv))
+        else:
+            items.tables.append((int(lv), least, tables))
     return items
 
 
-def _windows(items: Items, w: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
-    """Starts of the windows to embed, by the size level of the items they could hold."""
+def _windows(items: Items, w: np.ndarray, first: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Starts of the windows to embed, by the size level of the items they could hold; runs of exactly verified items.
+
+    A row per run: document, item, q, and where the item would start if nothing before the run were edited.
+    """
     found: dict[int, list[np.ndarray]] = {}
+    runs = [np.zeros((0, 4), np.int64)]
     if not len(w):
-        return {}
+        return {}, runs[0]
     doc = np.searchsorted(first, np.arange(len(w)), side="right") - 1
     for q, (grams, cut, where, bitmap) in items.runs.items():
         g = combine(w, q)
@@ -159,13 +176,49 @@ def _windows(items: Items, w: np.ndarray, first: np.ndarray) -> dict[int, np.nda
         start = np.maximum(at - offset, first[doc[at]])
         level = np.floor(np.log2([len(items.words[i]) for i in range(len(items.words))])).astype(int)[item]
         for lv in np.unique(level):
-            found.setdefault(int(lv), []).append(start[level == lv])
-    return {lv: np.unique(np.concatenate(s)) for lv, s in found.items()}
+            here = level == lv
+            if int(lv) in items.exact:
+                runs.append(np.stack([doc[at[here]], item[here], np.full(here.sum(), q), (at - offset)[here]], 1))
+            else:
+                found.setdefault(int(lv), []).append(start[here])
+    return {lv: np.unique(np.concatenate(s)) for lv, s in found.items()}, np.concatenate(runs)
+
+
+def _exact_matches(items: Items, w: np.ndarray, first: np.ndarray, runs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """As match_documents, of the items whose runs are given: every stretch with enough of an item's runs is verified."""
+    runs = runs[np.lexsort((runs[:, 3], runs[:, 1], runs[:, 0]))]
+    cut = np.flatnonzero(np.concatenate([[True], (runs[1:, :2] != runs[:-1, :2]).any(1), [True]])) if len(runs) else []
+    for lo, hi in zip(cut, cut[1:]):
+        d, m, q, _ = runs[lo].tolist()
+        item, k = items.words[m], int(items.allowed[m])
+        need = len(item) - q + 1 - k * q
+        if hi - lo < need:
+            continue
+        at = runs[lo:hi, 3]
+        end = np.searchsorted(at, at + 2 * k, side="right")  # the runs of one match shift by at most k either way
+        stretches: list[list[int]] = []
+        for i in np.flatnonzero(end - np.arange(len(at)) >= need).tolist():
+            a, b = max(int(first[d]), int(at[i]) - k), min(int(first[d + 1]), int(at[end[i] - 1]) + len(item) + 2 * k)
+            if stretches and a <= stretches[-1][1]:
+                stretches[-1][1] = max(b, stretches[-1][1])
+            else:
+                stretches.append([a, b])
+        best = (k + 1, 0)
+        for a, b in stretches:
+            x = edit_distance(item, w[a:b])
+            if x < best[0]:
+                # the closest stretch ends at the first least entry; read backwards, so does its start
+                stop = a + int(np.argmin(_last_row(item, w[a:b])))
+                back = _last_row(item[::-1], w[a:stop][::-1])
+                best = (x, stop - int(np.argmin(back)) - int(first[d]))
+        if best[0] <= k:
+            yield d, m, *best
 
 
 def match_documents(items: Items, w: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(document, item, distance, first word of the window) of the items that documents hold, closest window each."""
-    windows = _windows(items, w, first)
+    windows, runs = _windows(items, w, first)
+    exact = list(_exact_matches(items, w, first, runs))
     pairs = []
     for lv, _, tables in items.tables:
         start = windows.get(lv)
@@ -179,9 +232,7 @@ def match_documents(items: Items, w: np.ndarray, first: np.ndarray) -> Iterator[
             n = (hi - lo)[hit]
             row = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
             pairs.append(np.stack([np.repeat(start[hit], n), members[row]], 1))
-    if not pairs:
-        return
-    p = np.unique(np.concatenate(pairs), axis=0)
+    p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for s, m in p.tolist():
         d = int(np.searchsorted(first, s, side="right")) - 1
@@ -195,8 +246,7 @@ def match_documents(items: Items, w: np.ndarray, first: np.ndarray) -> Iterator[
         x = edit_distance(item, part)
         if x <= k and x < best.get((d, m), (k + 1, 0))[0]:
             best[d, m] = (x, s - int(first[d]))
-    for (d, m), (x, s) in sorted(best.items()):
-        yield d, m, x, s
+    yield from sorted([*exact, *((d, m, x, s) for (d, m), (x, s) in best.items())])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.98, block: int = 20_000) -> DataFrame:

@@ -109,6 +109,25 @@ def test_decontamination_equals_brute_force():
     assert edit_distance(seq, np.concatenate([_edited(seq, 3, rng), seq[:2]])) <= 3
 
 
+def test_decontamination_of_long_items():
+    from cloakframe.llm.decontaminate import _edited, edit_distance, index_items, match_documents, word_sequences
+
+    rng, r = np.random.default_rng(5), random.Random(5)
+    items = [words(r, n) for n in (20, 300, 500, 800)]
+    index, seqs = index_items(list(range(4)), items), word_sequences(items)
+    assert all(lv in index.exact or lv in {t[0] for t in index.tables} for lv in (4, 8, 9)) and len(index.exact) >= 1
+    around = lambda: word_sequences([words(r, 60)])[0]
+    for n in range(24):
+        m = 1 + n % 3
+        k = len(seqs[m]) // 5 + (20 if n >= 21 else 0)  # at the largest distance allowed; the last three are beyond it
+        edited = _edited(seqs[m], k, rng)
+        doc = np.concatenate([around(), edited, around()])
+        found = [f for f in match_documents(index, doc, np.array([0, len(doc)])) if f[1] == m]
+        x = edit_distance(seqs[m], doc)
+        assert [f[2] for f in found] == ([x] if x <= len(seqs[m]) // 5 else [])
+        assert all(abs(f[3] - 60) <= k for f in found)
+
+
 def test_secrets_and_masking(spark):
     from cloakframe.llm.secrets import redact
 
