@@ -149,29 +149,36 @@ def csv_text(cells: DataFrame, quoted: DataFrame) -> DataFrame:
 
 
 def write_files(changed: DataFrame, root: str, source: str | None = None) -> DataFrame:
-    """Write (path, zip_path, text) under root, UTF-8; one row per file written. Lazy: count() it to write.
+    """Write (path, zip_path, text) under root; one row per file written. Lazy: count() it to write.
 
-    Entries of one archive are put into a copy of source's archive, made anew and moved into place when complete.
+    Entries of one archive are put into a copy of source's archive, made anew and moved into place when complete; if
+    there is no such archive, they make a new one. Texts are UTF-8 unless a column charset says otherwise.
     """
     ship(changed.sparkSession)
+    charset = F.col("charset") if "charset" in changed.columns else F.lit(None).cast("string")
 
     def write(table: pa.Table) -> pa.Table:
         path = table.column("path")[0].as_py()
         target = os.path.join(root, path)
         os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-        entries = dict(zip(table.column("zip_path").to_pylist(), table.column("text").to_pylist()))
+        rows = zip(*(table.column(c).to_pylist() for c in ("zip_path", "text", "charset")))
+        entries = {z: t.encode(c or "utf-8") for z, t, c in rows}
         part = f"{target}.part"
         if None in entries:
-            with open(part, "w", encoding="utf-8", newline="") as f:
+            with open(part, "wb") as f:
                 f.write(entries[None])
+        elif not os.path.exists(os.path.join(source or root, path)):
+            with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as new:
+                for name in sorted(entries):
+                    new.writestr(name, entries[name])
         else:
             with zipfile.ZipFile(os.path.join(source or root, path)) as old, zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as new:
                 for e in old.infolist():
-                    new.writestr(e, entries[e.filename].encode() if e.filename in entries else old.read(e))
+                    new.writestr(e, entries[e.filename] if e.filename in entries else old.read(e))
         os.replace(part, target)
         return pa.table({"path": pa.array([path]), "entries": pa.array([len(entries)], pa.int32())})
 
-    return changed.select("path", "zip_path", "text").groupBy("path").applyInArrow(write, "path string, entries int")
+    return changed.select("path", "zip_path", "text", charset.alias("charset")).groupBy("path").applyInArrow(write, "path string, entries int")
 
 
 __all__ = ["path_guarded", "read_files", "decoded", "csv_cells", "csv_text", "write_files", "listing", "quote_all", "csv_config", "base_name", "is_csv"]

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from cloakframe.functions.text import context, path_regex, word_hash
@@ -109,3 +111,17 @@ def test_files_archives_and_charsets(spark, tmp_path):
     assert write_files(new, str(out), str(tmp_path)).count() == 1
     assert zipfile.ZipFile(out / "z.dat").read("in/e.csv") == b"new"
     assert spark.range(1).select(quote_all(F.lit('"a","b"\n')), quote_all(F.lit("a\n")), quote_all(F.lit('# x\n"a"'), "#")).first() == (True, False, True)
+
+
+def test_file_scan_gives_the_documents_table_back(spark, tmp_path):
+    from cloakframe.plans.queries import file_scan_charset_zip
+
+    rows = [(i, f"tímido {i}\r\nund schön\n" if i % 3 else f"plain {i} 日本" if i % 2 else f"ascii {i}") for i in range(300)]
+    rows += [(300, None), (301, ""), (7, "tímido 7 again"), (7, "tímido 7 again"), (None, "no id"), (-5, "Ã©")]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    t.write.parquet(str(tmp_path / "documents.parquet"))
+    got = file_scan_charset_zip(spark, str(tmp_path)).collect()
+    key = lambda r: (r[0] is None, r)
+    want = [(i, len(x or ""), hashlib.sha256((x or "").encode()).hexdigest()) for i, x in rows]
+    assert sorted(((r.doc_id, r.n_chars, r.text_sha256) for r in got), key=key) == sorted(want, key=key)
+    assert {r.zipped for r in got} == {True, False} and {r.error for r in got} == {None, "UTF-8 encoding incompatible"}
