@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,34 +13,63 @@ WORD = r"[\p{IsAlphabetic}\p{IsDigit}]"
 EOL = "\r\n|\n|\r"
 
 
+CHUNK = 512
+_POWERS = [1 << i for i in range(31)]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once: a lambda computes what it holds again for every element."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
+def running(sizes: Column, join: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """Running sums (or joins) of an array of ints by doubling: n log n steps, where appending to an array takes n * n."""
+    shifts = F.slice(F.array(*map(F.lit, _POWERS)), F.lit(1), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(1)))).cast("int"))
+    return F.aggregate(shifts, sizes, lambda z, by: F.transform(z, lambda x, i: F.when(i >= by, join(x, F.get(z, i - by))).otherwise(x)))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, word>> of the matches of a pattern; places count code points from 0."""
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
 
     def placed(v: Column) -> Column:
-        sizes = F.transform(F.arrays_zip(v["gaps"], v["hits"]), lambda x: F.struct(F.length(x["gaps"]).alias("g"), F.coalesce(F.length(x["hits"]), F.lit(0)).alias("h")))
-        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda z, x: F.concat(z, F.array(F.element_at(z, -1) + x["g"] + x["h"])))
-        return F.transform(F.array(F.struct(v["hits"].alias("hits"), ends.alias("ends"))), lambda w: F.transform(
-            w["hits"], lambda h, i: F.struct((w["ends"][i + 1] - F.length(h)).alias("start"), w["ends"][i + 1].alias("end"), h.alias("word"))))[0]
+        sizes = F.transform(v["gaps"], lambda g, i: F.length(g) + F.coalesce(F.length(F.get(v["hits"], i)), F.lit(0)))
+        return let(let(sizes, running), lambda ends: F.transform(
+            v["hits"], lambda h, i: F.struct((F.get(ends, i) - F.length(h)).alias("start"), F.get(ends, i).alias("end"), h.alias("word"))))
+
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>"))
+
+
+def chunks(text: Column) -> Column:
+    """A text in stretches of CHUNK code points, from which piece() cuts without going through all of it."""
+    return F.when(F.length(text) <= CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
 
-    rows = F.transform(F.array(parts), placed)[0]  # bound once: a lambda would match the pattern again for every hit
-    return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>"))
 
+def piece(parts: Column, start: Column, size: Column) -> Column:
+    """size code points of a text in chunks, from start (0: the first; none before it)."""
+    size = F.greatest(size, F.lit(0))
+    near = F.slice(parts, (F.floor(start / CHUNK) + 1).cast("int"), (F.floor(size / CHUNK) + 2).cast("int"))
+    return F.substring(F.array_join(near, ""), (start % CHUNK + 1).cast("int"), size.cast("int"))
 
-def whole_word(line: Column, start: Column, end: Column) -> Column:
-    """Neither neighbour of the span is a letter or digit."""
-    before, after = F.when(start > 0, F.substring(line, start, F.lit(1))).otherwise(""), F.substring(line, end + 1, F.lit(1))
-    return ~before.rlike(WORD) & ~after.rlike(WORD)
 
+def whole_word(parts: Column, start: Column, end: Column) -> Column:
+    """Neither neighbour of the span (of a text in chunks) is a letter or digit."""
+    one = F.lit(1)
+    return ~F.when(start > 0, piece(parts, F.greatest(start - 1, F.lit(0)), one)).otherwise("").rlike(WORD) & ~piece(parts, end, one).rlike(WORD)
 
-def context(line: Column, start: Column, end: Column, keep: int = 15) -> Column:
-    """The span with up to keep characters on each side; `..` marks a cut, and no cut saves fewer than two."""
-    n, zero = F.length(line), F.lit(0)
+
+def context(parts: Column, n: Column, start: Column, end: Column, keep: int = 15) -> Column:
+    """The span of a text (in chunks, of n code points) with up to keep characters on each side.
+
+    `..` marks a cut, and no cut saves fewer than two.
+    """
+    zero = F.lit(0)
     low = F.when((start - keep < 0) | ((start > keep) & (start - keep - 2 < 0)), zero).otherwise(start - keep)
     high = F.when((end + keep > n) | ((end + keep < n) & (end + keep + 2 > n)), n).otherwise(end + keep)
-    low = low + F.length(F.regexp_extract(F.substring(line, low + 1, F.greatest(start - 1 - low, zero)), r"^[\x00-\x20]*", 0))
-    high = high - F.length(F.regexp_extract(F.substring(line, end + 2, F.greatest(high - end - 1, zero)), r"[\x00-\x20]*\z", 0))
-    return F.concat(F.when(low > 0, "..").otherwise(""), F.substring(line, low + 1, high - low), F.when(high < n, "..").otherwise(""))
+    low = low + F.length(F.regexp_extract(piece(parts, low, start - 1 - low), r"^[\x00-\x20]*", 0))
+    high = high - F.length(F.regexp_extract(piece(parts, end + 1, high - end - 1), r"[\x00-\x20]*\z", 0))
+    return let(F.struct(low.alias("low"), high.alias("high")), lambda x: F.concat(
+        F.when(x["low"] > 0, "..").otherwise(""), piece(parts, x["low"], x["high"] - x["low"]), F.when(x["high"] < n, "..").otherwise("")))
 
 
 def word_hash(word: Column) -> Column:
@@ -49,36 +80,41 @@ def word_hash(word: Column) -> Column:
     return F.when(n == 0, F.lit(0).cast("bigint")).otherwise(F.abs(code))
 
 
+def filled_hash(template: Column, number: Column) -> Column:
+    """A template with {hash} put in; {name:-default} of any other name gives its default, ${ stands for a plain {."""
+    out = F.regexp_replace(template, r"\$\{", "\u0001")
+    out = F.regexp_replace(out, F.lit(r"\{hash(?::-[^{}]*)?\}"), number)
+    return F.replace(F.regexp_replace(out, r"\{[^{}]*?:-([^{}]*)\}", "$1"), F.lit("\u0001"), F.lit("{"))
+
+
 def blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
+# A path pattern (? one character, * within a folder, ** as a whole folder name: any folders) as a regular expression, step
+# by step; every step is the same in Python and in Spark.
+_HEAD, _TAIL, _ALL = "\u0001", "\u0002", "\u0003"
+PATH_STEPS = [
+    (r"\?", "[^/]"), (rf"(?:(?<=/)|^)\*\*/", _HEAD), (rf"(?:(?<={_HEAD})|^)\*\*$", _ALL), (r"/\*\*$", _TAIL), (r"\*+", "[^/]*"),
+    (_HEAD, "(?:[^/]+/)*"), (_TAIL, "(?:/[^/]+)*"), (_ALL, ".*"),
+]
+_SPECIAL = r"([.+^$()\[\]{}|])"
+
+
 def path_regex(pattern: str) -> str:
-    """A path pattern (? one character, * within a folder, ** any folders) as a regular expression."""
-    pattern = pattern.replace("\\", "/")
-    out, i = "", 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
-            out += "(?:[^/]+/)*" if i + 3 < len(pattern) else "(?:[^/]+/)*"
-            i += 3
-        elif pattern.startswith("/**", i) and i + 3 == len(pattern):
-            out += "(?:/[^/]+)*"
-            i += 3
-        elif pattern.startswith("**", i):
-            out += ".*" if i + 2 == len(pattern) and (i == 0 or pattern[i - 1] == "/") else "[^/]*"
-            i += 2
-        elif pattern[i] == "*":
-            out += "[^/]*"
-            i += 1
-        elif pattern[i] == "?":
-            out += "[^/]"
-            i += 1
-        else:
-            out += re.escape(pattern[i])
-            i += 1
+    out = re.sub(_SPECIAL, r"\\\1", pattern.replace("\\", "/"))
+    for find, put in PATH_STEPS:
+        out = re.sub(find, lambda _, put=put: put, out)
     return f"^{out}$"
 
 
+def path_regex_column(pattern: Column) -> Column:
+    out = F.regexp_replace(F.replace(pattern, F.lit("\\"), F.lit("/")), _SPECIAL, r"\\$1")
+    for find, put in PATH_STEPS:
+        out = F.regexp_replace(out, find, put)
+    return F.concat(F.lit("^"), out, F.lit("$"))
+
+
 def path_guarded(path: Column, guard: list[str], ignore: list[str]) -> Column:
     """Some guard pattern and no ignore pattern fits; a name that ends with / meets only such patterns, case aside."""
     p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import blank, context, path_regex
+from cloakframe.functions.text import blank, path_regex, path_regex_column
 
 SCHEMA = "Allow string, Text string, Context string, File string, Line string, Replacement string, Comment string"
 REPORT = "Allow boolean, Text string, Context string, File string, Line int, Replacement string, Comment string"
@@ -17,14 +17,22 @@ def to_boolean(c: Column) -> Column:
 
 
 def read_instructions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Report files as instructions: header, trimmed cells, missing columns empty, missing files nothing."""
+    """Report files as instructions, by the names in their headers: trimmed cells, missing columns empty, missing files nothing.
+
+    Allow and Text are required.
+    """
     out = spark.createDataFrame([], REPORT + ", src int")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for i, p in enumerate(paths):
         path = jvm.org.apache.hadoop.fs.Path(p)
         if path.getFileSystem(conf).exists(path):
-            raw = spark.read.schema(SCHEMA).csv(p, header=True, escape='"', multiLine=True, enforceSchema=True, mode="PERMISSIVE")
-            out = out.unionByName(typed(raw).withColumn("src", F.lit(i)))
+            raw = spark.read.csv(p, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+            names = {c.strip(): c for c in raw.columns}
+            if lost := {"Allow", "Text"} - set(names):
+                raise ValueError(f"{p}: no column {sorted(lost)}")
+            columns = [c.split()[0] for c in SCHEMA.split(", ")]
+            rows = raw.select(*[(F.col(f"`{names[c]}`") if c in names else F.lit("")).alias(c) for c in columns])
+            out = out.unionByName(typed(rows).withColumn("src", F.lit(i)))
     return out
 
 
@@ -38,11 +46,8 @@ def typed(raw: DataFrame) -> DataFrame:
 
 def prepared(instructions: DataFrame) -> DataFrame:
     """Distinct instructions with lower-cased text and context and the file pattern as a regular expression."""
-    to_regex = F.col("File")
-    for find, put in ((r"([.+^$()\[\]{}|])", r"\\$1"), (r"\?", "[^/]"), (r"(^|/)\*\*/", "$1\u0001"), (r"\*\*", "\u0002"), (r"\*", "[^/]*"), ("\u0001", "(?:[^/]+/)*"), ("\u0002", ".*")):
-        to_regex = F.regexp_replace(to_regex, find, put)
     rows = instructions.select("Allow", F.lower("Text").alias("Text"), F.lower("Context").alias("Context"), "File", "Line", "Replacement", "Comment").distinct()
-    return rows.withColumn("file_rx", F.concat(F.lit("^"), to_regex, F.lit("$")))
+    return rows.withColumn("file_rx", path_regex_column(F.col("File")))
 
 
 def simple_replacements(instructions: DataFrame) -> DataFrame:
@@ -51,14 +56,18 @@ def simple_replacements(instructions: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower("Text").alias("word_lc")).agg(F.array_sort(F.collect_set("Replacement")).alias("values"))
 
 
-def decided(matches: DataFrame, instructions: DataFrame, keep: int = 15, least: int = 1) -> DataFrame:
-    """Matches with their context and the instruction that fits best: i_allow, i_replacement, i_comment (or nulls).
+def decided(matches: DataFrame, instructions: DataFrame, least: int = 1) -> DataFrame:
+    """Matches (with their context) and the instruction that fits best: i_allow, i_replacement, i_comment (or nulls).
 
     It fits by text, context (blank, equal, or a part long enough that holds the word) and file (blank, equal or
     pattern); of several, the one for this very line wins, then longer context, longer file, false before true.
     """
-    m = matches.withColumn("context", context(F.col("line"), F.col("start"), F.col("end"), keep)).withColumn("ctx", F.lower("context"))
-    i = prepared(instructions).where(~blank(F.col("Text"))).select(*[F.col(c).alias(f"i_{c.lower()}") for c in ("Allow", "Text", "Context", "File", "Line", "Replacement", "Comment")], "file_rx")
+    told = prepared(instructions).where(~blank(F.col("Text")))
+    if told.isEmpty():
+        none = {"i_allow": "boolean", "i_replacement": "string", "i_comment": "string"}
+        return matches.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    m = matches.withColumn("ctx", F.lower("context"))
+    i = told.select(*[F.col(c).alias(f"i_{c.lower()}") for c in ("Allow", "Text", "Context", "File", "Line", "Replacement", "Comment")], "file_rx")
     told = F.col("i_context")
     same_context = (
         blank(told) | (told == F.col("ctx"))
@@ -66,25 +75,34 @@ def decided(matches: DataFrame, instructions: DataFrame, keep: int = 15, least:
     )
     same_file = blank(F.col("i_file")) | (F.col("i_file") == F.col("file")) | F.expr("file rlike file_rx")
     hit = m.join(i, (F.col("i_text") == F.col("word_lc")) & same_context & same_file)
-    key = ["file", "line_num", "start", "end", "src"]
+    key = ["file", "line_num", "part", "start", "end", "src"]
     exact = F.when(~blank(F.col("i_file")) & F.col("i_line").eqNullSafe(F.col("line_num")), 0).otherwise(1)
     order = F.struct(exact, -F.length(told), -F.length("i_file"), F.coalesce(F.col("i_allow").cast("int"), F.lit(2)), F.col("i_replacement"), F.col("i_comment"))
     best = hit.groupBy(*key).agg(F.min_by(F.struct("i_allow", "i_replacement", "i_comment"), order).alias("b"))
-    return m.join(best, key, "left").select(*m.columns, "b.i_allow", "b.i_replacement", "b.i_comment")
+    return m.join(best, key, "left").select(*matches.columns, "b.i_allow", "b.i_replacement", "b.i_comment")
 
 
-def allowed_files(instructions: DataFrame) -> list[str]:
-    """Patterns of instructions without a text: their files are skipped whole, whatever Allow says (a small list)."""
-    return [r.f for r in instructions.where(blank(F.col("Text")) & ~blank(F.col("File"))).select(F.lower("File").alias("f")).distinct().orderBy("f").collect()]
+def skipped_rows(rows: DataFrame, instructions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that are not skipped, and a report row for each skipped file.
 
-
-def skipped_rows(rows: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """rows of other files, and a report row for each skipped file."""
-    if not patterns:
-        return rows, rows.sparkSession.createDataFrame([], REPORT)
-    skip = F.lower("file").rlike("|".join(f"(?:{path_regex(p)})" for p in patterns))
-    report = rows.where(skip).select("file").distinct().select(
+    Instructions without a text skip their files whole, whatever Allow says. Plain paths meet the rows in a join; only
+    patterns, which people write, become one expression.
+    """
+    told = instructions.where(blank(F.col("Text")) & ~blank(F.col("File"))).select(F.lower("File").alias("skip_file")).distinct()
+    patterns = [r.skip_file for r in told.where(F.col("skip_file").rlike(r"[*?]")).orderBy("skip_file").collect()]
+    plain, empty = told.where(~F.col("skip_file").rlike(r"[*?]")), rows.sparkSession.createDataFrame([], REPORT)
+    live, gone = rows, None
+    if patterns:
+        fits = F.lower("file").rlike("|".join(f"(?:{path_regex(p)})" for p in patterns))
+        live, gone = live.where(~fits), rows.where(fits).select("file")
+    if not plain.isEmpty():
+        same = F.lower("file") == F.col("skip_file")
+        also = live.join(plain, same, "left_semi").select("file")
+        live, gone = live.join(plain, same, "left_anti"), also if gone is None else gone.unionAll(also)
+    if gone is None:
+        return rows, empty
+    report = gone.distinct().select(
         F.lit(True).alias("Allow"), F.lit("").alias("Text"), F.lit("").alias("Context"), F.col("file").alias("File"), F.lit(0).alias("Line"),
         F.lit(None).cast("string").alias("Replacement"), F.lit("Ignore file due to previous failure").alias("Comment"),
     )
-    return rows.where(~skip), report
+    return live, report

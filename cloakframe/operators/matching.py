@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import EOL, WORD, blank, spans, whole_word
+from cloakframe.functions.text import EOL, WORD, blank, chunks, context, let, piece, spans, whole_word
 
-MATCH = ["file", "line_num", "line", "start", "end", "word", "word_lc", "reason", "template", "src"]
+KEY = ["file", "line_num", "part"]
+MATCH = [*KEY, "start", "end", "word", "word_lc", "reason", "template", "src", "context"]
+SMALL = 5_000  # terms that are looked up within the lines; more of them meet the tokens in a shuffled join
 
 
 @dataclass
@@ -43,71 +45,140 @@ def lines(rows: DataFrame, file: str, text: str) -> DataFrame:
     return rows.select("file", (F.col("n") + 1).cast("int").alias("line_num"), "line")
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Lines with part (which cell of a record; 0 in texts) and prefix (what its contexts begin with)."""
+    part = F.col("part") if "part" in rows.columns else F.lit(0)
+    prefix = F.col("prefix") if "prefix" in rows.columns else F.lit("")
+    return rows.select("file", "line_num", part.alias("part"), prefix.alias("prefix"), "line")
+
+
 def tokens(rows: DataFrame) -> DataFrame:
     """Every maximal run of letters and digits with its place."""
-    t = rows.select("file", "line_num", "line", F.explode(spans(F.col("line"), WORD + "+")).alias("t"))
-    return t.select("file", "line_num", "line", "t.start", "t.end", "t.word", F.lower("t.word").alias("word_lc"))
+    t = rows.select("file", "line_num", F.explode(spans(F.col("line"), WORD + "+")).alias("t"))
+    return t.select("file", "line_num", "t.start", "t.end", "t.word", F.lower("t.word").alias("word_lc"))
 
 
 def value_frames(spark: SparkSession, guard: Guard) -> DataFrame:
-    """Values that are one word, as a table to join."""
-    rows = [(k, v) for k, v in guard.values.items() if k.isalnum()]
-    return spark.createDataFrame(rows, "word_lc string, template string")
-
-
-def word_matches(rows: DataFrame, words: DataFrame) -> DataFrame:
-    found = tokens(rows).join(words, "word_lc")
-    return found.select("file", "line_num", "line", "start", "end", "word", "word_lc", F.concat(F.lit("Value "), "word_lc").alias("reason"), "template", F.lit(0).alias("src"))
-
-
-def _searched(line: Column, pattern: str, reason: str, template: str, src: int) -> Column:
-    """Matches of one pattern in the lower-cased line as structs, whole words only."""
-    low = F.lower(line)
-    found = F.filter(spans(low, pattern), lambda s: (s["end"] > s["start"]) & whole_word(low, s["start"], s["end"]))
-    return F.transform(
-        found,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.substring(line, s["start"] + 1, s["end"] - s["start"]).alias("word"),
-            s["word"].alias("word_lc"),
-            F.lit(reason).alias("reason"),
-            F.lit(template).alias("template"),
-            F.lit(src).alias("src"),
-        ),
-    )
+    """The guard's values, words and phrases, as a table to join."""
+    return spark.createDataFrame([(k, v) for k, v in guard.values.items() if k], "word_lc string, template string")
+
+
+def terms(words: DataFrame) -> DataFrame:
+    """words with anchor, their longest run of letters and digits, and at, its place in them (null: there is none).
+
+    A whole-word match of a phrase has each such run of it as a token of the line, so that the anchor finds it by an
+    equality join.
+    """
+    runs = F.transform(spans(F.col("word_lc"), WORD + "+"), lambda t: F.struct((t["start"] - t["end"]).alias("n"), t["start"].alias("at"), t["word"].alias("anchor")))
+    return words.withColumn("t", F.get(F.array_sort(runs), F.lit(0))).select("word_lc", "template", "t.anchor", "t.at")
+
+
+def _searched(line: Column, searched: list[str], first: int) -> list[Column]:
+    """For each pattern its whole-word matches in the lower-cased line: start, end, word_lc and src from first on."""
 
+    def one(pattern: str, src: int) -> Column:
+        low = F.lower(line)
+        found = let(chunks(low), lambda parts: F.filter(spans(low, pattern), lambda s: (s["end"] > s["start"]) & whole_word(parts, s["start"], s["end"])))
+        rows = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["word"].alias("word_lc"), F.lit(src).alias("src")))
+        return F.when(low.rlike(pattern), rows).otherwise(F.array().cast("array<struct<start:int,end:int,word_lc:string,src:int>>"))
 
-def text_matches(rows: DataFrame, guard: Guard) -> DataFrame | None:
-    """Phrase and pattern matches; one whose span an earlier one with a template has is dropped."""
+    return [one(p, first + i) for i, p in enumerate(searched)]
+
+
+def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, keep: int = 15) -> DataFrame:
+    """Lines (file, line_num, part, prefix, line) that may have a match, and ms: their matches less the ignored, by place.
+
+    words replaces the guard's values. The lines are gone through once. A line's tokens that begin no term are dropped
+    within it; the others and its pattern matches come out as rows, of which the first carries the line, meet the terms
+    in a join, and are put together again. file, line_num and part tell lines apart.
+    """
     import re
 
-    phrases = [(re.sub(r"([^\w\s])", r"\\\1", k), f"Value {k}", v) for k, v in guard.values.items() if k and not k.isalnum()]
-    searched = phrases + [(p, f"Pattern {p}", (t or "").strip()) for p, t in guard.patterns.items()]
-    if not searched:
-        return None
-    parts = [_searched(F.col("line"), p, reason, t, i + 1) for i, (p, reason, t) in enumerate(searched)]
-    every = rows.select("file", "line_num", "line", F.concat(*parts).alias("all")).where(F.size("all") > 0)
-    kept = F.filter(
-        F.col("all"), lambda m: ~F.exists(F.col("all"), lambda x: (x["src"] < m["src"]) & (x["start"] == m["start"]) & (x["end"] == m["end"]) & (F.trim(x["template"]) != ""))
+    rows = keyed(rows)
+    every = terms(words if words is not None else value_frames(rows.sparkSession, guard))
+    bare = [(r.word_lc, r.template) for r in every.where("anchor is null and word_lc <> ''").collect()]  # phrases without a letter or digit
+    joined = every.where("anchor is not null").withColumnRenamed("word_lc", "term")
+    some = joined.select("anchor").distinct().limit(SMALL + 1).collect()
+    small = len(some) <= SMALL
+
+    # src: 0 words, 1 phrases, then bare phrases and patterns in order
+    searched = [(re.sub(r"([^\w\s])", r"\\\1", p), f"Value {p}", t) for p, t in bare] + [(p, f"Pattern {p}", (t or "").strip()) for p, t in guard.patterns.items()]
+    line = F.col("line")
+    toks = F.transform(spans(line, WORD + "+"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["word"]).alias("word_lc"), F.lit(0).alias("src")))
+    others = _searched(line, [p for p, _, _ in searched], 2)
+
+    def merged_rows(hits: DataFrame, *also: Column) -> DataFrame:
+        """The matches of each line, less the ignored (a row that is none of them still brings its line)."""
+        start = F.when(F.col("src") == 0, F.col("start") - F.col("at")).otherwise(F.col("start"))
+        end = F.when(F.col("src") == 0, start + F.length("term")).otherwise(F.col("end"))
+        src = F.when((F.col("src") == 0) & (F.col("term") != F.col("anchor")), 1).otherwise(F.col("src"))
+        hits = hits.withColumns({"start": start, "end": end, "word_lc": F.coalesce("term", "word_lc"), "src": src})
+        good = F.col("start") >= 0
+        if guard.ignore_values:
+            ignored = rows.sparkSession.createDataFrame([(v, True) for v in sorted(guard.ignore_values)], "word_lc string, ignored boolean")
+            hits = hits.join(ignored, "word_lc", "left")
+            good &= F.col("ignored").isNull()
+        for p in guard.ignore_patterns:
+            good &= ~F.col("word_lc").rlike(p)
+        m = F.when(good, F.struct("start", "end", "src", "word_lc", "template"))
+        return hits.groupBy(*KEY).agg(*also, F.sort_array(F.collect_list(m)).alias("ms"))
+
+    if small:
+        toks = F.filter(toks, lambda t: t["word_lc"].isin([r.anchor for r in some]))
+        hits = F.transform(F.concat(toks, *others), lambda t, i: t.withField("line", F.when(i == 0, line)))
+        hits = rows.select(*KEY, "prefix", F.explode(hits).alias("t")).select(*KEY, "prefix", "t.*")
+        hits = hits.join(F.broadcast(joined), (F.col("src") == 0) & (F.col("word_lc") == F.col("anchor")), "left")
+        per = merged_rows(hits, F.first("prefix").alias("prefix"), F.first("line", True).alias("line")).where(F.size("ms") > 0)
+    else:  # no line travels with its tokens
+        one = rows.select(*KEY, F.explode(toks).alias("t")).select(*KEY, "t.*").join(joined, F.col("word_lc") == F.col("anchor"))
+        if others:
+            two = rows.select(*KEY, F.explode(F.concat(*others)).alias("t")).select(*KEY, "t.*")
+            one = one.unionByName(two, allowMissingColumns=True)
+        per = merged_rows(one).where(F.size("ms") > 0).join(rows, KEY)
+
+    listed = lambda of: F.array(*[F.lit(x[of]) for x in searched], F.lit(""))
+    ms = let(chunks(F.lower("line")), lambda parts: F.filter(
+        "ms", lambda m: (m["src"] != 1) | ((piece(parts, m["start"], F.length(m["word_lc"])) == m["word_lc"]) & whole_word(parts, m["start"], m["end"]))))
+    ms = F.transform(ms, lambda m: m.withField("template", F.when(m["src"] > 1, F.get(listed(2), m["src"] - 2)).otherwise(m["template"])))
+    per = per.withColumn("ms", ms).withColumn("ms", _apart(F.col("ms")))
+    # of matches with the same span, an earlier phrase or pattern with a template has it
+    wide = len(searched) + 2
+    lost = lambda a, i: F.exists(
+        F.sequence(F.greatest(i - wide, F.lit(0)), i),
+        lambda j: let(F.get("ms", j), lambda x: (x["src"] > 0) & (x["src"] < a["src"]) & (x["start"] == a["start"]) & (x["end"] == a["end"]) & ~blank(x["template"])),
     )
-    return every.select("file", "line_num", "line", F.explode(kept).alias("m")).select("file", "line_num", "line", "m.*")
+    per = per.withColumn("ms", F.filter("ms", lambda a, i: (a["src"] < 2) | ~lost(a, i)))
+
+    def shown(v: Column) -> Column:
+        parts, n = v["parts"], v["n"]
+        return F.transform("ms", lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), piece(parts, m["start"], m["end"] - m["start"]).alias("word"), m["word_lc"].alias("word_lc"),
+            F.when(m["src"] < 2, F.concat(F.lit("Value "), m["word_lc"])).otherwise(F.get(listed(1), m["src"] - 2)).alias("reason"), m["template"].alias("template"),
+            m["src"].alias("src"), F.concat(F.col("prefix"), context(parts, n, m["start"], m["end"], keep)).alias("context"),
+        ))
+
+    return per.select(*KEY, "prefix", "line", let(F.struct(chunks(line).alias("parts"), F.length(line).alias("n")), shown).alias("ms"))
+
+
+def _apart(ms: Column) -> Column:
+    """Matches by place; of a phrase's matches that overlap each other, those that a search from left to right finds."""
+    clash = F.exists(ms, lambda a: (a["src"] == 1) & F.exists(ms, lambda b: (b["src"] == 1) & (b["word_lc"] == a["word_lc"]) & (b["start"] < a["start"]) & (a["start"] < b["end"])))
+    phrases = F.filter(ms, lambda m: m["src"] == 1)
+    taken = F.aggregate(
+        phrases, F.filter(ms, lambda m: F.lit(False)),
+        lambda z, m: F.when(F.exists(z, lambda x: (x["word_lc"] == m["word_lc"]) & (m["start"] < x["end"])), z).otherwise(F.concat(z, F.array(m))),
+    )
+    return F.when((F.size(phrases) > 1) & clash, F.array_sort(F.concat(F.filter(ms, lambda m: m["src"] != 1), taken))).otherwise(ms)
 
 
-def not_ignored(matches: DataFrame, guard: Guard) -> DataFrame:
-    if guard.ignore_values:
-        ignored = matches.sparkSession.createDataFrame([(v,) for v in sorted(guard.ignore_values)], "word_lc string")
-        matches = matches.join(ignored, "word_lc", "left_anti")
-    for p in guard.ignore_patterns:
-        matches = matches.where(~F.col("word_lc").rlike(p))
-    return matches.select(*MATCH)
+def exploded(per: DataFrame) -> DataFrame:
+    """One row per match of found_lines."""
+    return per.select(*KEY, F.explode("ms").alias("m")).select(*KEY, "m.*").select(*MATCH)
 
 
 def find(rows: DataFrame, guard: Guard, words: DataFrame | None = None) -> DataFrame:
-    """All matches of a guard in lines (file, line_num, line), less the ignored. words replaces the one-word values."""
-    found = word_matches(rows, words if words is not None else value_frames(rows.sparkSession, guard))
-    more = text_matches(rows, guard)
-    return not_ignored(found if more is None else found.unionByName(more), guard)
+    """All matches of a guard in lines (file, line_num, line), less the ignored. words replaces the guard's values."""
+    return exploded(found_lines(rows, guard, words))
 
 
 def template_rank(template: Column) -> Column:

@@ -7,16 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import blank, context, word_hash
-from cloakframe.operators.instructions import REPORT, allowed_files, decided, simple_replacements, skipped_rows
-from cloakframe.operators.matching import Guard, find, template_rank, value_frames
+from cloakframe.functions.text import blank, chunks, context, filled_hash, let, piece, running, word_hash
+from cloakframe.operators.instructions import REPORT, decided, simple_replacements, skipped_rows
+from cloakframe.operators.matching import KEY, Guard, exploded, found_lines, keyed, template_rank, value_frames
+from cloakframe.runtime import written
 
 
 @dataclass
 class Result:
-    """lines: file, line_num, line, masked, changed. The rest: what a run reports."""
+    """lines: file, line_num, part, line, masked, changed; changed: those that changed. The rest: what a run reports."""
 
     lines: DataFrame
+    changed: DataFrame
     report: DataFrame
     generated: DataFrame
     restore: DataFrame
@@ -24,22 +26,21 @@ class Result:
 
 
 def with_instructed(words: DataFrame, instructions: DataFrame) -> DataFrame:
-    """Guard words and the texts of instructions with a replacement: their only one is the template, else blank."""
+    """Guard values and the texts of instructions with a replacement: their only one is the template, else blank."""
     more = simple_replacements(instructions).select("word_lc", F.when(F.size("values") == 1, F.col("values")[0]).otherwise("").alias("other"))
-    more = more.where(F.col("word_lc").rlike(r"^[\p{IsAlphabetic}\p{IsDigit}]*$"))
     return words.join(more, "word_lc", "full_outer").select("word_lc", F.coalesce("template", "other").alias("template"))
 
 
 def hash_replacement(template: Column, word_lc: Column, default: str) -> Column:
-    text = F.when(blank(template), F.lit(default)).otherwise(template)
-    return F.replace(text, F.lit("{hash}"), word_hash(word_lc).cast("string"))
+    return filled_hash(F.when(blank(template), F.lit(default)).otherwise(template), word_hash(word_lc).cast("string"))
 
 
 def generated_values(matches: DataFrame, default: str) -> DataFrame:
-    """word and its one generated replacement: by the template of its match of highest priority."""
-    order = F.struct(F.col("start") - F.col("end"), template_rank(F.col("template")), "file", "line_num", "start", "src")
+    """word, its one replacement (by the template of its match of highest priority) and made: it differs from the template."""
+    order = F.struct(F.col("start") - F.col("end"), template_rank(F.col("template")), "file", "line_num", "part", "start", "src")
     one = matches.groupBy("word_lc").agg(F.min_by("template", order).alias("template"))
-    return one.select(F.col("word_lc").alias("word"), hash_replacement(F.col("template"), F.col("word_lc"), default).alias("replacement"))
+    one = one.select(F.col("word_lc").alias("word"), hash_replacement(F.col("template"), F.col("word_lc"), default).alias("replacement"), "template")
+    return one.select("word", "replacement", (F.col("replacement") != F.coalesce("template", F.lit(""))).alias("made"))
 
 
 def restored_values(matches: DataFrame, instructions: DataFrame) -> DataFrame:
@@ -55,68 +56,96 @@ def restored_values(matches: DataFrame, instructions: DataFrame) -> DataFrame:
 
 
 def resolve(matches: DataFrame) -> DataFrame:
-    """One row per line with its matches as an array m, each with kept: not allowed, and no stronger one overlaps.
+    """One row per line with its matches by place as an array ms, each with kept: not allowed, and no stronger one overlaps.
 
     Stronger is longer, then a literal template before one with variables before none, then the earlier start and
-    source. A match that is itself overruled still overrules; allowed ones neither overrule nor are replaced.
+    source. A match that is itself overruled still overrules; allowed ones neither overrule nor are replaced. In a line
+    with many matches each looks only at those between the first that reaches it and the last that it reaches.
     """
     allowed = F.coalesce("i_allow", F.lit(False))
-    fields = ["start", "end", "word", "word_lc", "reason", "context", "i_allow", "i_comment", "instructed", "value"]
-    m = F.struct(F.struct(F.col("start") - F.col("end"), template_rank(F.col("template")), F.col("start"), F.col("src"), F.col("reason")).alias("rank"), allowed.alias("free"), *fields)
-    per = matches.groupBy("file", "line_num").agg(F.first("line").alias("line"), F.sort_array(F.collect_list(m)).alias("ms"))
-    over = lambda a: F.exists("ms", lambda x: ~x["free"] & (x["rank"] < a["rank"]) & (x["start"] < a["end"]) & (a["start"] < x["end"]))
-    marked = F.transform("ms", lambda a: F.struct(a.alias("a"), (~a["free"] & ~over(a)).alias("kept")))
-    return per.withColumn("ms", marked)
-
-
-def rewrite(resolved: DataFrame) -> DataFrame:
-    """The masked line, and the kept matches with the place of their replacement in it (in order of place)."""
-    kept = F.array_sort(F.transform(F.filter("ms", lambda x: x["kept"]), lambda x: F.struct(x["a"]["start"].alias("start"), x["a"].alias("a"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
-    spliced = F.aggregate(
-        F.col("kept"), start,
-        lambda z, k: F.struct(
-            F.concat(z["out"], F.substring(F.col("line"), z["at"] + 1, k["start"] - z["at"]), k["a"]["value"]).alias("out"), k["a"]["end"].alias("at"),
-            F.concat(z["places"], F.array(F.length(z["out"]) + k["start"] - z["at"])).alias("places"),
-        ),
-        lambda z: F.struct(F.concat(z["out"], F.substring(F.col("line"), z["at"] + 1, F.length("line"))).alias("line"), z["places"].alias("places")),
-    )
-    rows = resolved.withColumn("kept", kept).withColumn("s", spliced)
-    return rows.select("file", "line_num", "line", "ms", "kept", F.col("s.line").alias("masked"), F.col("s.places").alias("places"))
+    rank = F.struct(F.col("start") - F.col("end"), template_rank(F.col("template")), F.col("start"), F.col("src"), F.col("reason"))
+    m = F.struct("start", "end", "src", rank.alias("rank"), allowed.alias("free"), "word", "word_lc", "reason", "context", "i_allow", "i_comment", "instructed", "value")
+    per = matches.groupBy(*KEY).agg(F.sort_array(F.collect_list(m)).alias("ms"))
+    powers = F.slice(F.array(*[F.lit(1 << i) for i in range(31)]), F.lit(1), (F.floor(F.log2(F.greatest(F.size("ms"), F.lit(1)))) + 1).cast("int"))
+
+    def before(values: Column, fits) -> Column:
+        """How many of the ascending values fit (they come first)."""
+        return F.aggregate(F.reverse(powers), F.lit(0), lambda z, s: F.when((z + s <= F.size("ms")) & fits(F.get(values, z + s - 1)), z + s).otherwise(z))
+
+    stronger = lambda x, a: ~x["free"] & (x["rank"] < a["rank"]) & (x["start"] < a["end"]) & (a["start"] < x["end"])
+
+    def near(v: Column) -> Column:
+        def one(a: Column) -> Column:
+            low, high = before(v["reach"], lambda x: x <= a["start"]), before(v["starts"], lambda x: x < a["end"])
+            return F.struct(a.alias("a"), (~a["free"] & ~F.exists(F.sequence(low, high - 1), lambda j: let(F.get("ms", j), lambda x: stronger(x, a)))).alias("kept"))
+
+        return F.transform("ms", one)
+
+    bounds = F.struct(let(F.transform("ms", lambda x: x["end"]), lambda e: running(e, F.greatest)).alias("reach"), F.transform("ms", lambda x: x["start"]).alias("starts"))
+    few = F.transform("ms", lambda a: F.struct(a.alias("a"), (~a["free"] & ~F.exists("ms", lambda x: stronger(x, a))).alias("kept")))
+    return per.withColumn("ms", F.when(F.size("ms") <= 32, few).otherwise(let(bounds, near)))
+
+
+def rewrite(resolved: DataFrame, lines: DataFrame, keep: int = 15) -> DataFrame:
+    """lines with their matches (ms), the masked line, and back: each replacement in it with its context, in order of place."""
+    rows = resolved.join(lines.select(*KEY, "prefix", "line"), KEY).withColumn("kept", F.transform(F.filter("ms", lambda x: x["kept"]), lambda x: x["a"]))
+    kept, n = F.col("kept"), F.length("line")
+
+    def spliced(parts: Column) -> Column:
+        done = lambda i: F.coalesce(F.get(kept, i)["end"], F.lit(0))
+        out = F.transform(kept, lambda k, i: F.concat(piece(parts, done(i - 1), k["start"] - done(i - 1)), k["value"]))
+        last = done(F.size(kept) - 1)
+        return F.concat(F.array_join(out, ""), piece(parts, last, n - last))
+
+    grown = let(F.transform(kept, lambda k: F.length(k["value"]) - (k["end"] - k["start"])), running)
+    rows = rows.withColumn("masked", let(chunks(F.col("line")), spliced))
+
+    def back(v: Column) -> Column:
+        def one(k: Column, i: Column) -> Column:
+            s = k["start"] + F.coalesce(F.get(v["grown"], i - 1), F.lit(0))
+            seen = F.concat(F.col("prefix"), context(v["parts"], v["n"], s, s + F.length(k["value"]), keep))
+            return F.struct(F.lower(k["value"]).alias("text"), seen.alias("context"), k["word"].alias("word"), k["reason"].alias("reason"))
+
+        return F.transform(kept, one)
+
+    return rows.withColumn("back", let(F.struct(chunks(F.col("masked")).alias("parts"), F.length("masked").alias("n"), grown.alias("grown")), back)).drop("kept")
 
 
 def run(rows: DataFrame, guard: Guard, instructions: DataFrame | None = None, restore: bool = False, keep: int = 15, least: int = 1) -> Result:
-    """Mask (or restore) lines (file, line_num, line)."""
+    """Mask (or restore) lines (file, line_num, line; part and prefix for cells of tables).
+
+    Lines are matched once: those with matches and what becomes of them are written tables, which all frames of the
+    result read. Only ``lines`` goes through all the rows again.
+    """
     spark = rows.sparkSession
+    rows = keyed(rows)
     instructions = instructions if instructions is not None else spark.createDataFrame([], REPORT)
-    live, skipped = skipped_rows(rows, allowed_files(instructions))
-    found = find(live, guard, with_instructed(value_frames(spark, guard), instructions))
-    found = decided(found, instructions, keep, least).withColumn("instructed", ~blank(F.col("i_replacement")))
+    live, skipped = skipped_rows(rows, instructions)
+    seen = written(found_lines(live, guard, with_instructed(value_frames(spark, guard), instructions), keep), "matches")
+    found = decided(exploded(seen), instructions, least).withColumn("instructed", F.coalesce(~blank(F.col("i_replacement")), F.lit(False)))
     plain = found.where("not instructed")
     values = restored_values(plain, instructions) if restore else generated_values(plain, guard.default_template)
-    matched = found.join(values.withColumnRenamed("word", "word_lc"), "word_lc", "left").withColumn("value", F.when(F.col("instructed"), F.col("i_replacement")).otherwise(F.col("replacement")))
-    done = rewrite(resolve(matched))
-    every = done.select("file", "line_num", "line", "masked", "places", "ms", "kept")
-    free = F.col("x.a.free")
-    a = every.select("file", "line_num", F.explode("ms").alias("x")).where(free | F.col("x.kept"))
+    matched = found.join(values.select(F.col("word").alias("word_lc"), "replacement"), "word_lc", "left").withColumn("value", F.when(F.col("instructed"), F.col("i_replacement")).otherwise(F.col("replacement")))
+    done = written(rewrite(resolve(matched), seen, keep), "masked")
+    every = done.select(*KEY, F.explode("ms").alias("x")).select(*KEY, "x.a.*", "x.kept")
+    free = F.col("free")
     comment = (
-        F.when(free, F.concat(F.lit("Allowed: "), "x.a.reason", F.lit(", Suggested: "), "x.a.value"))
-        .when(F.col("x.a.instructed"), F.concat(F.lit("Instruction "), F.coalesce("x.a.i_comment", F.lit(""))))
-        .otherwise(F.concat(F.lit("Generated for "), "x.a.reason"))
+        F.when(free, F.concat(F.lit("Allowed: "), "reason", F.lit(", Suggested: "), "value"))
+        .when(F.col("instructed"), F.concat(F.lit("Instruction "), F.coalesce("i_comment", F.lit(""))))
+        .otherwise(F.concat(F.lit("Generated for "), "reason"))
     )
-    report = a.select(
-        F.col("x.a.i_allow").alias("Allow"), F.col("x.a.word_lc").alias("Text"), F.col("x.a.context").alias("Context"), F.col("file").alias("File"),
-        F.col("line_num").alias("Line"), F.when(~free, F.col("x.a.value")).alias("Replacement"), comment.alias("Comment"),
+    report = every.where("free or kept").select(
+        F.col("i_allow").alias("Allow"), F.col("word_lc").alias("Text"), F.col("context").alias("Context"), F.col("file").alias("File"),
+        F.col("line_num").alias("Line"), F.when(~free, F.col("value")).alias("Replacement"), comment.alias("Comment"),
     ).unionByName(skipped)
-    back = every.select("file", "line_num", "masked", F.explode(F.arrays_zip("kept", "places")).alias("z"))
-    s, e = F.col("z.places"), F.col("z.places") + F.length("z.kept.a.value")
-    restored = back.select(
-        F.lit(None).cast("boolean").alias("Allow"), F.lower("z.kept.a.value").alias("Text"), context(F.col("masked"), s, e, keep).alias("Context"), F.col("file").alias("File"),
-        F.col("line_num").alias("Line"), F.col("z.kept.a.word").alias("Replacement"), F.concat(F.lit("Restore "), "z.kept.a.reason").alias("Comment"),
+    restored = done.select(*KEY, F.explode("back").alias("b")).select(
+        F.lit(None).cast("boolean").alias("Allow"), F.col("b.text").alias("Text"), F.col("b.context").alias("Context"), F.col("file").alias("File"),
+        F.col("line_num").alias("Line"), F.col("b.word").alias("Replacement"), F.concat(F.lit("Restore "), "b.reason").alias("Comment"),
     )
-    changed = done.select("file", "line_num", "masked")
-    out = rows.join(changed, ["file", "line_num"], "left").select("file", "line_num", "line", F.coalesce("masked", "line").alias("masked"))
-    return Result(out.withColumn("changed", F.col("masked") != F.col("line")), report, values, restored, matched)
+    changed = done.where("masked <> line").select(*KEY, "line", "masked")
+    out = rows.join(changed.drop("line"), KEY, "left").select(*KEY, "line", F.coalesce("masked", "line").alias("masked"), F.col("masked").isNotNull().alias("changed"))
+    generated = values if restore else values.where("made").select("word", "replacement")
+    return Result(out, changed, report, generated, restored, every)
 
 
 def sort_report(report: DataFrame) -> DataFrame:
@@ -141,14 +170,13 @@ def files(result: Result) -> DataFrame:
 
 
 def stats(result: Result) -> DataFrame:
-    """Counters by name, as aggregates over the run's frames."""
+    """Counters by name, as one aggregate over each of the run's frames."""
     n = F.count(F.lit(1))
     counted = lambda df, *named: [df.agg(*[c.cast("long").alias(k) for k, c in named])]
     r = result.report
     parts = (
         counted(result.lines, ("Read Lines", n), ("Read Bytes", F.coalesce(F.sum(F.length("line")), F.lit(0))), ("Read Files", F.count_distinct("file")), ("Changed Files", F.count_distinct(F.when(F.col("changed"), F.col("file")))))
-        + counted(result.matches, ("Words Matched", n))
-        + counted(result.restore, ("Words Replaced", n))
+        + counted(result.matches, ("Words Matched", n), ("Words Replaced", F.count_if("kept")), ("Words Conflicts", F.count_if(~F.col("free") & ~F.col("kept"))))
         + counted(r, ("Report Lines - All", n), ("Report Lines - Allow", F.count_if("Allow")), ("Report Lines - Disallow", F.count_if(~F.col("Allow"))), ("Report Lines - To Review", F.count_if(F.col("Allow").isNull())))
         + counted(result.generated, ("Words Replacements Generated", n))
     )

@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.text import blank
-from cloakframe.operators.instructions import decided
-from cloakframe.operators.matching import Guard, find
+from cloakframe.operators.instructions import REPORT, decided
+from cloakframe.operators.matching import Guard
 from cloakframe.plans.masking import Result, run
 
 
@@ -22,54 +22,86 @@ class TableConfig:
     columns: dict[str, str] = field(default_factory=dict)
     dictionary: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def word(self) -> str:
+        """The text under which an instruction decides about the whole file."""
+        return f"csv:{self.filename}:{','.join(self.columns)}".lower()
+
+
+def template_parts(template: str) -> list[tuple[str, str | None]]:
+    """(text, None) or ("", column) pieces of a row template: {column}, with ${ for a plain {."""
+    out: list[tuple[str, str | None]] = []
+    for m in re.finditer(r"\$(\{[^{}]*\}?)|\{([^{}]+)\}|([^{$]+|.)", template, re.S):
+        out.append(("", m[2].split(":-")[0]) if m[2] else (m[1] or m[3], None))
+    return out
+
 
 def filled(template: str, header: list[str]) -> Column:
     """A template with {column} replaced by the row's cell; an unknown column leaves a mark."""
-    parts = []
-    for i, p in enumerate(re.split(r"\{([^{}]+)\}", template)):
-        if i % 2 == 0:
-            parts += [F.lit(p)] if p else []
-        else:
-            parts.append(F.coalesce(F.col(f"`{p}`").cast("string"), F.lit("")) if p in header else F.lit(f"_UNRESOLVED_{p}_"))
-    return F.concat(*parts) if parts else F.lit("")
+    cell = lambda p: F.coalesce(F.col(f"`{p}`").cast("string"), F.lit("")) if p in header else F.lit(f"_UNRESOLVED_{p}_")
+    return F.concat(F.lit(""), *[F.lit(text) if name is None else cell(name) for text, name in template_parts(template)])
 
 
 def missing_columns(config: TableConfig, header: list[str]) -> list[str]:
     """Errors of a configuration against a header."""
     lost = [c for c in [*config.columns, *config.dictionary] if c not in header]
-    names = [n for t in config.columns.values() for n in re.findall(r"\{([^{}]+)\}", t) if n not in header]
+    names = [n for t in config.columns.values() for _, n in template_parts(t) if n and n not in header]
     return [f"Missing CSV columns: {lost}"] * bool(lost) + [f"Missing CSV columns: {n}" for n in names]
 
 
-def scan_contexts(rows: DataFrame, config: TableConfig, key: str, guard: Guard, instructions: DataFrame) -> DataFrame:
-    """One row with the joined context of the guarded words in the template columns: two and how many others."""
-    header = [c for c in config.columns if c in rows.columns]
-    cells = [rows.select(F.lit(c).alias("file"), F.col(key).cast("string").alias("k"), F.col(c).cast("string").alias("line")) for c in header]
-    every = cells[0]
-    for c in cells[1:]:
-        every = every.unionAll(c)
-    lines = every.where("line is not null").select(F.concat_ws(":", "file", "k").alias("file"), F.lit(1).alias("line_num"), "line")
-    found = decided(find(lines, guard), instructions).where(~F.coalesce("i_allow", F.lit(False)))
-    joined = found.groupBy("file").agg(F.min("context").alias("c")).agg(F.array_sort(F.slice(F.array_sort(F.collect_list("c")), 1, 2)).alias("two"), F.count(F.lit(1)).alias("n"))
-    text = F.when(F.col("n") == 0, "No guarded words found").when(F.col("n") <= 2, F.array_join("two", ", ")).otherwise(F.concat(F.array_join("two", ", "), F.lit(" and "), F.col("n") - 2, F.lit(" others")))
-    return joined.select(text.alias("context"))
+def joined_context(matches: DataFrame, files: DataFrame) -> DataFrame:
+    """files and the context of each: those of its first two kept matches and how many others there are."""
+    kept = matches.where("kept")
+    first = kept.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("line_num", "part", "start"))).where("n <= 2")
+    two = first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", "context"))).alias("two"))
+    per = files.join(kept.groupBy("file").agg(F.count(F.lit(1)).alias("all")), "file", "left").join(two, "file", "left")
+    text = F.array_join(F.transform("two", lambda x: x["context"]), ", ")
+    context = F.when(F.col("two").isNull(), "No guarded words found").when(F.col("all") <= 2, text).otherwise(F.concat(text, F.lit(" and "), (F.col("all") - 2).cast("string"), F.lit(" others")))
+    return per.select(*files.columns, context.alias("context"))
+
+
+def file_decisions(matches: DataFrame, files: DataFrame, instructions: DataFrame, least: int = 1) -> DataFrame:
+    """files (file, word_lc, put) with the context of their template cells and the instruction for the whole file."""
+    per = joined_context(matches, files)
+    zero = {c: F.lit(0) for c in ("line_num", "part", "start", "src")}
+    return decided(per.withColumns(zero).withColumn("end", F.length("word_lc")), instructions, least)
 
 
-def mask_table(rows: DataFrame, key: str, config: TableConfig, guard: Guard, instructions: DataFrame | None = None, file_allowed: bool = False, restore: bool = False) -> tuple[DataFrame, Result]:
-    """The masked table and the run over its text cells (file <filename>:<column>, line_num from the key).
+def file_report(decisions: DataFrame) -> DataFrame:
+    return decisions.select(
+        F.col("i_allow").alias("Allow"), F.col("word_lc").alias("Text"), F.col("context").alias("Context"), F.col("file").alias("File"), F.lit(0).alias("Line"),
+        F.col("put").alias("Replacement"), F.lit("CSV Column Template").alias("Comment"),
+    )
 
-    Template columns are filled unless the file is allowed or the direction is restore; all other text columns go
-    through the line pipeline. key has to be an integer column that tells rows apart.
+
+def _cells(rows: DataFrame, key: str, config: TableConfig, names: list[str]) -> DataFrame:
+    """Text cells as lines: part is the place of the column in names."""
+    every = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in names]) if names else F.array().cast("array<struct<c:string,v:string>>")
+    cells = rows.select(F.col(f"`{key}`").cast("long").alias("line_num"), F.posexplode(every).alias("part", "x")).where("x.v is not null and x.v <> ''")
+    return cells.select(F.lit(config.filename).alias("file"), "line_num", "part", F.concat("x.c", F.lit(":")).alias("prefix"), F.col("x.v").alias("line"))
+
+
+def mask_table(rows: DataFrame, key: str, config: TableConfig, guard: Guard, instructions: DataFrame | None = None, restore: bool = False) -> tuple[DataFrame, Result]:
+    """The masked table and the run over its text cells (file <filename>, line_num the key, contexts <column>:<context>).
+
+    Template columns are filled unless an instruction allows the file or the direction is restore; all other text
+    columns go through the line pipeline. key has to be an integer column that tells rows apart.
     """
-    texts = [c for c, t in rows.dtypes if t == "string" and c != key and c not in config.columns]
-    cells = rows.select(F.col(key).cast("int").alias("line_num"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in texts])).alias("x"))
-    lines = cells.where("x.v is not null and x.v <> ''").select(F.concat(F.lit(config.filename + ":"), "x.c").alias("file"), "line_num", F.col("x.v").alias("line"))
-    result = run(lines, guard, instructions, restore)
-    changed = result.lines.where("changed").select("line_num", F.regexp_extract("file", r"([^:]*)$", 1).alias("c"), "masked")
-    per = changed.groupBy("line_num").agg(F.map_from_entries(F.collect_list(F.struct("c", "masked"))).alias("__m"))
-    out = rows.join(per.withColumnRenamed("line_num", "__k"), F.col(key).cast("int") == F.col("__k"), "left")
-    fill = {} if file_allowed or restore else {c: filled(t, rows.columns) for c, t in config.columns.items() if c in rows.columns}
-    select = [fill[c].alias(c) if c in fill else F.coalesce(F.try_element_at("__m", F.lit(c)), F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in rows.columns]
+    instructions = instructions if instructions is not None else rows.sparkSession.createDataFrame([], REPORT)
+    texts = [c for c, t in rows.dtypes if t == "string" and c != key and (restore or c not in config.columns)]
+    result = run(_cells(rows, key, config, texts), guard, instructions, restore)
+    per = result.changed.groupBy("line_num").agg(F.map_from_entries(F.collect_list(F.struct("part", "masked"))).alias("__m"))
+    out = rows.join(per.withColumnRenamed("line_num", "__k"), F.col(f"`{key}`").cast("long") == F.col("__k"), "left")
+    own = [c for c in rows.columns if c in config.columns]
+    fill = {}
+    if own and not restore:
+        scanned = run(_cells(rows, key, config, own), guard, instructions)
+        file = rows.sparkSession.createDataFrame([(config.filename, config.word, ",".join(config.columns.values()))], "file string, word_lc string, put string")
+        told = file_decisions(scanned.matches, file, instructions)
+        result.report = result.report.unionByName(file_report(told))
+        out = out.crossJoin(F.broadcast(told.select(F.coalesce("i_allow", F.lit(False)).alias("__free"))))  # one row
+        fill = {c: F.when(F.col("__free"), F.col(f"`{c}`")).otherwise(filled(config.columns[c], rows.columns)) for c in own}
+    select = [fill[c].alias(c) if c in fill else F.coalesce(F.try_element_at("__m", F.lit(texts.index(c))), F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in rows.columns]
     return out.select(*select), result
 
 
@@ -77,19 +109,29 @@ def dictionary_candidates(rows: DataFrame, config: TableConfig, file_allowed: bo
     """Text, Replacement (empty), Scope and Comment of cells that a dictionary could take in.
 
     Template columns count if the file is allowed and the cell differs from its template; dictionary columns count
-    where masking left the cell alone (masked: word_lc values that it would change). restorable: word_lc values.
+    where masking left the cell alone (masked: the table as mask_table gives it, with the same key columns, or null
+    for a table that nothing masks). restorable: word_lc values.
     """
     parts = []
     if file_allowed:
-        parts += [rows.select(F.col(c).cast("string").alias("t"), F.lit("template").alias("Scope"), (F.col(c).cast("string") != filled(t, rows.columns)).alias("ok")) for c, t in config.columns.items() if c in rows.columns]
-    parts += [rows.select(F.col(c).cast("string").alias("t"), F.lit("dictionary").alias("Scope"), F.lit(True).alias("ok")) for c in config.dictionary if c in rows.columns]
+        parts += [rows.select(F.col(f"`{c}`").cast("string").alias("t"), F.lit("template").alias("Scope"), (F.col(f"`{c}`").cast("string") != filled(t, rows.columns)).alias("ok")) for c, t in config.columns.items() if c in rows.columns]
+    for c in config.dictionary:
+        if c in rows.columns:
+            cells = rows.select(F.col(f"`{c}`").cast("string").alias("t"))
+            if masked is not None:  # a cell's masking depends on its text alone, but for instructions
+                left = masked.select(F.col(f"`{c}`").cast("string").alias("t")).distinct()
+                cells = cells.join(left, "t", "left_semi")
+            parts.append(cells.select("t", F.lit("dictionary").alias("Scope"), F.lit(True).alias("ok")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
     every = every.where("ok").select(F.lower(F.trim("t")).alias("Text"), "Scope").where(~blank(F.col("Text"))).groupBy("Text").agg(F.min("Scope").alias("Scope"))
-    if masked is not None:
-        every = every.join(masked.withColumnRenamed("word_lc", "Text"), "Text", "left_anti")
+    return candidate_rows(every, restorable)
+
+
+def candidate_rows(found: DataFrame, restorable: DataFrame) -> DataFrame:
+    """Candidates (Text, Scope) with the comments that sort out those of no use, in report order."""
     known = restorable.select(F.col("word_lc").alias("Text"), F.lit(True).alias("r")).distinct()
     comment = F.when(F.col("r"), "Ignore: restorable").when(F.length("Text") < 3, "Ignore: too short")
-    out = every.join(known, "Text", "left").select("Text", F.lit("").alias("Replacement"), "Scope", comment.alias("Comment"))
+    out = found.join(known, "Text", "left").select("Text", F.lit("").alias("Replacement"), "Scope", comment.alias("Comment"))
     return out.orderBy(F.col("Comment").isNull(), F.length("Text") >= 3, "Scope", "Text")

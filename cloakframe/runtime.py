@@ -74,16 +74,38 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL_DIR: str | None = None
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, safe against lost executors.
 
-    few: rows are small, so they are dealt anew into as few files as their bytes need.
-    The shuffle files of earlier tables go when the driver's JVM drops what points to them, so it is asked to.
+    few: rows are small, so they are dealt anew into files of the size that Spark advises.
+    The shuffle files of the computation go as soon as the table stands; the table goes with discard(), at the latest
+    when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cloakframe/{name}-{uuid.uuid4().hex}"
-    if few:
-        df = df.hint("rebalance").coalesce(2 * spark.sparkContext.defaultParallelism)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.hint("rebalance") if few else df).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    at = _path(spark, path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more (whatever was computed from them has to be written itself)."""
+    for t in tables:
+        spark = t.sparkSession
+        at = _path(spark, t.stored)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

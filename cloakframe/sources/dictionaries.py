@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import csv
+import json
+import os
+import re
 
 from cloakframe.operators.matching import Guard, merged
 
@@ -15,7 +18,9 @@ def word_map(path: str) -> list[tuple[str, str]]:
 
 
 def word_set(path: str) -> list[str]:
-    return [k for k, _ in word_map(path)]
+    """The first cell of each line; there are no comments, so `#` is a value like others."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return list(dict.fromkeys(r[0].strip() for r in csv.reader(f) if r and r[0].strip()))
 
 
 def pattern_key(key: str) -> str:
@@ -35,9 +40,21 @@ def guard_of(settings: dict) -> Guard:
 
 
 def read_settings(path: str) -> dict:
-    """A settings file: JSON, or YAML where a YAML parser is installed."""
-    import json
+    """A settings file: JSON, or YAML where a YAML parser is installed.
+
+    Files that spring.config.import names are read over it, and ${a.b:default} stands for another setting.
+    """
+    found = _loaded(path)
+    names = ((found.get("spring") or {}).get("config") or {}).get("import") or []
+    for name in [names] if isinstance(names, str) else names:
+        name = _resolved(name, found)
+        at = os.path.join(os.path.dirname(path), name.removeprefix("optional:").removeprefix("file:"))
+        if os.path.exists(at) or not name.startswith("optional:"):
+            found = _over(found, read_settings(at))
+    return _resolved(found, found)
+
 
+def _loaded(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         text = f.read()
     try:
@@ -45,4 +62,32 @@ def read_settings(path: str) -> dict:
     except ValueError:
         import yaml
 
-        return yaml.safe_load(text)
+        return yaml.safe_load(text) or {}
+
+
+def _over(low, high):
+    """Settings with those of high put over them, key by key."""
+    if not (isinstance(low, dict) and isinstance(high, dict)):
+        return high
+    return {k: _over(low[k], high[k]) if k in low and k in high else (high if k in high else low)[k] for k in {**low, **high}}
+
+
+def _resolved(value, settings: dict, depth: int = 0):
+    if isinstance(value, dict):
+        return {k: _resolved(v, settings, depth) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_resolved(v, settings, depth) for v in value]
+    if not isinstance(value, str):
+        return value
+
+    def put(m: re.Match) -> str:
+        at = settings
+        for k in m[1].split("."):
+            at = at.get(k) if isinstance(at, dict) else None
+        if at is None and m[2] is None:
+            raise KeyError(f"no setting {m[1]}")
+        return str(_resolved(m[2] if at is None else at, settings, depth + 1))
+
+    if depth > 20:
+        raise ValueError(f"settings stand for each other in a circle: {value}")
+    return re.sub(r"\$\{([^{}:]+)(?::([^{}]*))?\}", put, value)

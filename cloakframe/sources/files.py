@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import path_guarded, path_regex
+from cloakframe.functions.text import path_regex
 from cloakframe.runtime import ship
 
 FILE_SCHEMA = "path string, zip_path string, file string, content binary, error string"
@@ -30,29 +30,46 @@ def _fits(name: str, guard: list[str], ignore: list[str]) -> bool:
     return some(guard) and not some(ignore)
 
 
-def listing(root: str, guard: list[str], ignore: list[str]) -> list[str]:
-    """Relative paths of the files whose every folder, and who themselves, pass the filters."""
+def local(folder: str) -> str:
+    """A folder as a path to open(): one of a store that only Spark reads is refused, not taken for a relative path."""
+    scheme, colon, rest = folder.partition("://")
+    if colon and scheme != "file":
+        raise ValueError(f"{folder}: files are read and written through a shared mount, not through {scheme}")
+    return rest if colon else folder.removeprefix("file:")
+
+
+def listing(root: str, guard: list[str], ignore: list[str], skipped: dict[str, int] | None = None) -> list[str]:
+    """Relative paths of the files whose every folder, and who themselves, pass the filters.
+
+    skipped gets the numbers of files and folders that do not.
+    """
+    root = local(root)
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    out = []
+    out, skipped = [], skipped if skipped is not None else {}
     for top, folders, names in os.walk(root):
         rel = os.path.relpath(top, root).replace(os.sep, "/")
         at = "" if rel == "." else rel + "/"
-        folders[:] = sorted(f for f in folders if _fits(f"{at}{f}/", guard, ignore))
-        out += [at + n for n in sorted(names) if _fits(at + n, guard, ignore)]
+        inside = sorted(f for f in folders if _fits(f"{at}{f}/", guard, ignore))
+        found = [at + n for n in sorted(names) if _fits(at + n, guard, ignore)]
+        skipped["folders"] = skipped.get("folders", 0) + len(folders) - len(inside)
+        skipped["files"] = skipped.get("files", 0) + len(names) - len(found)
+        folders[:] = inside
+        out += found
     return out
 
 
-def read_files(spark: SparkSession, root: str, guard: list[str] = ("**/", "**/*"), ignore: list[str] = ()) -> DataFrame:
+def read_files(spark: SparkSession, root: str, guard: list[str] = ("**/", "**/*"), ignore: list[str] = (), skipped: dict[str, int] | None = None) -> DataFrame:
     """path, zip_path, file (reported path), content and error of each file; archives give a row per entry.
 
     An archive is known by its first bytes, not by its name. An archive inside an archive stays as it is, with an
     error row; what cannot be read gives an error too.
     """
     ship(spark)
-    guard, ignore = list(guard), list(ignore)
-    paths = listing(root, guard, ignore)
-    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 512)))
+    guard, ignore, root = list(guard), list(ignore), local(root)
+    paths = listing(root, guard, ignore, skipped)
+    tasks = max(min(len(paths), 4 * spark.sparkContext.defaultParallelism), -(-len(paths) // 256), 1)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,18 +114,41 @@ def base_name(path: str = "file"):
     return F.regexp_extract(F.col(path), r"([^/:\\]*)$", 1)
 
 
-def csv_config(path, patterns: list[str]):
-    """Index of the first pattern that the file's base name or path fits; null for none."""
-    cases = [F.when(path.rlike(path_regex(p)), F.lit(i)) for i, p in enumerate(patterns)]
+def csv_config(patterns: list[str], path: str = "file"):
+    """Index of the first pattern that the file's base name fits; null for none."""
+    cases = [F.when(base_name(path).rlike(path_regex(p)), F.lit(i)) for i, p in enumerate(patterns)]
     return F.coalesce(*cases) if cases else F.lit(None).cast("int")
 
 
 def quote_all(text, comment: str | None = None):
-    """Does a CSV text quote every cell? Judged by its first line that is no comment; an empty text does."""
-    lines = F.split(text, "\r\n|\n|\r", -1)
+    """Does a CSV text quote every cell? Judged by its first line that is no comment; a text without such a line does."""
+    lines = F.split(F.regexp_replace(text, r"(\r\n|\n|\r)\z", ""), "\r\n|\n|\r", -1)
     if comment:
         lines = F.filter(lines, lambda x: ~x.startswith(comment))
-    return F.coalesce(F.get(lines, F.lit(0)).startswith('"'), F.lit(True))
+    return F.when((text == "") | (F.size(lines) == 0), True).otherwise(F.get(lines, F.lit(0)).startswith('"'))
+
+
+def _records(text: str, delimiter: str, quote: str, comment: str | None) -> Iterator[list[str]]:
+    """The records of a CSV text; a line that starts with the comment marker is one only where a record begins."""
+    begins = True
+
+    def feed() -> Iterator[str]:
+        nonlocal begins
+        for x in io.StringIO(text, newline=""):
+            if begins and comment and x.startswith(comment):
+                continue
+            begins = False
+            yield x
+
+    reader = csv.reader(feed(), delimiter=delimiter, quotechar=quote)
+    while True:
+        begins = True
+        try:
+            record = next(reader)
+        except StopIteration:
+            return
+        if record:
+            yield record
 
 
 def csv_cells(files: DataFrame, delimiter: str = ",", quote: str = '"', comment: str | None = None) -> DataFrame:
@@ -118,9 +158,8 @@ def csv_cells(files: DataFrame, delimiter: str = ",", quote: str = '"', comment:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines = [x for x in io.StringIO(text or "", newline="") if not (comment and x.startswith(comment))]
                 head, out = None, []
-                for n, record in enumerate(r for r in csv.reader(lines, delimiter=delimiter, quotechar=quote) if r):
+                for n, record in enumerate(_records(text or "", delimiter, quote, comment)):
                     head = head or record
                     out += [(file, n, i, head[i] if i < len(head) else None, c) for i, c in enumerate(record)]
                 cols = list(zip(*out)) if out else [()] * 5
@@ -130,7 +169,7 @@ def csv_cells(files: DataFrame, delimiter: str = ",", quote: str = '"', comment:
     return files.select("file", "text").mapInArrow(run, "file string, record_no int, col_idx int, col_name string, cell string")
 
 
-def csv_text(cells: DataFrame, quoted: DataFrame) -> DataFrame:
+def csv_text(cells: DataFrame, quoted: DataFrame, delimiter: str = ",", quote: str = '"') -> DataFrame:
     """file and text of masked cells (file, record_no, col_idx, cell), quoted as `quoted` (file, all) says."""
     ship(cells.sparkSession)
     rows = cells.groupBy("file", "record_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "cell"))), lambda x: x["cell"]).alias("r"))
@@ -141,7 +180,7 @@ def csv_text(cells: DataFrame, quoted: DataFrame) -> DataFrame:
             texts = []
             for records, every in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 out = io.StringIO()
-                csv.writer(out, quoting=csv.QUOTE_ALL if every else csv.QUOTE_MINIMAL, lineterminator="\n").writerows(records)
+                csv.writer(out, delimiter=delimiter, quotechar=quote, quoting=csv.QUOTE_ALL if every else csv.QUOTE_MINIMAL, lineterminator="\n").writerows(records)
                 texts.append(out.getvalue().removesuffix("\n"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["file", "text"])
 
@@ -155,6 +194,7 @@ def write_files(changed: DataFrame, root: str, source: str | None = None) -> Dat
     there is no such archive, they make a new one. Texts are UTF-8 unless a column charset says otherwise.
     """
     ship(changed.sparkSession)
+    root, source = local(root), local(source) if source else source
     charset = F.col("charset") if "charset" in changed.columns else F.lit(None).cast("string")
 
     def write(table: pa.Table) -> pa.Table:
@@ -179,6 +219,3 @@ def write_files(changed: DataFrame, root: str, source: str | None = None) -> Dat
         return pa.table({"path": pa.array([path]), "entries": pa.array([len(entries)], pa.int32())})
 
     return changed.select("path", "zip_path", "text", charset.alias("charset")).groupBy("path").applyInArrow(write, "path string, entries int")
-
-
-__all__ = ["path_guarded", "read_files", "decoded", "csv_cells", "csv_text", "write_files", "listing", "quote_all", "csv_config", "base_name", "is_csv"]

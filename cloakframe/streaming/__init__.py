@@ -1 +1 @@
-
+"""Masking of streams, batch by batch."""
