@@ -5,22 +5,19 @@ first sentence end after 320 characters. A sketch of size s has three tables of
 of each, and a cell holds how many digests it has, their XOR and the XOR of their checks. Only cells in use are
 kept, in order. Cells of two versions subtract; then peeling takes the digest out of every cell that holds just
 one, round after round, until nothing is left. If something is left, the sketches were too small for the
-difference, and larger ones with other hashes are tried.
+difference, and larger ones with other hashes are tried; sets that defeat the largest are compared digest by digest.
+Cells are put together by running sums and XORs over the sorted cells, from which the sum of a cell's stretch is a
+difference, in n log n steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARAGRAPH = r"[^\n]{320,}?[.!?](?=\s)|[^\n]+"
-_CELL = "struct<i:int,n:int,k:bigint,c:bigint>"
-
+from cloakframe.functions.text import let, running
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), body)[0]
+PARAGRAPH = r"[^\n]{320,}?[.!?](?=\s)|[^\n]+"
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -45,23 +42,30 @@ def _cells(key: Column, n: Column, size: Column, seed: int) -> Column:
     )
 
 
+def _both(a: Column, b: Column) -> Column:
+    return F.struct((a["n"] + b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["c"].bitwiseXOR(b["c"]).alias("c"))
+
+
 def _merged(cells: Column) -> Column:
     """Cells of the same place added up; those that come to nothing go."""
-    none = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    start = F.struct(F.array().cast(f"array<{_CELL}>").alias("done"), none.alias("cur"))
-
-    def step(z: Column, x: Column) -> Column:
-        cur = z["cur"]
-        both = F.struct(
-            cur["i"].alias("i"), (cur["n"] + x["n"]).alias("n"), cur["k"].bitwiseXOR(x["k"]).alias("k"), cur["c"].bitwiseXOR(x["c"]).alias("c")
-        )
-        return F.when(cur["i"] == x["i"], F.struct(z["done"].alias("done"), both.alias("cur"))).otherwise(
-            F.struct(F.concat(z["done"], F.array(cur)).alias("done"), x.alias("cur"))
-        )
-
-    return F.aggregate(
-        F.sort_array(cells), start, step, lambda z: F.filter(F.concat(z["done"], F.array(z["cur"])), lambda c: (c["i"] >= 0) & ((c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0)))
-    )
+
+    def folded(cells: Column) -> Column:
+        upto = running(F.transform(cells, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"))), _both)
+        places = F.transform(cells, lambda c: c["i"])
+        ends = let(places, lambda p: F.filter(F.transform(p, lambda x, j: F.when(F.coalesce(F.get(p, j + 1) != x, F.lit(True)), j)), lambda j: j.isNotNull()))
+        return let(F.struct(upto.alias("upto"), ends.alias("ends"), places.alias("places")), stretches)
+
+    def stretches(v: Column) -> Column:
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+
+        def one(end: Column, j: Column) -> Column:
+            now, before = F.get(v["upto"], end), F.when(j > 0, F.get(v["upto"], F.get(v["ends"], j - 1))).otherwise(none)
+            return let(F.struct(now.alias("a"), before.alias("b")), lambda x: F.struct(
+                F.get(v["places"], end).alias("i"), (x["a"]["n"] - x["b"]["n"]).alias("n"), x["a"]["k"].bitwiseXOR(x["b"]["k"]).alias("k"), x["a"]["c"].bitwiseXOR(x["b"]["c"]).alias("c")))
+
+        return F.filter(F.transform(v["ends"], one), lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
+
+    return let(F.sort_array(cells), folded)
 
 
 def sketch(digests: Column, size: Column, seed: int = 0) -> Column:
@@ -94,25 +98,38 @@ def peel(cells: Column, size: Column, seed: int, rounds: int = 24) -> Column:
                 F.struct(_merged(F.concat(z["cells"], gone)).alias("cells"), F.concat(z["plus"], side(1)).alias("plus"), F.concat(z["minus"], side(-1)).alias("minus"))
             )
 
-        return F.when(F.size(z["cells"]) == 0, z).otherwise(_let(found, taken))
+        return F.when(F.size(z["cells"]) == 0, z).otherwise(let(found, taken))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, step)
 
 
+def likely_difference(a: Column, b: Column, some: int = 32) -> Column:
+    """About how many digests only one of two sorted sets has, from the least of their union (they are random numbers)."""
+
+    def share(v: Column) -> Column:
+        least = F.slice(F.array_sort(F.array_union(v["a"], v["b"])), 1, some)
+        return F.size(F.array_intersect(F.array_intersect(least, v["a"]), v["b"])) / F.greatest(F.size(least), F.lit(1))
+
+    near = let(F.struct(F.slice(a, 1, some).alias("a"), F.slice(b, 1, some).alias("b")), share)
+    return let(near, lambda j: (F.size(a) + F.size(b)) * (1 - j) / (1 + j))
+
+
 def difference(a: Column, b: Column, attempts: int = 5) -> Column:
     """struct<plus, minus>: the digests only a has, and only b has, recovered from sketches of growing size.
 
-    The first sketches suit a difference of a quarter of the digests; each retry has four times the cells. Null
-    if even the last attempt leaves cells (which takes a cycle in sketches of over a hundred cells per digest).
+    The least digests of both sets tell how large the first sketches have to be; each retry has four times the cells. If even the
+    last attempt leaves cells (which takes a cycle in sketches of over a hundred cells per digest), the sets themselves
+    give the difference.
     """
-    total = F.size(a) + F.size(b)
+    apart = likely_difference(a, b)
 
-    def attempt(i: int) -> Column:
-        size = power_size(total / 8) * (4**i)
-        done = _let(size, lambda s: peel(subtract(sketch(a, s, i), sketch(b, s, i)), s, i))
-        return _let(done, lambda d: F.when(F.size(d["cells"]) == 0, F.struct(d["plus"].alias("plus"), d["minus"].alias("minus"))))
+    def attempt(i: int, apart: Column) -> Column:
+        size = power_size(apart * 0.7) * (4**i)
+        done = let(size, lambda s: peel(subtract(sketch(a, s, i), sketch(b, s, i)), s, i))
+        return let(done, lambda d: F.when(F.size(d["cells"]) == 0, F.struct(d["plus"].alias("plus"), d["minus"].alias("minus"))))
 
-    return F.coalesce(*[attempt(i) for i in range(attempts)])
+    exact = F.struct(F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))
+    return let(apart, lambda d: F.coalesce(*[attempt(i, d) for i in range(attempts)], exact))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -123,7 +140,7 @@ def likeness(a: Column, b: Column) -> Column:
         shared = (F.size(a) + F.size(b) - apart) / F.lit(2.0)
         return F.when(shared + apart == 0, F.lit(1.0)).otherwise(shared / (shared + apart))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(_let(difference(a, b), share))
+    return F.when(a == b, F.lit(1.0)).otherwise(let(difference(a, b), share))
 
 
 def fingerprint(digests: Column) -> Column:
@@ -141,7 +158,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     there; the last row of a range takes the first row of the range after it. No task sees all rows.
     """
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few for each task, which evens out long texts
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
     steps = [2**i for i in range(max(1, len(cuts)).bit_length(), -1, -1)]
     bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")

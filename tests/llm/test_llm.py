@@ -95,6 +95,30 @@ def test_fingerprints_equal_brute_force(spark, docs):
         assert got[d][1] == pytest.approx(share(parts(t), parts(edited))) and got[d][2] == pytest.approx(share(parts(t), parts(after)))
 
 
+def test_fingerprint_query_columns(spark, tmp_path):
+    """Repeated and null ids, null texts, the whole query against plain Python; equal texts have equal fingerprints."""
+    from cloakframe.llm.fingerprint import difference, paragraph_digests
+    from cloakframe.llm.queries import QUERIES
+
+    rng = random.Random(6)
+    many = [words(rng, 6) for _ in range(1500)]
+    texts = ["\n".join(many), "\n".join(many[:700] + [words(rng, 6) for _ in range(600)]), "é" * 7, "", None, "one\ntwo", "one\ntwo", "x" * 30_000]
+    rows = [(10 * i, t, 1) for i, t in enumerate(texts)] + [(10, texts[1], 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, digests int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op3_document_fingerprints"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in got) == sorted((i, len(t or "")) for i, t, _ in rows)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    prints = {r.doc_id: r.fingerprint for r in got}
+    assert prints[50] == prints[60] and prints[30] == prints[40] and len({prints[0], prints[10], prints[20], prints[30], prints[50], prints[70]}) == 6
+    a, b = set(many), set(texts[1].split("\n"))
+    assert [r.near_next for r in got if r.doc_id == 0] == [pytest.approx(len(a & b) / len(a | b))]
+    d = spark.createDataFrame([tuple(texts[:2])], "a string, b string").select(difference(paragraph_digests(F.col("a")), paragraph_digests(F.col("b")), 1).alias("d"), difference(paragraph_digests(F.col("a")), paragraph_digests(F.col("b")), 0).alias("plain")).first()
+    assert sorted(d.d.plus) == sorted(d.plain.plus) and len(d.d.plus) == len(a - b) and len(d.d.minus) == len(b - a)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert QUERIES["op3_document_fingerprints"](spark, str(tmp_path / "none")).count() == 0
+
+
 def test_decontamination_equals_brute_force():
     from cloakframe.llm.decontaminate import _edited, _words, edit_distance, index_items, match_documents, text_chunks, word_sequences
 
