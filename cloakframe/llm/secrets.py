@@ -8,23 +8,25 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakframe.functions.text import chunks, let, piece, running
+
 # Names of secrets, and first characters of known kinds of keys.
 NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|encryption|signing|auth|client|account|master|shared)[ _-]?key|[a-z0-9][_-]key(?:[_-]?id)?|auth|credential)s?"
 HEAD = r"(?:AKIA|ASIA|gh[opsur]_|github_pat_|xox[abprs]-|sk_live_|sk_test_|sk-|AIza)"
 
-# A candidate: the value set for a name (in quotes, or up to white space), whatever its length and characters; a key of
-# a known kind; or any run of at least 12 token characters with a digit in it.
+# A candidate: the value set for a name (in quotes, or up to white space), whatever its length and characters; a private
+# key block, to its end or that of the text; a key of a known kind, a web token with all its parts; or any run of at least 12 token characters with a digit in it.
 _SIGN = r"(?:=>|:=|[=:]|[ \t]is[ \t])"
 _SET = rf"(?<=(?i:{NAME})[\"']{{0,1}}[ \t]{{0,8}}{_SIGN}[ \t]{{0,8}}"
 CANDIDATE = (
     rf"(?<=\"){_SET}\")(?:[^\"\\\r\n]++|\\.)++(?=\")|(?<='){_SET}')(?:[^'\\\r\n]++|\\.)++(?=')"
     rf"|(?<=[=:>][ \t]{{0,8}}[\"']{{0,1}}|[ \t]is[ \t]{{1,8}}[\"']{{0,1}}){_SET}[\"']{{0,1}})(?!(?i:bearer|basic)\s)(?![=>])[^\s\"',;](?:\S*[^\s\"',;])?"
+    r"|-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----END )[\s\S])*+(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)?"
     r"|(?<![A-Za-z0-9_+/-])(?:eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)*|" + HEAD + r"[A-Za-z0-9_+/-]{8,}={0,2})"
     r"|(?<=(?i:bearer)\s)[A-Za-z0-9._~+/-]{8,}={0,2}"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
@@ -58,7 +60,7 @@ FEATURES = {
     "hex": "cast(x.value rlike '^[0-9a-f]+$' as double)",
     "numeric": "cast(x.value rlike '^[0-9-]+$' as double)",
     "groups": "cast(x.value rlike '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$' as double)",
-    "known_head": "cast(x.value rlike '^(" + HEAD + "|eyJ)' as double)",
+    "known_head": "cast(x.value rlike '^(" + HEAD + "|eyJ|-----BEGIN)' as double)",
     "dictionary": "1 - length(regexp_replace(lower(x.value), '" + "|".join(sorted(set(COMMON), key=lambda w: (-len(w), w))) + "', '')) / length(x.value)",
     "path": r"cast(x.value rlike '/.*/' or x.before rlike '([/\\\\.@]|://\\S*)$' or x.after rlike '^([/\\\\@]|\\.[a-z])' as double)",
     "named": "cast(x.before rlike '" + BEFORE.replace("\\", "\\\\").replace("'", "\\'") + "' as double)",
@@ -79,19 +81,13 @@ def candidates(text: Column) -> Column:
     parts = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hits"), F.split(text, CANDIDATE, -1).alias("gaps"))
 
     def placed(v: Column) -> Column:
-        sizes = F.transform(F.arrays_zip(v["gaps"], v["hits"]), lambda x: F.length(x["gaps"]) + F.coalesce(F.length(x["hits"]), F.lit(0)))
-        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda z, n: F.concat(z, F.array(F.element_at(z, -1) + n)))
-        bound = F.struct(v["hits"].alias("hits"), v["gaps"].alias("gaps"), ends.alias("ends"))
-        return F.transform(
-            F.array(bound),
-            lambda w: F.transform(
-                w["hits"],
-                lambda h, i: F.struct((w["ends"][i + 1] - F.length(h)).alias("start"), h.alias("value"), F.substring(w["gaps"][i], -48, 48).alias("before"), F.substring(w["gaps"][i + 1], 1, 48).alias("after")),
-            ),
-        )[0]
+        sizes = F.transform(v["gaps"], lambda g, i: F.length(g) + F.coalesce(F.length(F.get(v["hits"], i)), F.lit(0)))
+        row = lambda h, i, ends: F.struct(
+            (F.get(ends, i) - F.length(h)).alias("start"), h.alias("value"), F.substring(F.get(v["gaps"], i), -48, 48).alias("before"), F.substring(F.get(v["gaps"], i + 1), 1, 48).alias("after")
+        )
+        return let(let(sizes, running), lambda ends: F.transform(v["hits"], lambda h, i: row(h, i, ends)))
 
-    rows = F.transform(F.array(parts), placed)[0]  # bound once: a lambda would search the text again for every hit
-    return F.when(text.rlike(CANDIDATE), rows).otherwise(F.array().cast("array<struct<start:int,value:string,before:string,after:string>>"))
+    return F.when(text.rlike(CANDIDATE), let(parts, placed)).otherwise(F.array().cast("array<struct<start:int,value:string,before:string,after:string>>"))
 
 
 @dataclass
@@ -166,6 +162,8 @@ def labelled_findings(n: int = 1500, seed: int = 41) -> list[tuple[str, int]]:
         lambda: r.choice(["my password is ", "the token is ", "passcode is "]) + password(),
         lambda: r.choice(named) + r.choice(["=", ": "]) + pick("0123456789", r.randint(4, 10)),
         lambda: r.choice(["token = ", "api_key = ", "secret: "]) + r.choice(['"%s"', "'%s'", "%s"]) % pick(letters + letters.upper(), r.randint(16, 40)),
+        lambda: "-----BEGIN " + r.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY-----\n" + "\n".join(pick(both + "+/", 64) for _ in range(r.randint(1, 4))) + "\n" + r.choice(["", "-----END PRIVATE KEY-----"]),
+        lambda: r.choice(["", "session ", "jwt: "]) + "eyJ" + pick(both + "_-", 20) + ".eyJ" + pick(both + "_-", 30) + "." + pick(both + "_-", 30),
     ]
     plain = [
         lambda: r.choice(["password", "the secret", "Password", "token", "this token", "credentials", "pass"]) + r.choice([": ", " is "]) + word() + " " + say() + r.choice(["", "."]),
@@ -201,22 +199,22 @@ def _scored(found: str) -> Column:
     return F.expr(f"transform({found}, x -> named_struct('start', x.start, 'value', x.value, 'f', named_struct({named})))")
 
 
-@lru_cache(maxsize=8)
-def _fitted(app: str, trees: int, depth: int, seed: int) -> str:
-    spark = SparkSession.getActiveSession()
-    lines = spark.createDataFrame(labelled_findings(), "text string, label int")
-    rows = lines.withColumn("c", candidates(F.col("text"))).withColumn("c", _scored("c")).select("label", F.explode("c").alias("c")).select("label", "c.f.*").collect()
-    x, y = np.array([[float(v) for v in r[1:]] for r in rows]), np.array([float(r.label) for r in rows])
-    names, rng, forest = list(FEATURES), np.random.default_rng(seed), []
-    for _ in range(trees):
-        at = rng.integers(0, len(y), len(y))
-        forest.append(grow(x[at], y[at], names, rng, depth).sql())
-    return "(" + " + ".join(forest) + f") / {trees}"
+_FITTED: dict[tuple, str] = {}
 
 
 def forest_sql(spark: SparkSession, trees: int = 21, depth: int = 5, seed: int = 29) -> str:
-    """The fitted forest as an expression over a struct f of features (fitted once per application)."""
-    return _fitted(spark.sparkContext.applicationId, trees, depth, seed)
+    """The fitted forest as an expression over a struct f of features (fitted once per application and setting)."""
+    key = (spark.sparkContext.applicationId, trees, depth, seed)
+    if key not in _FITTED:
+        lines = spark.createDataFrame(labelled_findings(), "text string, label int")
+        rows = lines.withColumn("c", candidates(F.col("text"))).withColumn("c", _scored("c")).select("label", F.explode("c").alias("c")).select("label", "c.f.*").collect()
+        x, y = np.array([[float(v) for v in r[1:]] for r in rows]), np.array([float(r.label) for r in rows])
+        names, rng, forest = list(FEATURES), np.random.default_rng(seed), []
+        for _ in range(trees):
+            at = rng.integers(0, len(y), len(y))
+            forest.append(grow(x[at], y[at], names, rng, depth).sql())
+        _FITTED[key] = "(" + " + ".join(forest) + f") / {trees}"
+    return _FITTED[key]
 
 
 def with_secrets(docs: DataFrame, threshold: float = 0.5, column: str = "secrets") -> DataFrame:
@@ -234,10 +232,13 @@ def with_secrets(docs: DataFrame, threshold: float = 0.5, column: str = "secrets
 def redact(docs: DataFrame, mask: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """docs with every secret in text replaced by mask; all rows and columns stay."""
     found = with_secrets(docs, threshold, "__secrets")
-    clean = F.aggregate(
-        F.col("__secrets"),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda z, x: F.struct(F.concat(z["out"], F.substring(F.col("text"), z["at"] + 1, x["start"] - z["at"]), F.lit(mask)).alias("out"), (x["start"] + F.length(x["value"])).alias("at")),
-        lambda z: F.concat(z["out"], F.substring(F.col("text"), z["at"] + 1, F.length("text"))),
-    )
+    secrets = F.col("__secrets")
+
+    def clean(v: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(secrets, i)["start"] + F.length(F.get(secrets, i)["value"]), F.lit(0))
+        out = F.transform(secrets, lambda x, i: F.concat(piece(v["parts"], end(i - 1), x["start"] - end(i - 1)), F.lit(mask)))
+        last = end(F.size(secrets) - 1)
+        return F.concat(F.array_join(out, ""), piece(v["parts"], last, v["n"] - last))
+
+    clean = let(F.struct(chunks(F.col("text")).alias("parts"), F.length("text").alias("n")), clean)
     return found.withColumn("text", F.when(F.size("__secrets") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
