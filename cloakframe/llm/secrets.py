@@ -20,13 +20,13 @@ NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|
 HEAD = r"(?:AKIA|ASIA|gh[opsur]_|github_pat_|xox[abprs]-|sk_live_|sk_test_|sk-|AIza)"
 
 # A candidate: the value set for a name (in quotes, or up to white space), whatever its length and characters; a private
-# key block, to its end or that of the text; a key of a known kind, a web token with all its parts; or any run of at least 12 token characters with a digit in it.
+# key block (without an end, its lines of 16 and more characters); a key of a known kind, a web token with all its parts; or any run of at least 12 token characters with a digit in it.
 _SIGN = r"(?:=>|:=|[=:]|[ \t]is[ \t])"
 _SET = rf"(?<=(?i:{NAME})[\"']{{0,1}}[ \t]{{0,8}}{_SIGN}[ \t]{{0,8}}"
 CANDIDATE = (
     rf"(?<=\"){_SET}\")(?:[^\"\\\r\n]++|\\.)++(?=\")|(?<='){_SET}')(?:[^'\\\r\n]++|\\.)++(?=')"
     rf"|(?<=[=:>][ \t]{{0,8}}[\"']{{0,1}}|[ \t]is[ \t]{{1,8}}[\"']{{0,1}}){_SET}[\"']{{0,1}})(?!(?i:bearer|basic)\s)(?![=>])[^\s\"',;](?:\S*[^\s\"',;])?"
-    r"|-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----END )[\s\S])*+(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)?"
+    r"|-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]{0,50}-----|(?:\s+[A-Za-z0-9+/=]{16,}+)*+)"
     r"|(?<![A-Za-z0-9_+/-])(?:eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)*|" + HEAD + r"[A-Za-z0-9_+/-]{8,}={0,2})"
     r"|(?<=(?i:bearer)\s)[A-Za-z0-9._~+/-]{8,}={0,2}"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
