@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.runtime import written
+from cloakframe.runtime import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of a node, and the node, move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last = e
         e = written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges", few=True)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        discard(last)
         if now == state:
             break
         state = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out.stored = e.stored
+    return out

@@ -56,9 +56,37 @@ def test_join_equals_brute_force(spark, docs):
     got = ngram_jaccard_join(docs).collect()
     assert len(got) == docs.count()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+    again = ngram_jaccard_join(docs, small=2, leaders=1, block=2).collect()  # long lists and many blocks
+    assert {r.doc_id: r.component_id for r in again} == {r.doc_id: r.component_id for r in got}
     assert ngram_jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_orders_lose_no_link():
+    from cloakframe.llm.ngram_join import _meet, _prefixes, similar
+
+    rng = np.random.default_rng(1)
+    dropped = 0
+    for n in (1, 2, 5, 30, 200):
+        for _ in range(200):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            keep = rng.random(len(a)) < rng.uniform(0.4, 1)
+            b = np.unique(np.concatenate([a[keep], rng.integers(0, 1 << 63, rng.integers(1, n // 3 + 2)).astype(np.uint64)]))
+            meet = _meet(_prefixes(a, 75), _prefixes(b, 75))
+            assert meet or not similar(a, b, 75)
+            dropped += not meet
+    assert dropped > 100
+
+
+def test_join_of_null_and_repeated_ids(spark):
+    from cloakframe.llm.ngram_join import ngram_jaccard_join
+
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(None, "a b c d e f"), (None, "no other"), (3, "A b  c d e f"), (3, "quite another text of words"), (5, long), (4, long + " x"), (3, "a b c d e f")]
+    t = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_shingles int, component_id string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(t).collect()), key=str)
+    assert got == sorted([(None, 2, 3), (None, 1, None), (3, 2, 3), (3, 1, 3), (5, 39_996, 4), (4, 39_997, 4), (3, 2, 3)], key=str)
+
+
 def test_bpe_equals_library():
     from tokenizers import Tokenizer
 
