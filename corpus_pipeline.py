@@ -23,18 +23,30 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("lang_pred <> 'und' and not ambiguous").select("text", "others.*").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with __row, a hash of all columns: rows that share a doc_id, or have none, stay apart."""
+    return docs.withColumn("__row", F.xxhash64(*docs.columns))
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (rows without a doc_id stay)."""
-    kept = ngram_jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    found = docs.join(kept, "doc_id")
-    one = found.where("__rows = 1").unionByName(found.where("__rows > 1").dropDuplicates(["doc_id"]))
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near copies, that with the smallest doc_id (those without one come last).
+
+    Different texts under one doc_id, and rows without a doc_id, are documents of their own; of rows that are equal in
+    all columns one stays.
+    """
+    rows = keyed(docs)
+    found = ngram_jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    kept = rows.select("__row", "doc_id").join(found, "__row").groupBy("component_id").agg(F.min_by("__row", order).alias("__row"))
+    return rows.join(kept.select("__row"), "__row").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(written(found, "contaminated", few=True), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, with or without a doc_id."""
+    rows = keyed(docs)
+    found = contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = written(found.select(F.col("doc_id").alias("__row")).distinct(), "contaminated", few=True)
+    return rows.join(found, "__row", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
