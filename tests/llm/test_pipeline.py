@@ -60,3 +60,22 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_with_shared_null_and_clashing_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(["the", "thing", "with", "ought", "where", "weather", "shown"]) + rng.choice("abcdefgh") for _ in range(n))
+    a, b, c, d, item = (say(60) for _ in range(5))
+    rows = [(1, a, "x"), (1, b, "x"), (None, c, "x"), (None, a + " more", "x"), (2, c, "y"), (3, d, "x"), (3, d, "x"), (None, f"{say(20)} {item} {say(20)}", "x"), (4, f"{say(20)} {item}", "x"), (4, say(50), "x")]
+    schema = "doc_id long, text string, source string, component_id int, lang string"
+    docs = spark.createDataFrame([(*r, 7, "en") for r in rows], schema).cache()
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda df: sorted((str(r.doc_id), r.text, r.source) for r in df.collect())
+    got = corpus_pipeline.deduplicated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and key(got) == sorted((str(i), t, s) for i, t, s in [rows[0], rows[1], rows[4], rows[5], *rows[7:]])
+    got = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and key(got) == sorted((str(i), t, s) for i, t, s in [*rows[:7], rows[9]])
+    assert key(corpus_pipeline.without_secrets(spark, docs, "")) == key(docs) and corpus_pipeline.identified(spark, docs, "").columns == docs.columns
+    assert corpus_pipeline.encoded(spark, docs, "").count() == len(rows)
