@@ -3,7 +3,7 @@
 Texts are word sequences. The CGK random walk copies a word of the window at each step and moves on by a random
 bit of that word, which maps edit distance to Hamming distance between the copies. One repetition samples a few
 steps of one walk; windows and items whose samples agree are candidates, and the repetitions are as many as the
-target recall needs at the largest allowed distance, by trial on edited items. Candidates are verified by the
+target recall needs at the largest allowed distance, by trial on edited items in other text. Candidates are verified by the
 exact edit distance between the item and its best stretch of the document.
 
 Windows start where an item could: an item of n words within k edits keeps one of any k + 1 disjoint runs of its
@@ -80,6 +80,45 @@ def walk(words: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, steps
     return key
 
 
+@dataclass
+class Runs:
+    """Runs of one length: their distinct hashes in order, and for each the rows (from cut to cut) that say where items have it.
+
+    Of embedded items a row is (size level, place), once however many items share the run there; of exactly verified
+    ones (item, place).
+    """
+
+    grams: np.ndarray
+    cut: np.ndarray
+    where: np.ndarray
+    bitmap: np.ndarray
+
+    @staticmethod
+    def of(gram: np.ndarray, where: np.ndarray) -> Runs:
+        order = np.lexsort((where[:, 1], where[:, 0], gram))
+        gram, where = gram[order], where[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (where[1:] != where[:-1]).any(1)
+        gram, where = gram[new], where[new]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+        bitmap = np.zeros(1 << 20, bool)
+        bitmap[(gram & U((1 << 20) - 1)).astype(np.int64)] = True
+        return Runs(gram[first], np.append(first, len(gram)), where, bitmap)
+
+    def hits(self, g: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in g (of those allowed) and rows of where that stand for each occurrence of a run."""
+        at = np.flatnonzero(self.bitmap[(g & U((1 << 20) - 1)).astype(np.int64)])
+        at = at[allowed[at]]
+        if not len(at) or not len(self.grams):
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        place = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
+        hit = self.grams[place] == g[at]
+        at, place = at[hit], place[hit]
+        n = self.cut[place + 1] - self.cut[place]
+        row = np.repeat(self.cut[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(at, n), self.where[row]
+
+
 @dataclass
 class Items:
     """A block of benchmark items with its run index and LSH tables."""
@@ -87,9 +126,10 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     allowed: np.ndarray
-    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    runs: dict[int, Runs] = field(default_factory=dict)
     tables: list[tuple[int, int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]] = field(default_factory=list)
     exact: set[int] = field(default_factory=set)  # size levels without tables: each placed window is verified
+    exact_runs: dict[int, Runs] = field(default_factory=dict)
 
 
 def _edited(w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -105,26 +145,28 @@ def _edited(w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(w, U)
 
 
+def _place_runs(items: Items, level: np.ndarray) -> None:
+    by: dict[int, list[int]] = {}
+    for n, w in enumerate(items.words):
+        by.setdefault(max(1, min(3, len(w) // (int(items.allowed[n]) + 1))), []).append(n)
+    for q, members in by.items():
+        gram = np.concatenate([combine(items.words[n], q) for n in members])
+        item = np.repeat(members, [len(items.words[n]) - q + 1 for n in members])
+        at = np.concatenate([np.arange(len(items.words[n]) - q + 1) for n in members])
+        apart = np.isin(level[item], sorted(items.exact))
+        items.runs[q] = Runs.of(gram[~apart], np.stack([level[item], at], 1)[~apart])
+        items.exact_runs[q] = Runs.of(gram[apart], np.stack([item, at], 1)[apart])
+
+
 def index_items(ids: list[int], texts: list[str], share: float = 0.2, recall: float = 0.98, samples: int = 3, seed: int = 23) -> Items:
     """Items without a word match nothing and are left out. share bounds the edits of an item by its words."""
     seqs = word_sequences([t or "" for t in texts])
     kept = [i for i, s in enumerate(seqs) if len(s)]
     items = Items([ids[i] for i in kept], [seqs[i] for i in kept], np.array([int(share * len(seqs[i])) for i in kept], np.int64))
     rng = np.random.default_rng(seed)
-    by: dict[int, list[tuple[int, int, int]]] = {}
-    for n, w in enumerate(items.words):
-        q = max(1, min(3, len(w) // (int(items.allowed[n]) + 1)))
-        for at, g in enumerate(combine(w, q).tolist()):
-            by.setdefault(q, []).append((g, n, at))
-    for q, rows in by.items():
-        rows.sort()
-        g = np.array([r[0] for r in rows], U)
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        bitmap = np.zeros(1 << 20, bool)
-        bitmap[(g & U((1 << 20) - 1)).astype(np.int64)] = True
-        items.runs[q] = (g[first], np.append(first, len(g)), np.array([[r[1], r[2]] for r in rows], np.int64), bitmap)
     size = np.array([len(w) for w in items.words])
     level = np.floor(np.log2(np.maximum(size, 1))).astype(int) if len(size) else size
+    _place_runs(items, level)
     for lv in np.unique(level):
         members = np.flatnonzero(level == lv)
         least = 1 << int(lv)
@@ -134,21 +176,26 @@ def index_items(ids: list[int], texts: list[str], share: float = 0.2, recall: fl
         back = {int(m): i for i, m in enumerate(members)}
         source = np.array([back[int(m)] for m in rng.choice(members, 200)])
         trial = [_edited(items.words[members[m]], int(items.allowed[members[m]]), rng) for m in source]
-        tflat = np.concatenate([*trial, np.zeros(1, U)])
-        tend = np.cumsum([len(t) for t in trial])
-        tstart = tend - [len(t) for t in trial]
+        # edited items between other words: they are found by the windows that their runs place, like any text
+        text = [x for t in trial for x in (rng.integers(1, 1 << 62, 12).astype(U), t, rng.integers(1, 1 << 62, 12).astype(U))]
+        tfirst = np.concatenate([[0], np.cumsum([len(x) for x in text])[2::3]])
+        tflat = np.concatenate(text)
+        tstart = _windows(items, tflat, tfirst)[0].get(int(lv), np.zeros(0, np.int64))
+        tdoc = np.searchsorted(tfirst, tstart, side="right") - 1
         tables, missed = [], np.ones(len(trial), bool)
-        while missed.mean() > 1 - recall and len(tables) < 96:
+        allowed = (1 - recall) / 2  # a trial of 200 may err by as much again
+        while missed.mean() > allowed and len(tables) < 96:
             steps = np.sort(rng.choice(max(samples, int(1.6 * least)), min(samples, max(1, least)), replace=False))
             s = int(rng.integers(1, 1 << 30))
             keys = walk(flat, start, end, s, steps)
-            missed &= walk(tflat, tstart, tend, s, steps) != keys[source]
+            missed[tdoc[walk(tflat, tstart, tfirst[tdoc + 1], s, steps) == keys[source[tdoc]]]] = False
             order = np.argsort(keys, kind="stable")
             tables.append((s, steps, keys[order], members[order]))
-        if missed.mean() > 1 - recall:
+        if missed.mean() > allowed:
             items.exact.add(int(lv))
         else:
             items.tables.append((int(lv), least, tables))
+    _place_runs(items, level)
     return items
 
 
@@ -162,25 +209,15 @@ def _windows(items: Items, w: np.ndarray, first: np.ndarray) -> tuple[dict[int,
     if not len(w):
         return {}, runs[0]
     doc = np.searchsorted(first, np.arange(len(w)), side="right") - 1
-    for q, (grams, cut, where, bitmap) in items.runs.items():
+    for q in items.runs:
         g = combine(w, q)
-        at = np.flatnonzero(bitmap[(g & U((1 << 20) - 1)).astype(np.int64)])
-        at = at[doc[at] == doc[at + q - 1]]
-        place = np.minimum(np.searchsorted(grams, g[at]), len(grams) - 1)
-        hit = grams[place] == g[at]
-        at, place = at[hit], place[hit]
-        n = cut[place + 1] - cut[place]
-        row = np.repeat(cut[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        item, offset = where[row, 0], where[row, 1]
-        start = np.maximum(at - offset, first[doc[at]])
-        level = np.floor(np.log2([len(items.words[i]) for i in range(len(items.words))])).astype(int)[item]
-        for lv in np.unique(level):
-            here = level == lv
-            if int(lv) in items.exact:
-                runs.append(np.stack([doc[at[here]], item[here], np.full(here.sum(), q), (at - offset)[here]], 1))
-            else:
-                found.setdefault(int(lv), []).append(start[here])
+        whole = doc[: len(g)] == doc[q - 1 :]
+        at, where = items.runs[q].hits(g, whole)
+        start = np.maximum(at - where[:, 1], first[doc[at]])
+        for lv in np.unique(where[:, 0]):
+            found.setdefault(int(lv), []).append(np.unique(start[where[:, 0] == lv]))
+        at, where = items.exact_runs[q].hits(g, whole)
+        runs.append(np.stack([doc[at], where[:, 0], np.full(len(at), q), at - where[:, 1]], 1))
     return {lv: np.unique(np.concatenate(s)) for lv, s in found.items()}, np.concatenate(runs)
 
 
@@ -253,34 +290,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
     """One row per document and benchmark item it holds: doc_id, item_id, distance, start (word of the window).
 
     distance is in words and at most share of the item's words; case and punctuation do not count. Null and
-    wordless texts and items match nothing; repeated documents are each answered; further columns play no part.
-    The items are taken in blocks of about `block`, so what is broadcast has a bound whatever the benchmark's size.
+    wordless texts and items match nothing; repeated documents are each answered; further columns play no part. Texts are
+    taken whole, whatever their length. An empty table of either kind gives an empty result.
+    The items are taken in blocks of about `block`, and a task holds one block at a time, whatever the benchmark's size;
+    the documents are read and hashed once for all blocks.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = max(1, -(-benchmark.count() // block))
-    schema = "doc_id long, item_id long, distance int, start int"
-    out = None
+    shared = []
     for n in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).distinct().orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(index_items([r.item_id for r in rows], [r.text for r in rows], share, recall))
-
-        @frugal
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                for at, data, bounds in text_chunks(b.column(1)):
-                    w, first = _words(data, bounds)
+        shared.append(spark.sparkContext.broadcast(index_items([r.item_id for r in rows], [r.text for r in rows], share, recall)))
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for one in shared:
+                items = one.value
+                for ids, w, first in held:
                     found = list(match_documents(items, w, first)) if items.words else []
                     d, m, x, s = zip(*found) if found else ((), (), (), ())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[at + i] for i in d], pa.int64()), pa.array([items.ids[i] for i in m], pa.int64()), pa.array(x, pa.int32()), pa.array(s, pa.int32())],
+                        [pa.array([ids[i] for i in d], pa.int64()), pa.array([items.ids[i] for i in m], pa.int64()), pa.array(x, pa.int32()), pa.array(s, pa.int32())],
                         names=["doc_id", "item_id", "distance", "start"],
                     )
-
-        part = docs.mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out
+                if len(shared) > 1:
+                    del items, one._value  # read again for the next documents
+
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for at, data, bounds in text_chunks(b.column(1)):
+                held.append((ids[at : at + len(bounds) - 1], *_words(data, bounds)))
+                size += len(data)
+                if len(shared) == 1 or size > 32 << 20:
+                    yield from close()
+                    held, size = [], 0
+        yield from close()
+
+    return docs.mapInArrow(run, "doc_id long, item_id long, distance int, start int")
