@@ -3,10 +3,14 @@
 Leaves hold stretches of whole pre-tokens with their number of tokens; inner nodes hold sums. An edit re-encodes
 from the start of a leaf far enough before it to the first old leaf border after it that is a pre-token border of
 the new text too: pre-tokens are matched forwards, so from there on nothing changes.
+
+token_trees() makes the leaves of every document, to be kept as a table. apply_edits() reads the documents that edits
+touch from it, never their texts, and gives their new leaves, which are the next version's table.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.bpe import Bpe, tokenizer
-from cloakframe.runtime import frugal, ship
+from cloakframe.runtime import frugal, ship, written
 
-LEAF = 96  # pre-tokens of a leaf
-AHEAD = 16  # no pre-token border depends on more characters after it; special tokens are shorter
+LEAF = 48  # pre-tokens of a leaf
+LEAVES = "array<struct<chars:int,tokens:int,text:string>>"
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     chars: int
     tokens: int
@@ -83,12 +87,15 @@ Plan = tuple[Node | None, list[str], Node | None]
 
 
 class TokenTree:
-    """A document's tree. Without text it starts empty; plan() and commit() let many trees learn words together."""
+    """A document's tree, of a text or of kept leaves; plan() and commit() let many trees learn words together."""
 
-    def __init__(self, bpe: Bpe, text: str):
+    def __init__(self, bpe: Bpe, text: str = "", leaves: list[Node] | None = None):
         self.bpe, self.reencoded = bpe, 0
-        self.root: Node | None = None
-        self.commit((None, self._pieces(text), None))
+        # no pre-token border depends on more characters after it than a special token or a contraction has
+        self.ahead = max(16, max(map(len, bpe.special), default=0))
+        self.root: Node | None = _built(leaves) if leaves else None
+        if text:
+            self.commit((None, self._pieces(text), None))
 
     @property
     def tokens(self) -> int:
@@ -126,7 +133,7 @@ class TokenTree:
         size = self.root.chars if self.root else 0
         start = min(max(start, 0), size)
         end = min(max(end, start), size)
-        before, rest = _split(self.root, start - AHEAD, False)
+        before, rest = _split(self.root, start - self.ahead, False)
         base = before.chars if before else 0
         middle, rest = _split(rest, end - base + 1, True)
         old = "".join(n.text for n in _leaves(middle))
@@ -136,9 +143,9 @@ class TokenTree:
             for n in _leaves(rest):
                 ahead.append(n.text)
                 reach += n.chars
-                if reach >= AHEAD:
+                if reach >= self.ahead:
                     break
-            look = "".join(ahead)[: max(AHEAD, 1)]
+            look = "".join(ahead)[: self.ahead]
             pieces, at, kept = self._pieces(new + look), 0, 0
             self.reencoded += len(new)
             while kept < len(pieces) and at < len(new):
@@ -157,14 +164,57 @@ class TokenTree:
             self.root = _built(list(_leaves(self.root)))
 
 
-def count_edited(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_chars_edited and n_chars_reencoded of documents with edits.
+def _leaf_column(trees: list[TokenTree]) -> pa.Array:
+    rows = [list(_leaves(t.root)) for t in trees]
+    flat = [n for r in rows for n in r]
+    fields = [pa.array([n.chars for n in flat], pa.int32()), pa.array([n.tokens for n in flat], pa.int32()), pa.array([n.text for n in flat], pa.string())]
+    offsets = pa.array([0, *itertools.accumulate(map(len, rows))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["chars", "tokens", "text"]))
+
+
+def _kept_leaves(column: pa.ListArray) -> list[list[Node]]:
+    flat = column.flatten()
+    nodes = list(map(Node, *(flat.field(i).to_pylist() for i in range(3))))
+    ends = list(itertools.accumulate(n or 0 for n in pa.compute.list_value_length(column).to_pylist()))
+    return [nodes[a:b] for a, b in zip([0, *ends], ends)]
 
-    docs has doc_id, text and edits, array<struct<start, end, text>>: each replaces the characters from start to
-    end of the text as the edits before it left it. Null texts count as empty, null edits as none and a null
-    replacement as empty; places beyond the text are cut to it. Further columns are not carried.
+
+def token_trees(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, n_tokens and leaves of every document: its pre-tokens in groups, with their numbers of tokens.
+
+    Null texts count as empty and have no leaves; texts are encoded whole; repeated rows are each answered. Carried
+    columns must not be called like the new ones.
     """
     ship(docs.sparkSession)
+    kinds = dict(docs.dtypes)
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                trees = [TokenTree(bpe) for _ in range(b.num_rows)]
+                _commit(bpe, trees, [(None, t._pieces(text), None) if text else None for t, text in zip(trees, b.column(0).to_pylist())])
+                out = [pa.array([t.tokens for t in trees], pa.int64()), _leaf_column(trees)]
+                yield pa.RecordBatch.from_arrays([b.column(j + 1) for j in range(len(carry))] + out, names=[*carry, "n_tokens", "leaves"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", n_tokens long, leaves {LEAVES}"
+    return docs.select(F.col("text").cast("string").alias("__text"), *carry).mapInArrow(run, schema)
+
+
+COUNTS = ["n_tokens_edited", "n_chars_edited", "n_chars_reencoded"]
+
+
+def apply_edits(trees: DataFrame, path: str, leaves: bool = True) -> DataFrame:
+    """trees (doc_id, n_tokens, leaves and edits) after their edits: doc_id, n_tokens, COUNTS and (if asked for) the new leaves.
+
+    edits is array<struct<start, end, text>>: each replaces the characters from start to end of the text as the edits
+    before it left it; null edits count as none, a null replacement as empty, and places beyond the text are cut to
+    it. Rows without edits are answered from the sums they have.
+    """
+    ship(trees.sparkSession)
+    fields = ["n_tokens", *COUNTS]
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,17 +222,30 @@ def count_edited(docs: DataFrame, path: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                trees = [TokenTree(bpe, "") for _ in range(b.num_rows)]
-                _commit(bpe, trees, [t.plan(0, 0, text or "") for t, text in zip(trees, b.column(1).to_pylist())])
-                first = [(t.tokens, t.reencoded) for t in trees]
-                edits = [[e for e in row or () if e is not None] for row in b.column(2).to_pylist()]
+                made = [TokenTree(bpe, "", x) for x in _kept_leaves(b.column(2))]
+                edits = [[e for e in row or () if e is not None] for row in b.column(3).to_pylist()]
                 for i in range(max(map(len, edits), default=0)):
-                    plans = [t.plan(e[i]["start"] or 0, e[i]["end"] or 0, e[i]["text"] or "") if i < len(e) else None for t, e in zip(trees, edits)]
-                    _commit(bpe, trees, plans)
-                rows = [(n, t.tokens, t.root.chars if t.root else 0, t.reencoded - r) for t, (n, r) in zip(trees, first)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], names=["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_reencoded"]
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits").cast("array<struct<start:int,end:int,text:string>>"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_reencoded long")
+                    plans = [t.plan(e[i]["start"] or 0, e[i]["end"] or 0, e[i]["text"] or "") if i < len(e) else None for t, e in zip(made, edits)]
+                    _commit(bpe, made, plans)
+                out = [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in zip(*((t.tokens, t.root.chars if t.root else 0, t.reencoded) for t in made)))]
+                if leaves:
+                    out.append(_leaf_column(made))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", *fields, *["leaves"] * leaves])
+
+    rows = trees.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "leaves", F.col("edits").cast("array<struct<start:int,end:int,text:string>>").alias("edits"))
+    touched = F.coalesce(F.exists("edits", lambda e: e.isNotNull()), F.lit(False))
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in fields) + f", leaves {LEAVES}" * leaves
+    chars = F.aggregate(F.coalesce("leaves", F.array().cast(LEAVES)), F.lit(0).cast("long"), lambda z, x: z + x["chars"])
+    same = rows.where(~touched).select("doc_id", "n_tokens", F.col("n_tokens").alias(COUNTS[0]), chars.alias(COUNTS[1]), F.lit(0).cast("long").alias(COUNTS[2]), *["leaves"] * leaves)
+    return rows.where(touched).mapInArrow(run, schema).unionByName(same)
+
+
+def count_edited(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_edited, n_chars_edited and n_chars_reencoded of documents (doc_id, text) with edits.
+
+    The trees are written once; the edits are applied to what was written. Null texts count as empty; see
+    apply_edits() for the edits. Repeated rows are each answered, an empty table gives none; further columns are not
+    carried.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("edits").cast("array<struct<start:int,end:int,text:string>>").alias("edits"))
+    return apply_edits(written(token_trees(rows, path, ("doc_id", "edits")), "trees"), path, leaves=False)
