@@ -1,9 +1,9 @@
 """Document quality from supervised subword embeddings.
 
-A document is the mean of the learned vectors of its words, of their character n-grams and of marks for words and
-lines that repeat at once; a softmax layer turns the mean into label probabilities. Vectors and layer are fitted
+A document is the mean of the learned vectors of its words, of pairs of neighbouring words, of the words' character
+n-grams and of marks for words and lines that repeat at once; a softmax layer turns the mean into label probabilities. Vectors and layer are fitted
 together by stochastic gradient descent in numpy. With two labels the log-odds of a document are a mean of scalar
-contributions, so executors score whole texts with one scalar per distinct word.
+contributions, so executors score whole texts with one scalar per distinct word and one per pair.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.linear import WordRows, mark, sample, word_features
+from cloakframe.llm.shingles import U, mix
 from cloakframe.runtime import frugal, ship
 
 SLOTS, WIDTH = 1 << 17, 16
+_PAIR = U(0x9FB21C651E98DF25)
 _SAME_WORD, _SAME_LINE = mark("same word", SLOTS), mark("same line", SLOTS)
 
 
@@ -30,6 +32,11 @@ def _repeats(text: str, words: list[str]) -> tuple[int, int]:
     return same, sum(len(a.split()) for a, b in zip(lines, lines[1:]) if a == b)
 
 
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """Slots of the pairs of neighbours among the words' own slots."""
+    return (mix((words[:-1] * SLOTS + words[1:]).astype(U) ^ _PAIR) % U(SLOTS)).astype(np.int64)
+
+
 @dataclass
 class QualityModel:
     vectors: np.ndarray
@@ -41,11 +48,14 @@ class QualityModel:
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         slots, owner = word_features(words, 3, 5, SLOTS, whole=True)
-        return np.stack([np.bincount(owner, self.side[slots], len(words)), np.bincount(owner, minlength=len(words))], 1)
+        return np.stack([np.bincount(owner, self.side[slots], len(words)), np.bincount(owner, minlength=len(words)), slots[len(slots) - len(words) :]], 1)
 
     def score(self, text: str, words: list[str], rows: WordRows) -> float:
-        total, n = rows.of(words).sum(0) if words else (0.0, 0.0)
+        total, n = 0.0, 0.0
         if words:
+            own = rows.of(words)
+            pairs = _pairs(own[:, 2].astype(np.int64))
+            total, n = own[:, 0].sum() + self.side[pairs].sum(), own[:, 1].sum() + len(pairs)
             same, lines = _repeats(text, words)
             total += 8 * (same * self.side[_SAME_WORD] + lines * self.side[_SAME_LINE])
             n += 8 * (same + lines)
@@ -56,7 +66,8 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     same, lines = _repeats(text, words)
     marks = np.repeat([_SAME_WORD, _SAME_LINE], [8 * same, 8 * lines])
-    at, n = np.unique(np.concatenate([word_features(words, 3, 5, SLOTS, whole=True)[0], marks]), return_counts=True)
+    slots = word_features(words, 3, 5, SLOTS, whole=True)[0]
+    at, n = np.unique(np.concatenate([slots, _pairs(slots[len(slots) - len(words) :]), marks]), return_counts=True)
     return at, n / max(1, n.sum())
 
 
@@ -90,7 +101,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = 3000, epochs: i
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, score (probability of label 1) and predicted (score >= threshold) of every whole text.
 
-    A null, empty or blank text gets the score of the bias alone. Rows are answered one by one.
+    A null, empty or blank text gets the score of the bias alone. Texts are read whole, and rows are answered one by one:
+    repeated rows get equal answers, an empty table none. Columns that are not carried play no part; carried ones must
+    not be called like the two new ones.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -100,7 +113,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        rows = WordRows(2, m.word_rows)
+        rows = WordRows(3, m.word_rows)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
