@@ -6,8 +6,7 @@ of each, and a cell holds how many digests it has, their XOR and the XOR of thei
 kept, in order. Cells of two versions subtract; then peeling takes the digest out of every cell that holds just
 one, round after round, until nothing is left. If something is left, the sketches were too small for the
 difference, and larger ones with other hashes are tried; sets that defeat the largest are compared digest by digest.
-Cells are put together by running sums and XORs over the sorted cells, from which the sum of a cell's stretch is a
-difference, in n log n steps.
+Cells are sorted, and each stretch of equal places is added up by itself, so that nothing grows by appending.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import let, running
+from cloakframe.functions.text import let
 
 PARAGRAPH = r"[^\n]{320,}?[.!?](?=\s)|[^\n]+"
 
@@ -43,28 +42,21 @@ def _cells(key: Column, n: Column, size: Column, seed: int) -> Column:
 
 
 def _both(a: Column, b: Column) -> Column:
-    return F.struct((a["n"] + b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["c"].bitwiseXOR(b["c"]).alias("c"))
+    return F.struct(a["i"].alias("i"), (a["n"] + b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["c"].bitwiseXOR(b["c"]).alias("c"))
 
 
 def _merged(cells: Column) -> Column:
     """Cells of the same place added up; those that come to nothing go."""
 
     def folded(cells: Column) -> Column:
-        upto = running(F.transform(cells, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"))), _both)
-        places = F.transform(cells, lambda c: c["i"])
-        ends = let(places, lambda p: F.filter(F.transform(p, lambda x, j: F.when(F.coalesce(F.get(p, j + 1) != x, F.lit(True)), j)), lambda j: j.isNotNull()))
-        return let(F.struct(upto.alias("upto"), ends.alias("ends"), places.alias("places")), stretches)
+        last = F.filter(F.transform(cells, lambda c, j: F.when(F.coalesce(F.get(cells, j + 1)["i"] != c["i"], F.lit(True)), j)), lambda j: j.isNotNull())
+        return let(last, lambda ends: F.filter(F.transform(ends, lambda end, j: stretch(cells, F.coalesce(F.get(ends, j - 1) + 1, F.lit(0)), end)), used))
 
-    def stretches(v: Column) -> Column:
-        none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-
-        def one(end: Column, j: Column) -> Column:
-            now, before = F.get(v["upto"], end), F.when(j > 0, F.get(v["upto"], F.get(v["ends"], j - 1))).otherwise(none)
-            return let(F.struct(now.alias("a"), before.alias("b")), lambda x: F.struct(
-                F.get(v["places"], end).alias("i"), (x["a"]["n"] - x["b"]["n"]).alias("n"), x["a"]["k"].bitwiseXOR(x["b"]["k"]).alias("k"), x["a"]["c"].bitwiseXOR(x["b"]["c"]).alias("c")))
-
-        return F.filter(F.transform(v["ends"], one), lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
+    def stretch(cells: Column, first: Column, end: Column) -> Column:
+        some = F.slice(cells, first + 1, end - first)  # all but the last
+        return F.when(first == end, F.get(cells, end)).otherwise(F.aggregate(some, F.get(cells, end), _both))
 
+    used = lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0)
     return let(F.sort_array(cells), folded)
 
 
