@@ -84,9 +84,11 @@ class Bpe:
         by = np.argsort(key)
         self.key, self.made = key[by], by + 256
         self.merge = {(a, b): i for i, (a, b) in enumerate(zip(left, right)) if i >= 256}
-        self.longest: dict[bytes, int] = {}
+        sizes: dict[bytes, set[int]] = {}
         for t in self.bytes:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 1), len(t))
+            if len(t) > 2:
+                sizes.setdefault(t[:3], set()).add(len(t))
+        self.lengths = {head: sorted(n, reverse=True) for head, n in sizes.items()}  # of the entries that begin so
         self.text_of = {int(i): b for i, b in zip(out, self.bytes)}
         self.special: dict[str, bytes] = {}
         for t in spec["added_tokens"]:
@@ -105,6 +107,7 @@ class Bpe:
         for i in ids:
             self.own[i] = fine[i - 256] and self.own[left[i]] and self.own[right[i]]
         self.limit, self.cache = cache, {}
+        self.sizes: dict[str, int] = {}  # numbers of tokens, for callers that need no ids
         self.speculated = self.failed = 0
 
     def compatible(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
@@ -130,12 +133,16 @@ class Bpe:
         if (t := number.get(word)) is not None:
             return [t]
         out, i, n = [], 0, len(word)
+        lengths, entry = self.lengths, self.bytes
         while i < n:
-            end = min(n, i + self.longest.get(word[i : i + 2], 1))
-            while (t := number.get(word[i:end])) is None:
-                end -= 1
+            for k in lengths.get(word[i : i + 3], ()):
+                if (t := number.get(word[i : i + k])) is not None:
+                    break
+            else:
+                if (t := number.get(word[i : i + 2])) is None:
+                    t = word[i]
             out.append(t)
-            i = end
+            i += len(entry[t])
         return out
 
     def exact(self, word: bytes) -> list[int]:

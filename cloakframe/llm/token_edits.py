@@ -10,10 +10,12 @@ touch from it, never their texts, and gives their new leaves, which are the next
 
 from __future__ import annotations
 
+import bisect
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from cloakframe.llm.bpe import Bpe, tokenizer
 from cloakframe.runtime import frugal, ship, written
 
 LEAF = 48  # pre-tokens of a leaf
+KNOWN = 1_500_000  # pre-tokens whose numbers of tokens a worker keeps
 LEAVES = "array<struct<chars:int,tokens:int,text:string>>"
 
 
@@ -35,12 +38,35 @@ class Node:
     depth: int = 0
 
 
+def _learn(bpe: Bpe, words: set[str]) -> None:
+    """Have the numbers of tokens of these pre-tokens in bpe.sizes (ids are not kept)."""
+    known = bpe.sizes
+    if len(known) > KNOWN:
+        known.clear()
+    if not known:
+        known.update(dict.fromkeys(bpe.special, 1))  # no ordinary pre-token is spelt like a special token
+    new = words.difference(known)
+    if new:
+        bpe.learn(new)
+        known.update((w, len(bpe.cache[w]) // 4) for w in new)
+        bpe.cache.clear()
+
+
+def _groups(bpe: Bpe, pieces: list[str]) -> list[tuple[int, int, str]]:
+    """(characters, tokens, text) of each LEAF pre-tokens, whose numbers of tokens are known."""
+    n = len(pieces)
+    if not n:
+        return []
+    starts = np.arange(0, n, LEAF)
+    tokens = np.add.reduceat(np.fromiter(map(bpe.sizes.__getitem__, pieces), np.int64, n), starts).tolist()
+    chars = np.add.reduceat(np.fromiter(map(len, pieces), np.int64, n), starts).tolist()
+    text, ends = "".join(pieces), list(itertools.accumulate(chars))
+    return [(c, t, text[e - c : e]) for c, t, e in zip(chars, tokens, ends)]
+
+
 def _commit(bpe: Bpe, trees: list[TokenTree], plans: list[Plan | None]) -> None:
     """Encode the unknown pre-tokens of many plans at once, then carry the plans out."""
-    if len(bpe.cache) > bpe.limit:
-        bpe.cache.clear()
-    bpe.cache.update(bpe.special)
-    bpe.learn(set().union(*(p[1] for p in plans if p)).difference(bpe.cache))
+    _learn(bpe, set().union(*(p[1] for p in plans if p)))
     for tree, plan in zip(trees, plans):
         if plan:
             tree.commit(plan)
@@ -86,6 +112,14 @@ def _split(node: Node | None, at: int, after: bool) -> tuple[Node | None, Node |
 Plan = tuple[Node | None, list[str], Node | None]
 
 
+def pieces_of(bpe: Bpe, text: str) -> list[str]:
+    """The pre-tokens and special tokens of a text, which they make up."""
+    out: list[str] = []
+    for part, special in bpe.parts(text):
+        out += [part] if special else bpe.words.findall(part)
+    return out
+
+
 class TokenTree:
     """A document's tree, of a text or of kept leaves; plan() and commit() let many trees learn words together."""
 
@@ -95,7 +129,7 @@ class TokenTree:
         self.ahead = max(16, max(map(len, bpe.special), default=0))
         self.root: Node | None = _built(leaves) if leaves else None
         if text:
-            self.commit((None, self._pieces(text), None))
+            _commit(bpe, [self], [(None, pieces_of(bpe, text), None)])
 
     @property
     def tokens(self) -> int:
@@ -105,28 +139,9 @@ class TokenTree:
     def text(self) -> str:
         return "".join(n.text for n in _leaves(self.root))
 
-    def _pieces(self, text: str) -> list[str]:
-        out: list[str] = []
-        for part, special in self.bpe.parts(text):
-            out += [part] if special else self.bpe.words.findall(part)
-        return out
-
-    def _cut(self, pieces: list[str]) -> list[Node]:
-        known = self.bpe.cache
-        if len(known) > self.bpe.limit:
-            known.clear()
-        known.update(self.bpe.special)  # no ordinary pre-token is spelt like a special token
-        self.bpe.learn(set(pieces).difference(known))
-        out = []
-        for i in range(0, len(pieces), LEAF):
-            group = pieces[i : i + LEAF]
-            text = "".join(group)
-            out.append(Node(len(text), sum(map(len, map(known.__getitem__, group))) // 4, text))
-        return out
-
     def edit(self, start: int, end: int, text: str) -> None:
         """Replace the characters from start to end (both cut to the document)."""
-        self.commit(self.plan(start, end, text))
+        _commit(self.bpe, [self], [self.plan(start, end, text)])
 
     def plan(self, start: int, end: int, text: str) -> Plan:
         """The subtree before an edit, the pre-tokens it makes anew, and the subtree after."""
@@ -146,12 +161,11 @@ class TokenTree:
                 if reach >= self.ahead:
                     break
             look = "".join(ahead)[: self.ahead]
-            pieces, at, kept = self._pieces(new + look), 0, 0
+            pieces = pieces_of(self.bpe, new + look)
             self.reencoded += len(new)
-            while kept < len(pieces) and at < len(new):
-                at += len(pieces[kept])
-                kept += 1
-            if at == len(new):
+            ends = [0, *itertools.accumulate(map(len, pieces))]
+            kept = bisect.bisect_left(ends, len(new))
+            if ends[kept] == len(new):
                 break
             taken, rest = _split(rest, 1, True)  # the border after the edit is gone: go on to the next one
             new += "".join(n.text for n in _leaves(taken))
@@ -159,17 +173,16 @@ class TokenTree:
 
     def commit(self, plan: Plan) -> None:
         before, pieces, rest = plan
-        self.root = _join(_join(before, _built(self._cut(pieces))), rest)
+        self.root = _join(_join(before, _built([Node(*g) for g in _groups(self.bpe, pieces)])), rest)
         if self.root and self.root.depth > 64:
             self.root = _built(list(_leaves(self.root)))
 
 
-def _leaf_column(trees: list[TokenTree]) -> pa.Array:
-    rows = [list(_leaves(t.root)) for t in trees]
-    flat = [n for r in rows for n in r]
-    fields = [pa.array([n.chars for n in flat], pa.int32()), pa.array([n.tokens for n in flat], pa.int32()), pa.array([n.text for n in flat], pa.string())]
+def _leaf_column(rows: list[list[tuple[int, int, str]]]) -> pa.Array:
+    flat = list(itertools.chain.from_iterable(rows))
+    chars, tokens, text = zip(*flat) if flat else ((), (), ())
     offsets = pa.array([0, *itertools.accumulate(map(len, rows))], pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["chars", "tokens", "text"]))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(chars, pa.int32()), pa.array(tokens, pa.int32()), pa.array(text, pa.string())], ["chars", "tokens", "text"]))
 
 
 def _kept_leaves(column: pa.ListArray) -> list[list[Node]]:
@@ -194,9 +207,10 @@ def token_trees(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                trees = [TokenTree(bpe) for _ in range(b.num_rows)]
-                _commit(bpe, trees, [(None, t._pieces(text), None) if text else None for t, text in zip(trees, b.column(0).to_pylist())])
-                out = [pa.array([t.tokens for t in trees], pa.int64()), _leaf_column(trees)]
+                cut = [pieces_of(bpe, text) if text else [] for text in b.column(0).to_pylist()]
+                _learn(bpe, set().union(*cut))
+                rows = [_groups(bpe, pieces) for pieces in cut]
+                out = [pa.array([sum(g[1] for g in r) for r in rows], pa.int64()), _leaf_column(rows)]
                 yield pa.RecordBatch.from_arrays([b.column(j + 1) for j in range(len(carry))] + out, names=[*carry, "n_tokens", "leaves"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", n_tokens long, leaves {LEAVES}"
@@ -229,7 +243,7 @@ def apply_edits(trees: DataFrame, path: str, leaves: bool = True) -> DataFrame:
                     _commit(bpe, made, plans)
                 out = [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in zip(*((t.tokens, t.root.chars if t.root else 0, t.reencoded) for t in made)))]
                 if leaves:
-                    out.append(_leaf_column(made))
+                    out.append(_leaf_column([[(n.chars, n.tokens, n.text) for n in _leaves(t.root)] for t in made]))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", *fields, *["leaves"] * leaves])
 
     rows = trees.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "leaves", F.col("edits").cast("array<struct<start:int,end:int,text:string>>").alias("edits"))
