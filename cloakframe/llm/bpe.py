@@ -84,11 +84,9 @@ class Bpe:
         by = np.argsort(key)
         self.key, self.made = key[by], by + 256
         self.merge = {(a, b): i for i, (a, b) in enumerate(zip(left, right)) if i >= 256}
-        sizes: dict[bytes, set[int]] = {}
+        self.longest: dict[bytes, int] = {}
         for t in self.bytes:
-            if len(t) > 2:
-                sizes.setdefault(t[:3], set()).add(len(t))
-        self.lengths = {head: sorted(n, reverse=True) for head, n in sizes.items()}  # of the entries that begin so
+            self.longest[t[:2]] = max(self.longest.get(t[:2], 1), len(t))
         self.text_of = {int(i): b for i, b in zip(out, self.bytes)}
         self.special: dict[str, bytes] = {}
         for t in spec["added_tokens"]:
@@ -133,16 +131,12 @@ class Bpe:
         if (t := number.get(word)) is not None:
             return [t]
         out, i, n = [], 0, len(word)
-        lengths, entry = self.lengths, self.bytes
         while i < n:
-            for k in lengths.get(word[i : i + 3], ()):
-                if (t := number.get(word[i : i + k])) is not None:
-                    break
-            else:
-                if (t := number.get(word[i : i + 2])) is None:
-                    t = word[i]
+            end = min(n, i + self.longest.get(word[i : i + 2], 1))
+            while (t := number.get(word[i:end])) is None:
+                end -= 1
             out.append(t)
-            i += len(entry[t])
+            i = end
         return out
 
     def exact(self, word: bytes) -> list[int]:
