@@ -11,18 +11,20 @@ its pairs in a stream that is sorted on disk where memory is short; a document's
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.runtime import frugal, ship, written
 
-STRETCH = regex.compile(r" \s*(?:\S+(?:[^\S ]\s*)?)*")
+STRETCH = re.compile(r" (\s*(?:\S+(?:[^\S ]\s*)?)*)")  # ends before a plain space that follows no white space
+RUN = re.compile(r"\s ")
 FEW = 32  # so many places are stored as they are
 BUCKETS = 64  # of side ids; with a range of documents they make the key of the cogroup, however much data there is
 
@@ -30,10 +32,11 @@ BUCKETS = 64  # of side ids; with a range of documents they make the key of the
 class Aligner:
     """Two tokenizer files: a byte-level BPE of the tokenizers library (A), a sentencepiece model with byte fallback (B).
 
-    ids beyond 16 bits are refused. known maps a stretch of text to its alignment, of which it keeps a bounded number.
+    Ids beyond 16 bits are refused. Stretches of text are numbered as they come and aligned many at a time; what is known
+    of them stays in arrays by number, until there are more than keep.
     """
 
-    def __init__(self, first: str, second: str, keep: int = 150_000):
+    def __init__(self, first: str, second: str, keep: int = 400_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -47,58 +50,103 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if max(self.a.get_vocab_size(), len(pieces)) > 1 << 16 or any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("ids of more than 16 bits, or pieces that go on after a space")
-        self.bytes_a = {i: bytes(letter[c] for c in t) for t, i in self.a.get_vocab().items() if set(t) <= letter.keys()}
+        self.bytes_a = [b""] * (1 << 16)
+        for t, i in self.a.get_vocab().items():
+            self.bytes_a[i] = bytes(letter[c] for c in t) if set(t) <= letter.keys() else b""
         as_byte = lambda i, p: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
         self.bytes_b = [b"" if self.b.is_control(i) or self.b.is_unknown(i) else as_byte(i, p) for i, p in enumerate(pieces)]
-        self.keep, self.known = keep, {}
+        self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
+        self.told = [f"{i}{end}" for end in ",|;" for i in range(1 << 16)]  # an id and what follows it among the groups
+        self.told_size = np.array([len(x) for x in self.told])
+        self.keep = keep
+        self._start()
+
+    def _start(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.counts = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links and 1 if bytes differ
+        self.ends = np.zeros(1, np.int64)  # of a stretch's pairs, with a 0 before
+        self.pairs, self.times = np.zeros(0, np.uint32), np.zeros(0, np.uint32)  # A id << 16 | B id, and how often
 
     def learn(self, stretches: list[str]) -> None:
-        """Align stretches that are not known: (A ids, B ids, groups as text, pairs, multiplicities) or None where bytes differ."""
-        first = self.a.encode_batch_fast(stretches, add_special_tokens=False)
-        second = self.b.encode([s[1:] for s in stretches], num_threads=1)  # puts a space before each text, but not before none
-        for s, e, b in zip(stretches, first, second):
-            self.known[s] = self._aligned(s.encode(), e.ids, b if s != " " else [self.b.piece_to_id("▁")])
-
-    def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        one, two = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(one) != raw or b"".join(two) != raw:
-            return None
-        ends = np.cumsum([len(x) for x in one]), np.cumsum([len(x) for x in two])
-        both = np.intersect1d(*ends)
-        cut = [np.searchsorted(e, both, "right") for e in ends]
-        groups, pairs, times, i, j, links = [], [], [], 0, 0, 0
-        for p, q in zip(*cut):
-            ga, gb = a[i:p], b[j:q]
-            i, j = p, q
-            groups.append(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)))
-            links += len(ga) * len(gb)
-            if len(ga) == len(gb) == 1:
-                pairs.append(ga[0] << 16 | gb[0])
-                times.append(1)
-            else:  # each id once, with how often it comes
-                (ua, na), (ub, nb) = np.unique(ga, return_counts=True), np.unique(gb, return_counts=True)
-                pairs += (ua[:, None] << 16 | ub[None]).ravel().tolist()
-                times += (na[:, None] * nb[None]).ravel().tolist()
-        return len(a), len(b), len(groups), links, ";".join(groups), np.array(pairs, np.int64), np.array(times, np.int64)
-
-    def of(self, texts: list[str]) -> list[tuple | None]:
-        """Per text: n_a, n_b, n_groups, n_links, sha256 of the groups, pairs (A id << 16 | B id) and multiplicities, or None."""
-        cut = [STRETCH.findall(" " + t) if t else [] for t in texts]
+        """Align new stretches, each without the space that it begins with, all at once."""
+        raw = [f" {s}".encode() for s in stretches]
+        first = [e.ids for e in self.a.encode_batch_fast([f" {s}" for s in stretches], add_special_tokens=False)]
+        second = self.b.encode(stretches, num_threads=1)  # puts a space before each text, but not before none
+        if "" in stretches:
+            second[stretches.index("")] = [self.b.piece_to_id("▁")]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        good, sides = np.ones(len(raw), bool), []
+        for side, width in ((first, self.size_a), (second, self.size_b)):
+            n = np.fromiter(map(len, side), np.int64, len(side))
+            ids = np.fromiter(chain.from_iterable(side), np.int64, int(n.sum()))
+            sides.append((n, ids))
+            good &= np.bincount(np.repeat(np.arange(len(raw)), n), width[ids], len(raw)) == size
+        whole = b"".join(raw)
+        for side, spelt in ((first, self.bytes_a), (second, self.bytes_b)):
+            if not good.all() or b"".join([spelt[t] for t in chain.from_iterable(side)]) != whole:
+                good &= [b"".join([spelt[t] for t in ids]) == r for ids, r in zip(side, raw)]
+        flat, owner, end = [], [], []
+        for (n, ids), width in zip(sides, (self.size_a, self.size_b)):
+            flat.append(ids[np.repeat(good, n)])
+            owner.append(np.repeat(np.arange(len(raw)), np.where(good, n, 0)))
+            end.append(np.cumsum(width[flat[-1]]))  # tokens of good stretches fill them, so that ends of all run on
+        cut = np.intersect1d(*end, assume_unique=True)
+        group = [np.searchsorted(cut, e) for e in end]
+        many = [np.bincount(g, minlength=len(cut)) for g in group]
+        last = [np.cumsum(m) for m in many]
+        links, of = many[0] * many[1], owner[0][last[0] - 1]
+        count = lambda x, w=None: np.bincount(x, w, len(raw)).astype(np.int64)
+        counts = np.stack([count(owner[0]), count(owner[1]), count(of), count(of, links), ~good], 1).astype(np.int64)
+
+        # the groups as text: a group's A tokens, then its B tokens
+        told = np.zeros(len(flat[0]) + len(flat[1]), np.int64)
+        i, j = np.arange(len(flat[0])), np.arange(len(flat[1]))
+        told[i + (last[1] - many[1])[group[0]]] = flat[0] + ((i + 1 == last[0][group[0]]) << 16)
+        told[j + last[0][group[1]]] = flat[1] + ((j + 1 == last[1][group[1]]) << 17)
+        text = "".join([self.told[t] for t in told.tolist()])
+        chars = np.r_[0, np.cumsum(self.told_size[told])]
+        high = np.cumsum(counts[:, 0] + counts[:, 1])
+        bounds = chars[np.r_[0, high]].tolist()
+        self.groups += [text[x : y - 1] for x, y in zip(bounds, bounds[1:])]
+
+        # pairs: each A token with each B token of its group; in large groups each id once, with its number
+        large = links > 4096
+        part = np.flatnonzero(~large[group[0]])
+        n = many[1][group[0][part]]
+        to = np.repeat((last[1] - many[1])[group[0][part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs, times, who = np.repeat(flat[0][part], n) << 16 | flat[1][to], np.ones(n.sum(), np.uint32), np.repeat(owner[0][part], n)
+        for g in np.flatnonzero(large):
+            ids, often = zip(*(np.unique(f[z[g] - m[g] : z[g]], return_counts=True) for f, z, m in zip(flat, last, many)))
+            pairs = np.r_[pairs, (ids[0][:, None] << 16 | ids[1][None]).ravel()]
+            times = np.r_[times, (often[0][:, None] * often[1][None]).ravel().astype(np.uint32)]
+            who = np.r_[who, np.full(len(pairs) - len(who), of[g])]
+        by = np.argsort(who, kind="stable")
+        self.known.update(zip(stretches, range(len(self.known), len(self.known) + len(stretches))))
+        self.counts = np.concatenate([self.counts, counts])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(count(who))])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs[by].astype(np.uint32)]), np.concatenate([self.times, times[by]])
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Per text n_a, n_b, n_groups and n_links, and the sha256 of its groups; then for each linked pair text, pair and times."""
+        cut = [(STRETCH.findall(f" {t}") if RUN.search(f" {t}") else t.split(" ")) if t else [] for t in texts]
         if len(self.known) > self.keep:
-            self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        for i in range(0, len(new), 4096):
-            self.learn(new[i : i + 4096])
-        out: list[tuple | None] = []
-        for stretches in cut:
-            got = [self.known[s] for s in stretches]
-            if not got or None in got:
-                out.append(None)
-                continue
-            counts = [sum(g[k] for g in got) for k in range(4)]
-            sha = hashlib.sha256(";".join([g[4] for g in got]).encode()).hexdigest()
-            out.append((*counts, sha, np.concatenate([g[5] for g in got]), np.concatenate([g[6] for g in got])))
-        return out
+            self._start()
+        if new := list(set().union(*cut).difference(self.known)):
+            self.learn(new)
+        size = np.array([len(c) for c in cut])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(size.sum()))
+        owner = np.repeat(np.arange(len(texts)), size)
+        sums = np.zeros((len(texts), 5), np.int64)
+        np.add.at(sums, owner, self.counts[at])
+        fine = (size > 0) & (sums[:, 4] == 0)
+        sums[~fine] = 0
+        high = np.cumsum(size)
+        sha = [hashlib.sha256(";".join([self.groups[i] for i in at[y - n : y].tolist()]).encode()).hexdigest() if ok else "" for y, n, ok in zip(high, size, fine)]
+        at, owner = at[fine[owner]], owner[fine[owner]]
+        n = self.ends[at + 1] - self.ends[at]
+        to = np.repeat(self.ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return sums[:, :4], sha, np.repeat(owner, n), self.pairs[to].astype(np.int64), self.times[to]
 
 
 @lru_cache(maxsize=1)
@@ -110,7 +158,7 @@ def aligner(first: str, second: str) -> Aligner:
 DOC = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-def postings(docs: DataFrame, first: str, second: str, id_column: str, text_column: str, most: int = 4096, pairs: int = 2_000_000) -> DataFrame:
+def postings(docs: DataFrame, first: str, second: str, id_column: str, text_column: str, most: int = 4096, pairs: int = 4_000_000) -> DataFrame:
     """Two kinds of rows: documents (row, id, DOC, groups_sha256) and postings (chunk, a, b, n, docs, times).
 
     A chunk has at most `most` documents and about `pairs` links; a document's row is its chunk * 65536 + its place in it.
@@ -132,7 +180,7 @@ def postings(docs: DataFrame, first: str, second: str, id_column: str, text_colu
 
         from cloakframe.llm.bpe import by_size
 
-        two = aligner(first, second)
+        two = aligner(first, second)  # reads the setting above
         pack = zstandard.ZstdCompressor(level=1).compress
         chunk = TaskContext.get().partitionId() << 20
         keys: list[np.ndarray] = []
@@ -140,11 +188,14 @@ def postings(docs: DataFrame, first: str, second: str, id_column: str, text_colu
         n = held = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            if not keys:
+            if not held:
                 return
             key, m = np.concatenate(keys), np.concatenate(times)
-            by = np.argsort(key)
-            key, m = key[by], m[by]
+            if m.max(initial=1) == 1:
+                key, m = np.unique(key, return_counts=True)
+            else:
+                key, back = np.unique(key, return_inverse=True)
+                m = np.bincount(back, m).astype(np.int64)
             pair = key >> 16
             new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
             size = np.diff(np.r_[new, len(key)])
@@ -178,19 +229,13 @@ def postings(docs: DataFrame, first: str, second: str, id_column: str, text_colu
                 if n + len(texts) > most or held > pairs:
                     yield from flushed()
                     chunk, keys, times, n, held = chunk + 1, [], [], 0, 0
-                rows: list[tuple] = []
-                for k, got in enumerate(two.of(texts)):
-                    rows.append((chunk << 16 | n + k, *(got[:5] if got else (0, 0, 0, 0, ""))))
-                    if got:
-                        pair, back = np.unique(got[5], return_inverse=True)
-                        keys.append(pair << 16 | n + k)
-                        times.append(np.bincount(back, got[6]).astype(np.int64))
-                        held += len(pair)
-                n += len(texts)
-                ids = whole.column(0).slice(at, len(texts))
-                at += len(texts)
-                columns = dict(zip(["row", *DOC, "groups_sha256"], zip(*rows)))
-                yield batch({c: pa.array(v, pa.string() if c == "groups_sha256" else pa.int64()) for c, v in columns.items()} | {"id": ids})
+                sums, sha, place, pair, often = two.of(texts)
+                keys.append(pair << 16 | n + place)
+                times.append(often)
+                held += len(pair)
+                ids, row = whole.column(0).slice(at, len(texts)), chunk << 16 | n + np.arange(len(texts))
+                yield batch({"row": pa.array(row), "id": ids, "groups_sha256": pa.array(sha)} | {c: pa.array(x) for c, x in zip(DOC, sums.T)})
+                at, n = at + len(texts), n + len(texts)
         yield from flushed()
 
     return docs.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, schema)
