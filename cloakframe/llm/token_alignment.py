@@ -26,7 +26,7 @@ from cloakframe.runtime import frugal, ship, written
 STRETCH = re.compile(r" (\s*(?:\S+(?:[^\S ]\s*)?)*)")  # ends before a plain space that follows no white space
 RUN = re.compile(r"\s ")
 FEW = 32  # so many places are stored as they are
-BUCKETS = 64  # of side ids; with a range of documents they make the key of the cogroup, however much data there is
+BUCKETS = 8  # of side ids; with a range of documents they make the key of the cogroup, however much data there is
 
 
 class Aligner:
