@@ -1,8 +1,12 @@
-"""Column expressions over lines of text: pieces with places, context windows, hashes, path patterns."""
+"""Expressions over lines of text: pieces with places, context windows, hashes, path patterns.
+
+The larger ones are SQL text (str in, str out): one expression that Spark parses at once is put together a hundred times
+faster than a tree of columns that is built node by node.
+"""
 
 from __future__ import annotations
 
-import operator
+import itertools
 import re
 from collections.abc import Callable
 
@@ -10,66 +14,87 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{IsAlphabetic}\p{IsDigit}]"
+GAP = r"[^\p{IsAlphabetic}\p{IsDigit}]"
 EOL = "\r\n|\n|\r"
 
-
 CHUNK = 512
-_POWERS = [1 << i for i in range(31)]
+_POWERS = ", ".join(str(1 << i) for i in range(31))
+_names = itertools.count()
+
+
+def quoted(text: str) -> str:
+    """A text as a literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fresh() -> str:
+    """A name for a lambda's variable that no other lambda has."""
+    return f"x{next(_names)}"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: str, body: Callable[[str], str]) -> str:
     """body over a value that is computed once: a lambda computes what it holds again for every element."""
-    return F.transform(F.array(value), lambda x: body(x))[0]
+    x = fresh()
+    return f"transform(array({value}), {x} -> {body(x)})[0]"
 
 
-def running(sizes: Column, join: Callable[[Column, Column], Column] = operator.add) -> Column:
-    """Running sums (or joins) of an array of ints by doubling: n log n steps, where appending to an array takes n * n."""
-    shifts = F.slice(F.array(*map(F.lit, _POWERS)), F.lit(1), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(1)))).cast("int"))
-    return F.aggregate(shifts, sizes, lambda z, by: F.transform(z, lambda x, i: F.when(i >= by, join(x, F.get(z, i - by))).otherwise(x)))
+def running(sizes: str, join: str = "{} + {}") -> str:
+    """Running sums (or joins) of an array of ints (a name) by doubling: n log n steps, where appending to an array takes n * n."""
+    z, by, x, i = (fresh() for _ in range(4))
+    both = join.format(x, f"get({z}, {i} - {by})")
+    shifts = f"slice(array({_POWERS}), 1, cast(ceil(log2(greatest(size({sizes}), 1))) as int))"
+    return f"aggregate({shifts}, {sizes}, ({z}, {by}) -> transform({z}, ({x}, {i}) -> if({i} >= {by}, {both}, {x})))"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, word>> of the matches of a pattern; places count code points from 0."""
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+def spans(text: str, pattern: str) -> str:
+    """array<struct<start, end, word>> of the matches of a pattern (SQL text); places count code points from 0."""
 
-    def placed(v: Column) -> Column:
-        sizes = F.transform(v["gaps"], lambda g, i: F.length(g) + F.coalesce(F.length(F.get(v["hits"], i)), F.lit(0)))
-        return let(let(sizes, running), lambda ends: F.transform(
-            v["hits"], lambda h, i: F.struct((F.get(ends, i) - F.length(h)).alias("start"), F.get(ends, i).alias("end"), h.alias("word"))))
+    def placed(v: str) -> str:
+        sizes = f"transform({v}.g, (g, i) -> length(g) + coalesce(length(get({v}.h, i)), 0))"
+        return let(let(sizes, running), lambda e: f"transform({v}.h, (h, i) -> named_struct('start', get({e}, i) - length(h), 'end', get({e}, i), 'word', h))")
 
-    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>"))
+    parts = f"named_struct('h', regexp_extract_all({text}, {pattern}, 0), 'g', split({text}, {pattern}, -1))"
+    return f"if({text} rlike {pattern}, {let(parts, placed)}, cast(array() as array<struct<start:int,end:int,word:string>>))"
 
 
-def chunks(text: Column) -> Column:
+def chunks(text: str) -> str:
     """A text in stretches of CHUNK code points, from which piece() cuts without going through all of it."""
-    return F.when(F.length(text) <= CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    return f"if(length({text}) <= {CHUNK}, array({text}), regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0))"
 
 
-def piece(parts: Column, start: Column, size: Column) -> Column:
+def piece(parts: str, start: str, size: str) -> str:
     """size code points of a text in chunks, from start (0: the first; none before it)."""
-    size = F.greatest(size, F.lit(0))
-    near = F.slice(parts, (F.floor(start / CHUNK) + 1).cast("int"), (F.floor(size / CHUNK) + 2).cast("int"))
-    return F.substring(F.array_join(near, ""), (start % CHUNK + 1).cast("int"), size.cast("int"))
 
+    def cut(v: str) -> str:
+        near = f"slice({parts}, cast({v}.s div {CHUNK} as int) + 1, cast({v}.n div {CHUNK} as int) + 2)"
+        return f"substring(array_join({near}, ''), {v}.s % {CHUNK} + 1, {v}.n)"
 
-def whole_word(parts: Column, start: Column, end: Column) -> Column:
+    return let(f"named_struct('s', cast({start} as int), 'n', greatest(cast({size} as int), 0))", cut)
+
+
+def whole_word(parts: str, start: str, end: str) -> str:
     """Neither neighbour of the span (of a text in chunks) is a letter or digit."""
-    one = F.lit(1)
-    return ~F.when(start > 0, piece(parts, F.greatest(start - 1, F.lit(0)), one)).otherwise("").rlike(WORD) & ~piece(parts, end, one).rlike(WORD)
+    alone = quoted(WORD)
+    return f"(not if({start} > 0, {piece(parts, f'greatest({start} - 1, 0)', '1')}, '') rlike {alone} and not {piece(parts, end, '1')} rlike {alone})"
 
 
-def context(parts: Column, n: Column, start: Column, end: Column, keep: int = 15) -> Column:
+def context(parts: str, n: str, start: str, end: str, keep: int = 15) -> str:
     """The span of a text (in chunks, of n code points) with up to keep characters on each side.
 
     `..` marks a cut, and no cut saves fewer than two.
     """
-    zero = F.lit(0)
-    low = F.when((start - keep < 0) | ((start > keep) & (start - keep - 2 < 0)), zero).otherwise(start - keep)
-    high = F.when((end + keep > n) | ((end + keep < n) & (end + keep + 2 > n)), n).otherwise(end + keep)
-    low = low + F.length(F.regexp_extract(piece(parts, low, start - 1 - low), r"^[\x00-\x20]*", 0))
-    high = high - F.length(F.regexp_extract(piece(parts, end + 1, high - end - 1), r"[\x00-\x20]*\z", 0))
-    return let(F.struct(low.alias("low"), high.alias("high")), lambda x: F.concat(
-        F.when(x["low"] > 0, "..").otherwise(""), piece(parts, x["low"], x["high"] - x["low"]), F.when(x["high"] < n, "..").otherwise("")))
+    low = f"if({start} - {keep} < 0 or ({start} > {keep} and {start} - {keep} - 2 < 0), 0, {start} - {keep})"
+    high = f"if({end} + {keep} > {n} or ({end} + {keep} < {n} and {end} + {keep} + 2 > {n}), {n}, {end} + {keep})"
+
+    def trimmed(v: str) -> str:
+        left = f"{v}.a + length(regexp_extract({piece(parts, f'{v}.a', f'{start} - 1 - {v}.a')}, {quoted(_BLANKS_FIRST)}, 0))"
+        right = f"{v}.b - length(regexp_extract({piece(parts, f'{end} + 1', f'{v}.b - {end} - 1')}, {quoted(_BLANKS_LAST)}, 0))"
+        return let(f"named_struct('a', {left}, 'b', {right})", lambda x: f"concat(if({x}.a > 0, '..', ''), {piece(parts, f'{x}.a', f'{x}.b - {x}.a')}, if({x}.b < {n}, '..', ''))")
+
+    return let(f"named_struct('a', {low}, 'b', {high})", trimmed)
+
+
+_BLANKS_FIRST, _BLANKS_LAST = r"^[\x00-\x20]*", r"[\x00-\x20]*\z"
 
 
 def word_hash(word: Column) -> Column:

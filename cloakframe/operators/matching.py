@@ -7,11 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import EOL, WORD, blank, chunks, context, let, piece, spans, whole_word
+from cloakframe.functions.literals import gram_of, required_literal
+from cloakframe.functions.text import EOL, GAP, WORD, blank, chunks, context, let, piece, quoted, running, spans, whole_word
 
 KEY = ["file", "line_num", "part"]
 MATCH = [*KEY, "start", "end", "word", "word_lc", "reason", "template", "src", "context"]
-SMALL = 5_000  # terms that are looked up within the lines; more of them meet the tokens in a shuffled join
+SMALL = 5_000  # first tokens of terms that are looked up within the lines; with more of them all tokens meet the terms
+INLINE = 16  # patterns that are expressions of their own; more of them are rows that lines with their literals meet
+_HIT = "struct<start:int,end:int,key:bigint,word_lc:string,src:int,template:string,rx:string>"
 
 
 @dataclass
@@ -54,7 +57,7 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def tokens(rows: DataFrame) -> DataFrame:
     """Every maximal run of letters and digits with its place."""
-    t = rows.select("file", "line_num", F.explode(spans(F.col("line"), WORD + "+")).alias("t"))
+    t = rows.select("file", "line_num", F.explode(F.expr(spans("line", quoted(WORD + "+")))).alias("t"))
     return t.select("file", "line_num", "t.start", "t.end", "t.word", F.lower("t.word").alias("word_lc"))
 
 
@@ -63,112 +66,186 @@ def value_frames(spark: SparkSession, guard: Guard) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in guard.values.items() if k], "word_lc string, template string")
 
 
+def _key(k: str, words: str) -> str:
+    return f"xxhash64({k}, {words})"
+
+
 def terms(words: DataFrame) -> DataFrame:
-    """words with anchor, their longest run of letters and digits, and at, its place in them (null: there is none).
+    """words with what finds them in a line: k, the number of their tokens, first, the first of these, and key, a hash of all.
 
-    A whole-word match of a phrase has each such run of it as a token of the line, so that the anchor finds it by an
-    equality join.
+    A whole-word match of a term has just its tokens in a row, each a whole token of the line. lead and tail are the
+    lengths of what stands before and after them. A term without a token (k 0) is found by its text. overlaps: an
+    occurrence of the term may begin within another one.
     """
-    runs = F.transform(spans(F.col("word_lc"), WORD + "+"), lambda t: F.struct((t["start"] - t["end"]).alias("n"), t["start"].alias("at"), t["word"].alias("anchor")))
-    return words.withColumn("t", F.get(F.array_sort(runs), F.lit(0))).select("word_lc", "template", "t.anchor", "t.at")
+    t = words.where("word_lc <> ''").select(F.col("word_lc").alias("term"), "template", F.expr(spans("word_lc", quoted(WORD + "+"))).alias("t"))
+    t = t.withColumns({"k": F.size("t"), "first": F.expr("get(t, 0).word"), "phrase": F.expr("not (size(t) = 1 and get(t, 0).word = term)")})
+    inner = "if(k = 0, term, array_join(transform(t, x -> x.word), '\\u0001'))"
+    overlaps = "phrase and length(term) > 1 and exists(sequence(1, greatest(length(term) - 1, 1)), i -> left(term, i) = right(term, i))"
+    return t.selectExpr(
+        "term", "template", "k", "first", "phrase", f"{_key('k', inner)} as key", "if(k = 0, 0, get(t, 0).start) as lead", "if(k = 0, 0, length(term) - get(t, k - 1).`end`) as tail",
+        f"{overlaps} as overlaps", "if(k = 0, length(term), null) as bare",
+    )
 
 
-def _searched(line: Column, searched: list[str], first: int) -> list[Column]:
-    """For each pattern its whole-word matches in the lower-cased line: start, end, word_lc and src from first on."""
+def _token_hits(ks: list[int], firsts: list[str] | None) -> str:
+    """Keys of the runs of k tokens of a line (for each k of ks), of those that begin with one of firsts (None: of all)."""
 
-    def one(pattern: str, src: int) -> Column:
-        low = F.lower(line)
-        found = let(chunks(low), lambda parts: F.filter(spans(low, pattern), lambda s: (s["end"] > s["start"]) & whole_word(parts, s["start"], s["end"])))
-        rows = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["word"].alias("word_lc"), F.lit(src).alias("src")))
-        return F.when(low.rlike(pattern), rows).otherwise(F.array().cast("array<struct<start:int,end:int,word_lc:string,src:int>>"))
+    def one(t: str) -> str:
+        runs = f"transform(array({', '.join(map(str, ks))}), k -> named_struct('start', w.start, 'k', k, 'i', i))"
+        fits = f"w.word in ({', '.join(map(quoted, firsts))})" if firsts is not None else "true"
+        made = f"flatten(transform({t}, (w, i) -> if({fits}, filter({runs}, r -> r.i + r.k <= size({t})), cast(array() as array<struct<start:int,k:int,i:int>>))))"
+        joined = f"if(r.k = 1, get({t}, r.i).word, array_join(transform(sequence(r.i, r.i + r.k - 1), j -> get({t}, j).word), '\\u0001'))"
+        return f"transform({made}, r -> cast(named_struct('start', r.start, 'end', get({t}, r.i + r.k - 1).`end`, 'key', {_key('r.k', joined)}, 'word_lc', null, 'src', null, 'template', null, 'rx', null) as {_HIT}))"
 
-    return [one(p, first + i) for i, p in enumerate(searched)]
+    return let(f"transform({spans('line', quoted(WORD + '+'))}, x -> named_struct('start', x.start, 'end', x.`end`, 'word', lower(x.word)))", one)
 
 
-def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, keep: int = 15) -> DataFrame:
-    """Lines (file, line_num, part, prefix, line) that may have a match, and ms: their matches less the ignored, by place.
+def _bare_hits(sizes: list[int]) -> str:
+    """Keys of the stretches of given sizes between tokens."""
+    at = f"flatten(transform(array({', '.join(map(str, sizes))}), n -> if(length(x.word) < n, cast(array() as array<struct<s:int,n:int>>), transform(sequence(0, length(x.word) - n), s -> named_struct('s', s, 'n', n)))))"
+    cut = f"cast(named_struct('start', x.start + y.s, 'end', x.start + y.s + y.n, 'key', {_key('0', 'lower(substring(x.word, y.s + 1, y.n))')}, 'word_lc', null, 'src', null, 'template', null, 'rx', null) as {_HIT})"
+    return f"flatten(transform({spans('line', quoted(GAP + '+'))}, x -> transform({at}, y -> {cut})))"
+
+
+def _placed(found: str) -> str:
+    """Places in the lower-cased line as places in the line, whose letters may be fewer."""
+
+    def mapped(e: str) -> str:
+        return f"transform({found}, s -> named_struct('start', size(filter({e}, q -> q <= s.start)), 'end', size(filter({e}, q -> q < s.`end`)) + 1, 'word', s.word))"
+
+    ends = let("transform(split(line, ''), c -> length(lower(c)))", running)
+    return f"if(length(line) = length(lower(line)), {found}, {let(ends, mapped)})"
+
 
-    words replaces the guard's values. The lines are gone through once. A line's tokens that begin no term are dropped
-    within it; the others and its pattern matches come out as rows, of which the first carries the line, meet the terms
-    in a join, and are put together again. file, line_num and part tell lines apart.
+def _pattern_hits(rx: str, src: str, template: str) -> str:
+    """Matches of a pattern (SQL text) in the lower-cased line; empty ones don't count."""
+    hit = f"cast(named_struct('start', s.start, 'end', s.`end`, 'key', null, 'word_lc', s.word, 'src', {src}, 'template', {template}, 'rx', {rx}) as {_HIT})"
+    return let(_placed(spans("lower(line)", rx)), lambda v: f"transform(filter({v}, s -> length(s.word) > 0), s -> {hit})")
+
+
+def _many_pattern_hits(rows: DataFrame, guard: Guard, numbered: list[tuple[int, str, str]]) -> DataFrame:
+    """Hits of many patterns as rows: a line meets those patterns of which it has a stretch of three letters.
+
+    The stretch comes from a literal that all matches hold. Patterns without such a literal are tried on the lines in which
+    one expression for all of them finds something. The patterns are data, so that the plan doesn't grow with them.
     """
-    import re
+    spark = rows.sparkSession
+    literal = {p: required_literal(p) for _, p, _ in numbered}
+    grams = gram_of([x for x in literal.values() if x])
+    indexed = [(i, p, t, literal[p], grams[literal[p]]) for i, p, t in numbered if literal[p]]
+    others = [(i, p, t) for i, p, t in numbered if not literal[p]]
+    wide = rows.select(*KEY, "line")
+    out = []
+    if indexed:
+        table = spark.createDataFrame(indexed, "src int, rx string, template string, literal string, gram string")
+        known = f"g in ({', '.join(sorted({quoted(x[4]) for x in indexed}))})"
+        seen = wide.withColumn("gram", F.expr(f"explode(filter(array_distinct(regexp_extract_all(lower(line), '(?s)(?=(...))', 1)), g -> {known}))"))
+        out.append(seen.join(table, "gram").where("contains(lower(line), literal)").select(*KEY, "line", "src", "rx", "template"))
+    if others:
+        plain = all("\\" + d not in p for _, p, _ in others for d in "123456789k")  # numbers of groups would change
+        some = wide.where(f"lower(line) rlike {quoted('|'.join(f'(?:{p})' for _, p, _ in others))}") if plain else wide
+        every = "array(" + ", ".join(f"named_struct('src', {i}, 'rx', {quoted(p)}, 'template', {quoted(t)})" for i, p, t in others) + ")"
+        out.append(some.select(*KEY, "line", F.expr(f"explode(filter({every}, p -> lower(line) rlike p.rx))").alias("p")).select(*KEY, "line", "p.*"))
+    found = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    return found.select(*KEY, F.expr(f"explode({_pattern_hits('rx', 'src', 'template')})").alias("t")).select(*KEY, "t.*")
 
-    rows = keyed(rows)
-    every = terms(words if words is not None else value_frames(rows.sparkSession, guard))
-    bare = [(r.word_lc, r.template) for r in every.where("anchor is null and word_lc <> ''").collect()]  # phrases without a letter or digit
-    joined = every.where("anchor is not null").withColumnRenamed("word_lc", "term")
-    some = joined.select("anchor").distinct().limit(SMALL + 1).collect()
-    small = len(some) <= SMALL
 
-    # src: 0 words, 1 phrases, then bare phrases and patterns in order
-    searched = [(re.sub(r"([^\w\s])", r"\\\1", p), f"Value {p}", t) for p, t in bare] + [(p, f"Pattern {p}", (t or "").strip()) for p, t in guard.patterns.items()]
-    line = F.col("line")
-    toks = F.transform(spans(line, WORD + "+"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["word"]).alias("word_lc"), F.lit(0).alias("src")))
-    others = _searched(line, [p for p, _, _ in searched], 2)
+def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, keep: int = 15) -> DataFrame:
+    """Lines (file, line_num, part, prefix, line) that may have a match, and ms: their matches less the ignored, by place.
+
+    words replaces the guard's values. A line gives a key for each run of as many tokens as some term has; keys meet
+    the terms in a join, so that the work follows the tokens of the lines and the true matches, however many terms begin
+    alike. With few first tokens of terms, lines without any of them and runs that begin otherwise are dropped within the
+    scan; else all runs come out as rows. Of a term's occurrences that overlap each other those count that a search from
+    left to right finds, each beginning where the last one ended. file, line_num and part tell lines apart.
+    """
+    rows, spark = keyed(rows), rows.sparkSession
+    every = terms(words if words is not None else value_frames(spark, guard))
+    shapes = every.select("k", "first", "bare").distinct().limit(SMALL + 1).collect()
+    small = len(shapes) <= SMALL
+    if small:
+        ks, bare = ({r[c] for r in shapes} - {0, None} for c in ("k", "bare"))
+    else:
+        ks, bare = (set(x or []) - {0} for x in every.agg(F.collect_set("k"), F.collect_set("bare")).first())
+    firsts = sorted({r.first for r in shapes if r.first is not None}) if small else None
+    numbered = [(i + 2, p, (t or "").strip()) for i, (p, t) in enumerate(guard.patterns.items())]
+    inline = numbered if len(numbered) <= INLINE else []
+
+    parts = [_token_hits(sorted(ks), firsts)] * bool(ks) + [_bare_hits(sorted(bare))] * bool(bare) + [_pattern_hits(quoted(p), str(i), quoted(t)) for i, p, t in inline]
+    hits_of = f"concat({', '.join(parts)})" if parts else f"cast(array() as array<{_HIT}>)"
+    some = rows
+    if small and not bare:  # a cheap look at each line first
+        looks = [f"lower(line) rlike {quoted(p)}" for _, p, _ in inline]
+        if firsts:
+            looks.append(f"arrays_overlap(split(lower(line), {quoted(GAP + '+')}, -1), array({', '.join(map(quoted, firsts))})) or length(line) <> length(lower(line))")
+        some = rows.where(" or ".join(looks) or "false")
 
     def merged_rows(hits: DataFrame, *also: Column) -> DataFrame:
         """The matches of each line, less the ignored (a row that is none of them still brings its line)."""
-        start = F.when(F.col("src") == 0, F.col("start") - F.col("at")).otherwise(F.col("start"))
-        end = F.when(F.col("src") == 0, start + F.length("term")).otherwise(F.col("end"))
-        src = F.when((F.col("src") == 0) & (F.col("term") != F.col("anchor")), 1).otherwise(F.col("src"))
-        hits = hits.withColumns({"start": start, "end": end, "word_lc": F.coalesce("term", "word_lc"), "src": src})
-        good = F.col("start") >= 0
+        own = F.col("key").isNotNull()
+        hits = hits.withColumns({
+            "start": F.when(own, F.col("start") - F.col("lead")).otherwise(F.col("start")), "end": F.when(own, F.col("end") + F.col("tail")).otherwise(F.col("end")),
+            "src": F.when(own, F.col("phrase").cast("int")).otherwise(F.col("src")), "word_lc": F.coalesce("term", "word_lc"), "template": F.coalesce("term_template", "template"),
+        })
+        good = "start >= 0 and src is not null"
         if guard.ignore_values:
-            ignored = rows.sparkSession.createDataFrame([(v, True) for v in sorted(guard.ignore_values)], "word_lc string, ignored boolean")
-            hits = hits.join(ignored, "word_lc", "left")
-            good &= F.col("ignored").isNull()
-        for p in guard.ignore_patterns:
-            good &= ~F.col("word_lc").rlike(p)
-        m = F.when(good, F.struct("start", "end", "src", "word_lc", "template"))
+            good += f" and word_lc not in ({', '.join(map(quoted, sorted(guard.ignore_values)))})"
+        good += "".join(f" and not word_lc rlike {quoted(p)}" for p in guard.ignore_patterns)
+        m = F.expr(f"if({good}, struct(start, end, src, word_lc, template, rx, coalesce(overlaps, false) as overlaps), null)")
         return hits.groupBy(*KEY).agg(*also, F.sort_array(F.collect_list(m)).alias("ms"))
 
-    if small:
-        toks = F.filter(toks, lambda t: t["word_lc"].isin([r.anchor for r in some]))
-        hits = F.transform(F.concat(toks, *others), lambda t, i: t.withField("line", F.when(i == 0, line)))
-        hits = rows.select(*KEY, "prefix", F.explode(hits).alias("t")).select(*KEY, "prefix", "t.*")
-        hits = hits.join(F.broadcast(joined), (F.col("src") == 0) & (F.col("word_lc") == F.col("anchor")), "left")
-        per = merged_rows(hits, F.first("prefix").alias("prefix"), F.first("line", True).alias("line")).where(F.size("ms") > 0)
-    else:  # no line travels with its tokens
-        one = rows.select(*KEY, F.explode(toks).alias("t")).select(*KEY, "t.*").join(joined, F.col("word_lc") == F.col("anchor"))
-        if others:
-            two = rows.select(*KEY, F.explode(F.concat(*others)).alias("t")).select(*KEY, "t.*")
-            one = one.unionByName(two, allowMissingColumns=True)
+    table = every.select("key", "term", F.col("template").alias("term_template"), "phrase", "lead", "tail", "overlaps")
+    lookups = {"term": "string", "term_template": "string", "phrase": "boolean", "lead": "int", "tail": "int", "overlaps": "boolean"}
+    bare_row = lambda df: df.withColumns({c: F.lit(None).cast(t) for c, t in lookups.items()})
+    if small and inline == numbered:  # the first hit brings the line along
+        hit = some.select(*KEY, "prefix", "line", F.expr(f"posexplode({hits_of}) as (i, t)")).select(*KEY, F.expr("if(i = 0, prefix, null)").alias("prefix"), F.expr("if(i = 0, line, null)").alias("line"), "t.*")
+        hit = hit.join(table, "key", "left") if ks or bare else bare_row(hit)
+        per = merged_rows(hit, F.first("prefix", True).alias("prefix"), F.first("line", True).alias("line")).where(F.size("ms") > 0)
+    else:  # no line travels with its hits
+        hit = some.select(*KEY, F.expr(f"explode({hits_of})").alias("t")).select(*KEY, "t.*")
+        found = [hit.where("key is not null").join(table, "key")] if ks or bare else []
+        if inline:
+            found.append(bare_row(hit.where("key is null")))
+        elif numbered:
+            found.append(bare_row(_many_pattern_hits(rows, guard, numbered)))
+        one = found[0]
+        for f in found[1:]:
+            one = one.unionByName(f)
         per = merged_rows(one).where(F.size("ms") > 0).join(rows, KEY)
 
-    listed = lambda of: F.array(*[F.lit(x[of]) for x in searched], F.lit(""))
-    ms = let(chunks(F.lower("line")), lambda parts: F.filter(
-        "ms", lambda m: (m["src"] != 1) | ((piece(parts, m["start"], F.length(m["word_lc"])) == m["word_lc"]) & whole_word(parts, m["start"], m["end"]))))
-    ms = F.transform(ms, lambda m: m.withField("template", F.when(m["src"] > 1, F.get(listed(2), m["src"] - 2)).otherwise(m["template"])))
-    per = per.withColumn("ms", ms).withColumn("ms", _apart(F.col("ms")))
-    # of matches with the same span, an earlier phrase or pattern with a template has it
-    wide = len(searched) + 2
-    lost = lambda a, i: F.exists(
-        F.sequence(F.greatest(i - wide, F.lit(0)), i),
-        lambda j: let(F.get("ms", j), lambda x: (x["src"] > 0) & (x["src"] < a["src"]) & (x["start"] == a["start"]) & (x["end"] == a["end"]) & ~blank(x["template"])),
-    )
-    per = per.withColumn("ms", F.filter("ms", lambda a, i: (a["src"] < 2) | ~lost(a, i)))
-
-    def shown(v: Column) -> Column:
-        parts, n = v["parts"], v["n"]
-        return F.transform("ms", lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), piece(parts, m["start"], m["end"] - m["start"]).alias("word"), m["word_lc"].alias("word_lc"),
-            F.when(m["src"] < 2, F.concat(F.lit("Value "), m["word_lc"])).otherwise(F.get(listed(1), m["src"] - 2)).alias("reason"), m["template"].alias("template"),
-            m["src"].alias("src"), F.concat(F.col("prefix"), context(parts, n, m["start"], m["end"], keep)).alias("context"),
-        ))
-
-    return per.select(*KEY, "prefix", "line", let(F.struct(chunks(line).alias("parts"), F.length(line).alias("n")), shown).alias("ms"))
-
-
-def _apart(ms: Column) -> Column:
-    """Matches by place; of a phrase's matches that overlap each other, those that a search from left to right finds."""
-    clash = F.exists(ms, lambda a: (a["src"] == 1) & F.exists(ms, lambda b: (b["src"] == 1) & (b["word_lc"] == a["word_lc"]) & (b["start"] < a["start"]) & (a["start"] < b["end"])))
-    phrases = F.filter(ms, lambda m: m["src"] == 1)
-    taken = F.aggregate(
-        phrases, F.filter(ms, lambda m: F.lit(False)),
-        lambda z, m: F.when(F.exists(z, lambda x: (x["word_lc"] == m["word_lc"]) & (m["start"] < x["end"])), z).otherwise(F.concat(z, F.array(m))),
-    )
-    return F.when((F.size(phrases) > 1) & clash, F.array_sort(F.concat(F.filter(ms, lambda m: m["src"] != 1), taken))).otherwise(ms)
+    # phrases are compared letter by letter, and what is no word has no letter or digit beside it
+    cut = f"named_struct('parts', {chunks('line')}, 'n', length(line))"
+    same = lambda v: f"(m.src <> 1 or (m.`end` <= {v}.n and lower({piece(f'{v}.parts', 'm.start', 'm.`end` - m.start')}) = m.word_lc))"
+    kept = let(cut, lambda v: f"filter(ms, m -> m.src = 0 or ({same(v)} and {whole_word(f'{v}.parts', 'm.start', 'm.`end`')}))")
+    per = _settled(per, f"if(exists(ms, m -> m.src > 0), {kept}, ms)")
+    per = _settled(per, f"if(exists(ms, m -> m.overlaps), {_left_to_right()}, ms)")
+    per = _settled(per, f"if(exists(ms, m -> m.src > 0), {_told_once()}, ms)")
+    reason = "if(m.src < 2, concat('Value ', m.word_lc), concat('Pattern ', m.rx))"
+    shown = let(cut, lambda v: f"""transform(ms, m -> named_struct('start', m.start, 'end', m.`end`, 'word', {piece(f'{v}.parts', 'm.start', 'm.`end` - m.start')}, 'word_lc', m.word_lc,
+        'reason', {reason}, 'template', m.template, 'src', m.src, 'context', concat(prefix, {context(f'{v}.parts', f'{v}.n', 'm.start', 'm.`end`', keep)})))""")
+    return per.select(*KEY, "prefix", "line", F.expr(shown).alias("ms"))
+
+
+def _settled(per: DataFrame, ms: str) -> DataFrame:
+    """per with new matches, computed once: a generator keeps them out of the expressions above, which go through them again and again."""
+    return per.select(*KEY, "prefix", "line", F.expr(f"explode(array({ms}))").alias("ms"))
+
+
+def _left_to_right() -> str:
+    """ms, with the matches of terms that may overlap themselves as a search from left to right finds them."""
+    cut = "concat('\\\\Q', replace(u.word_lc, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')"
+    again = let(_placed(spans("lower(line)", cut)), lambda v: f"transform({let(chunks('line'), lambda p: f'filter({v}, s -> {whole_word(p, "s.start", "s.`end`")})')}, s -> named_struct('start', s.start, 'end', s.`end`, 'src', u.src, 'word_lc', u.word_lc, 'template', u.template, 'rx', u.rx, 'overlaps', true))")
+    terms_of = "array_distinct(transform(filter(ms, m -> m.overlaps), m -> named_struct('src', m.src, 'word_lc', m.word_lc, 'template', m.template, 'rx', m.rx)))"
+    return f"array_sort(concat(filter(ms, m -> not m.overlaps), flatten(transform({terms_of}, u -> {again}))))"
+
+
+def _told_once() -> str:
+    """ms without those whose span an earlier phrase or pattern with a template has."""
+    begins = "transform(ms, (m, i) -> if(i > 0 and m.start = get(ms, i - 1).start and m.`end` = get(ms, i - 1).`end`, 0, i))"
+    first = let(begins, lambda b: running(b, "greatest({}, {})"))
+    # slice() goes through the whole array each time
+    earlier = "(get(f, i) < i and exists(sequence(get(f, i), i - 1), j -> get(ms, j).src > 0 and trim(coalesce(get(ms, j).template, '')) <> ''))"
+    return f"transform(array({first}), f -> filter(ms, (m, i) -> m.src < 2 or not {earlier}))[0]"
 
 
 def exploded(per: DataFrame) -> DataFrame:

@@ -66,49 +66,40 @@ def resolve(matches: DataFrame) -> DataFrame:
     rank = F.struct(F.col("start") - F.col("end"), template_rank(F.col("template")), F.col("start"), F.col("src"), F.col("reason"))
     m = F.struct("start", "end", "src", rank.alias("rank"), allowed.alias("free"), "word", "word_lc", "reason", "context", "i_allow", "i_comment", "instructed", "value")
     per = matches.groupBy(*KEY).agg(F.sort_array(F.collect_list(m)).alias("ms"))
-    powers = F.slice(F.array(*[F.lit(1 << i) for i in range(31)]), F.lit(1), (F.floor(F.log2(F.greatest(F.size("ms"), F.lit(1)))) + 1).cast("int"))
+    powers = f"slice(array({', '.join(str(1 << i) for i in reversed(range(31)))}), -1 - cast(floor(log2(greatest(size(ms), 1))) as int), 1 + cast(floor(log2(greatest(size(ms), 1))) as int))"
 
-    def before(values: Column, fits) -> Column:
+    def before(values: str, fits: str) -> str:
         """How many of the ascending values fit (they come first)."""
-        return F.aggregate(F.reverse(powers), F.lit(0), lambda z, s: F.when((z + s <= F.size("ms")) & fits(F.get(values, z + s - 1)), z + s).otherwise(z))
+        return f"aggregate({powers}, 0, (z, s) -> if(z + s <= size(ms) and get({values}, z + s - 1) {fits}, z + s, z))"
 
-    stronger = lambda x, a: ~x["free"] & (x["rank"] < a["rank"]) & (x["start"] < a["end"]) & (a["start"] < x["end"])
-
-    def near(v: Column) -> Column:
-        def one(a: Column) -> Column:
-            low, high = before(v["reach"], lambda x: x <= a["start"]), before(v["starts"], lambda x: x < a["end"])
-            return F.struct(a.alias("a"), (~a["free"] & ~F.exists(F.sequence(low, high - 1), lambda j: let(F.get("ms", j), lambda x: stronger(x, a)))).alias("kept"))
-
-        return F.transform("ms", one)
-
-    bounds = F.struct(let(F.transform("ms", lambda x: x["end"]), lambda e: running(e, F.greatest)).alias("reach"), F.transform("ms", lambda x: x["start"]).alias("starts"))
-    few = F.transform("ms", lambda a: F.struct(a.alias("a"), (~a["free"] & ~F.exists("ms", lambda x: stronger(x, a))).alias("kept")))
-    return per.withColumn("ms", F.when(F.size("ms") <= 32, few).otherwise(let(bounds, near)))
+    stronger = lambda x: f"(not {x}.free and {x}.rank < a.rank and {x}.start < a.`end` and a.start < {x}.`end`)"
+    kept = lambda found: f"named_struct('a', a, 'kept', not a.free and not {found})"
+    some = f"exists(sequence(w.low, w.high - 1), j -> transform(array(get(ms, j)), x -> {stronger('x')})[0])"  # slice() goes through the whole array each time
+    bounds = f"named_struct('low', {before('v.reach', '<= a.start')}, 'high', {before('v.starts', '< a.`end`')})"
+    near = f"transform(ms, a -> transform(array({bounds}), w -> {kept(some)})[0])"
+    reach = let("transform(ms, x -> x.`end`)", lambda e: running(e, "greatest({}, {})"))
+    many = f"transform(array(named_struct('reach', {reach}, 'starts', transform(ms, x -> x.start))), v -> {near})[0]"
+    few = f"transform(ms, a -> {kept(f'exists(ms, x -> {stronger("x")})')})"
+    return per.withColumn("ms", F.expr(f"if(size(ms) <= 32, {few}, {many})"))
 
 
 def rewrite(resolved: DataFrame, lines: DataFrame, keep: int = 15) -> DataFrame:
     """lines with their matches (ms), the masked line, and back: each replacement in it with its context, in order of place."""
-    rows = resolved.join(lines.select(*KEY, "prefix", "line"), KEY).withColumn("kept", F.transform(F.filter("ms", lambda x: x["kept"]), lambda x: x["a"]))
-    kept, n = F.col("kept"), F.length("line")
-
-    def spliced(parts: Column) -> Column:
-        done = lambda i: F.coalesce(F.get(kept, i)["end"], F.lit(0))
-        out = F.transform(kept, lambda k, i: F.concat(piece(parts, done(i - 1), k["start"] - done(i - 1)), k["value"]))
-        last = done(F.size(kept) - 1)
-        return F.concat(F.array_join(out, ""), piece(parts, last, n - last))
-
-    grown = let(F.transform(kept, lambda k: F.length(k["value"]) - (k["end"] - k["start"])), running)
-    rows = rows.withColumn("masked", let(chunks(F.col("line")), spliced))
-
-    def back(v: Column) -> Column:
-        def one(k: Column, i: Column) -> Column:
-            s = k["start"] + F.coalesce(F.get(v["grown"], i - 1), F.lit(0))
-            seen = F.concat(F.col("prefix"), context(v["parts"], v["n"], s, s + F.length(k["value"]), keep))
-            return F.struct(F.lower(k["value"]).alias("text"), seen.alias("context"), k["word"].alias("word"), k["reason"].alias("reason"))
-
-        return F.transform(kept, one)
-
-    return rows.withColumn("back", let(F.struct(chunks(F.col("masked")).alias("parts"), F.length("masked").alias("n"), grown.alias("grown")), back)).drop("kept")
+    rows = resolved.join(lines.select(*KEY, "prefix", "line"), KEY).withColumn("kept", F.expr("transform(filter(ms, x -> x.kept), x -> x.a)"))
+
+    def spliced(v: str) -> str:
+        done = "coalesce(get(kept, {}).`end`, 0)"
+        out = f"transform(kept, (k, i) -> concat({piece(v, done.format('i - 1'), f'k.start - {done.format("i - 1")}')}, k.value))"
+        last = done.format("size(kept) - 1")
+        return f"concat(array_join({out}, ''), {piece(v, last, f'length(line) - {last}')})"
+
+    rows = rows.withColumn("masked", F.expr(let(chunks("line"), spliced)))
+    grown = let("transform(kept, k -> length(k.value) - (k.`end` - k.start))", running)
+    seen = context("v.parts", "v.n", "p.s", "p.e", keep)
+    place = "named_struct('s', k.start + coalesce(get(v.grown, i - 1), 0), 'e', k.start + coalesce(get(v.grown, i - 1), 0) + length(k.value))"
+    one = f"transform(array({place}), p -> named_struct('text', lower(k.value), 'context', concat(prefix, {seen}), 'word', k.word, 'reason', k.reason))[0]"
+    back = f"transform(array(named_struct('parts', {chunks('masked')}, 'n', length(masked), 'grown', {grown})), v -> transform(kept, (k, i) -> {one}))[0]"
+    return rows.withColumn("back", F.expr(back)).drop("kept")
 
 
 def run(rows: DataFrame, guard: Guard, instructions: DataFrame | None = None, restore: bool = False, keep: int = 15, least: int = 1) -> Result:

@@ -296,6 +296,33 @@ def instructed_phrases(spark, sf_dir):
     return find(_lines(spark, sf_dir), Guard(), words).select("file", "line_num", "start", "end", "word_lc", "reason")
 
 
+_RX = "SELECT DISTINCT regexp_replace(lower(string_split(text, ' ')[1]), '[^a-z]', '', 'g') || '\\s+' || regexp_replace(lower(string_split(text, ' ')[2]), '[^a-z]', '', 'g') || '\\w*' AS rx FROM benchmark WHERE len(regexp_replace(lower(string_split(text, ' ')[1]), '[^a-z]', '', 'g')) > 1"
+
+
+@query(f"""WITH {_LINES}, px AS ({_RX}),
+x AS (SELECT file, line_num, line, rx, regexp_extract_all(lower(line), rx, 0) AS h, regexp_split_to_array(lower(line), rx) AS g FROM l JOIN px ON regexp_matches(lower(line), rx)),
+occ AS (SELECT file, line_num, line, rx, h[i] AS hit, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0) AS INTEGER) AS s FROM x, unnest(range(1, len(h) + 1)) AS u(i))
+SELECT file, line_num, s AS "start", CAST(s + length(hit) AS INTEGER) AS "end", hit AS word_lc, 'Pattern ' || rx AS reason FROM occ WHERE {_whole('hit')}""")
+def many_patterns(spark, sf_dir):
+    """A pattern for each benchmark item (its first two words, any space between them, any ending) in all documents."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    word = lambda i: F.regexp_replace(F.lower(F.get(F.split("text", " ", -1), F.lit(i))), "[^a-z]", "")
+    rx = b.select(F.concat(word(0), F.lit(r"\s+"), word(1), F.lit(r"\w*")).alias("rx"), word(0).alias("w")).where("length(w) > 1 and rx is not null").select("rx").distinct()
+    guard = Guard({}, {r.rx: "p{hash}" for r in rx.orderBy("rx").collect()})  # patterns are settings; the table of items has a fixed size
+    return find(_lines(spark, sf_dir), guard).select("file", "line_num", "start", "end", "word_lc", "reason")
+
+
+@query(f"""{_RUN}, f AS (SELECT *, row_number() OVER (PARTITION BY file, line_num, word_lc, lower(context) ORDER BY s, src) AS n FROM t)
+SELECT file, line_num, s AS "start", e AS "end", word_lc, 'r' || file || '-' || line_num || '-' || min(s) OVER (PARTITION BY file, line_num, word_lc, lower(context)) AS replacement FROM f""")
+def instructions_by_line(spark, sf_dir):
+    """Every match decided by the instruction made for its own file, line and context: as many instructions as matches."""
+    found = find(_lines(spark, sf_dir), GUARD, masking.with_instructed(value_frames(spark, GUARD), _instructions(spark)))
+    own = found.groupBy("file", "line_num", "word_lc", F.lower("context").alias("context")).agg(F.min("start").alias("s"))
+    told = own.select(F.lit(None).cast("boolean").alias("Allow"), F.col("word_lc").alias("Text"), F.col("context").alias("Context"), F.col("file").alias("File"), F.col("line_num").alias("Line"),
+                      F.concat(F.lit("r"), "file", F.lit("-"), "line_num", F.lit("-"), "s").alias("Replacement"), F.lit("").alias("Comment"))
+    return decided(found, told).select("file", "line_num", "start", "end", "word_lc", F.col("i_replacement").alias("replacement"))
+
+
 _TOLD = "SELECT CAST(a AS BOOLEAN) AS \"Allow\", t AS \"Text\", c AS \"Context\", f AS \"File\", CAST(NULL AS INTEGER) AS \"Line\", r AS \"Replacement\", n AS \"Comment\" FROM (VALUES " + ", ".join(
     "(" + ", ".join([{"": "NULL", "false": "FALSE"}.get(a, "TRUE"), *map(_text, (t, c, f, r, n))]) + ")" for a, t, c, f, _, r, n in INSTRUCTIONS) + ") v(a, t, c, f, r, n)"
 
