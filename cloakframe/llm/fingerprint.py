@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import let
+from cloakframe.functions.columns import let
 
 PARAGRAPH = r"[^\n]{320,}?[.!?](?=\s)|[^\n]+"
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import chunks, let, piece, running
+from cloakframe.functions.columns import chunks, let, piece, running
 
 # Names of secrets, and first characters of known kinds of keys.
 NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|encryption|signing|auth|client|account|master|shared)[ _-]?key|[a-z0-9][_-]key(?:[_-]?id)?|auth|credential)s?"
