@@ -297,7 +297,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = "string" if dict(docs.dtypes)["doc_id"] == "string" else "long"
+    id_type = pa.string() if kind == "string" else pa.int64()
+    docs = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = max(1, -(-benchmark.count() // block))
     shared = []
@@ -316,7 +318,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
                     found = list(match_documents(items, w, first)) if items.words else []
                     d, m, x, s = zip(*found) if found else ((), (), (), ())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in d], pa.int64()), pa.array([items.ids[i] for i in m], pa.int64()), pa.array(x, pa.int32()), pa.array(s, pa.int32())],
+                        [pa.array([ids[i] for i in d], id_type), pa.array([items.ids[i] for i in m], pa.int64()), pa.array(x, pa.int32()), pa.array(s, pa.int32())],
                         names=["doc_id", "item_id", "distance", "start"],
                     )
                 if len(shared) > 1:
@@ -332,4 +334,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, reca
                     held, size = [], 0
         yield from close()
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, distance int, start int")
+    return docs.mapInArrow(run, f"doc_id {kind}, item_id long, distance int, start int")

@@ -79,3 +79,12 @@ def test_rows_with_shared_null_and_clashing_ids(spark, tmp_path):
     assert got.columns == docs.columns and key(got) == sorted((str(i), t, s) for i, t, s in [*rows[:7], rows[9]])
     assert key(corpus_pipeline.without_secrets(spark, docs, "")) == key(docs) and corpus_pipeline.identified(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.encoded(spark, docs, "").count() == len(rows)
+
+
+def test_nulls_in_different_columns_are_different_rows(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, " ", "en", None, 1), (1, " ", None, "en", 1), (1, " ", None, "en", 1), (2, "a b c d e f g h " * 4000, None, None, None), (3, "a b c d e f g h " * 4000, None, None, None)]
+    kept = corpus_pipeline.deduplicated(spark, spark.createDataFrame(rows, schema), "")
+    assert sorted((r.doc_id, r.lang or "", r.source or "") for r in kept.collect()) == [(1, "", "en"), (1, "en", ""), (2, "", "")]
