@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm.bpe import bpe_round_trip
@@ -23,27 +23,28 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("lang_pred <> 'und' and not ambiguous").select("text", "others.*").select(*docs.columns)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with __row, a hash of all columns: rows that share a doc_id, or have none, stay apart."""
-    return docs.withColumn("__row", F.xxhash64(*docs.columns))
+def digest(docs: DataFrame) -> Column:
+    """128 bits over all columns of a row; a null differs from every value, and from a null in another column."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id (those without one come last).
 
     Different texts under one doc_id, and rows without a doc_id, are documents of their own; of rows that are equal in
-    all columns one stays.
+    all columns one stays. Rows are numbered once, in a written table, so that no two share a number.
     """
-    rows = keyed(docs)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = ngram_jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    kept = rows.select("__row", "doc_id").join(found, "__row").groupBy("component_id").agg(F.min_by("__row", order).alias("__row"))
-    return rows.join(kept.select("__row"), "__row").dropDuplicates(["__row"]).select(*docs.columns)
+    kept = rows.select("__row", "doc_id", digest(docs).alias("all")).join(found, "__row").groupBy("component_id").agg(F.min_by("__row", order).alias("__row"), F.min_by("all", order).alias("all"))
+    kept = kept.groupBy("all").agg(F.min("__row").alias("__row"))  # equal rows without words are no group, but still equal
+    return rows.join(kept.select("__row"), "__row").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, with or without a doc_id."""
-    rows = keyed(docs)
+    rows = docs.withColumn("__row", digest(docs))
     found = contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = written(found.select(F.col("doc_id").alias("__row")).distinct(), "contaminated", few=True)
     return rows.join(found, "__row", "left_anti").select(*docs.columns)
