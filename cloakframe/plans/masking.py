@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from cloakframe.functions.text import blank, chunks, context, filled_hash, let, piece, running, word_hash
 from cloakframe.operators.instructions import REPORT, decided, simple_replacements, skipped_rows
 from cloakframe.operators.matching import KEY, Guard, exploded, found_lines, keyed, template_rank, value_frames
-from cloakframe.runtime import written
+from cloakframe.runtime import discard, written
 
 
 @dataclass
 class Result:
-    """lines: file, line_num, part, line, masked, changed; changed: those that changed. The rest: what a run reports."""
+    """lines: file, line_num, part, line, masked, changed; changed: those that changed. The rest: what a run reports.
+
+    close() deletes the written tables that the frames read, once nothing reads them any more.
+    """
 
     lines: DataFrame
     changed: DataFrame
@@ -23,6 +26,10 @@ class Result:
     generated: DataFrame
     restore: DataFrame
     matches: DataFrame
+    tables: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        discard(*self.tables)
 
 
 def with_instructed(words: DataFrame, instructions: DataFrame) -> DataFrame:
@@ -136,7 +143,7 @@ def run(rows: DataFrame, guard: Guard, instructions: DataFrame | None = None, re
     changed = done.where("masked <> line").select(*KEY, "line", "masked")
     out = rows.join(changed.drop("line"), KEY, "left").select(*KEY, "line", F.coalesce("masked", "line").alias("masked"), F.col("masked").isNotNull().alias("changed"))
     generated = values if restore else values.where("made").select("word", "replacement")
-    return Result(out, changed, report, generated, restored, every)
+    return Result(out, changed, report, generated, restored, every, (seen, done))
 
 
 def sort_report(report: DataFrame) -> DataFrame:

@@ -323,20 +323,20 @@ def instructions_by_line(spark, sf_dir):
     return decided(found, told).select("file", "line_num", "start", "end", "word_lc", F.col("i_replacement").alias("replacement"))
 
 
-_TOLD = "SELECT CAST(a AS BOOLEAN) AS \"Allow\", t AS \"Text\", c AS \"Context\", f AS \"File\", CAST(NULL AS INTEGER) AS \"Line\", r AS \"Replacement\", n AS \"Comment\" FROM (VALUES " + ", ".join(
-    "(" + ", ".join([{"": "NULL", "false": "FALSE"}.get(a, "TRUE"), *map(_text, (t, c, f, r, n))]) + ")" for a, t, c, f, _, r, n in INSTRUCTIONS) + ") v(a, t, c, f, r, n)"
-
-
-@query(_TOLD)
+@query("""SELECT CASE WHEN c_nationkey % 3 = 0 THEN NULL WHEN c_nationkey % 3 = 1 THEN TRUE ELSE FALSE END AS "Allow", c_name AS "Text", 'name: "' || c_name || '", ' || c_mktsegment AS "Context", 'customer.csv' AS "File",
+  CAST(c_custkey AS INTEGER) AS "Line", 'n' || c_custkey AS "Replacement", '' AS "Comment" FROM customer""")
 def instruction_reader(spark, sf_dir):
-    """Instructions from a CSV whose columns come in another order, one of them unknown, one left out."""
+    """Instructions from a CSV of all customers, whose columns come in another order, one of them unknown, one left out."""
     import uuid
 
     from cloakframe.operators.instructions import read_instructions
     from cloakframe.runtime import shared_dir
 
     path = f"{shared_dir(spark)}/cloakframe/told-{uuid.uuid4().hex}"
-    rows = spark.createDataFrame(INSTRUCTIONS, SCHEMA).select("Text", F.lit("zzz").alias("Note"), "Allow", "Replacement", "Comment", "File", "Context")
+    allow = F.when(F.col("c_nationkey") % 3 == 0, "").when(F.col("c_nationkey") % 3 == 1, "Yes").otherwise("no")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.concat(F.lit(" "), "c_name").alias("Text"), F.lit("zzz").alias("Note"), allow.alias("Allow"), F.concat(F.lit("n"), "c_custkey").alias("Replacement"), F.lit("customer.csv").alias("File"),
+        F.col("c_custkey").alias("Line"), F.concat(F.lit('name: "'), "c_name", F.lit('", '), "c_mktsegment").alias("Context"))
     rows.write.csv(path, header=True, escape='"', emptyValue="", nullValue="")
     return read_instructions(spark, [path, path + "-none"]).drop("src")
 
@@ -433,6 +433,17 @@ def folder_run_candidates(spark, sf_dir):
     return _folder(spark, sf_dir).candidates
 
 
+@query("""SELECT 'mail/customer_' || c_nationkey || '.csv' AS file, '''c_custkey'',''c_name'',''c_mktsegment''' || chr(10) || string_agg('''' || c_custkey || ''',''n' || c_custkey || ''',''' || c_mktsegment || '''', chr(10) ORDER BY c_custkey) AS text FROM customer GROUP BY c_nationkey""")
+def csv_quoting_kept(spark, sf_dir):
+    """CSV files that quote every cell, by a quote of their own, keep doing so."""
+    cells = F.concat(F.lit("'"), F.concat_ws("','", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"), F.lit("'"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", cells.alias("r")))).alias("r"))
+    text = F.concat(F.lit("'c_custkey','c_name','c_mktsegment'\n"), F.array_join(F.transform("r", lambda x: x["r"]), "\n"))
+    name, none = F.concat(F.lit("mail/customer_"), "c_nationkey", F.lit(".csv")), F.lit(None).cast("string")
+    files = rows.select(name.alias("path"), none.alias("zip_path"), name.alias("file"), text.alias("text"), none.alias("error"))
+    return mask_files(files, Guard(), csv=Csv([TableConfig("customer_*.csv", {"c_name": "n{c_custkey}"})], quote="'")).changed.select("file", "text")
+
+
 @query(r"""SELECT page_id, p AS path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p FROM pages)
 WHERE regexp_matches(lower(p), '^(?:[^/]+/)*(?:en|fr)/[^/]*$') AND NOT regexp_matches(lower(p), '^www\.[^/]*/.*$')""")
 def path_filter(spark, sf_dir):

@@ -110,7 +110,7 @@ def mask_files(
     if csv.configs:
         cells, candidates = _csv_cells(parsed, body, allowed, result, csv.configs, restore)
         other = cells.where("masked <> cell").select("file").distinct()
-        quoted = told.join(other, "file", "left_semi").select("file", quote_all(F.col("text"), csv.comment).alias("all"))
+        quoted = told.join(other, "file", "left_semi").select("file", quote_all(F.col("text"), csv.comment, csv.quote).alias("all"))
         out = out.unionByName(csv_text(cells.join(other, "file", "left_semi").select("file", "record_no", "col_idx", F.col("masked").alias("cell")), quoted, csv.delimiter, csv.quote))
         if restore:
             candidates = None

@@ -120,12 +120,12 @@ def csv_config(patterns: list[str], path: str = "file"):
     return F.coalesce(*cases) if cases else F.lit(None).cast("int")
 
 
-def quote_all(text, comment: str | None = None):
+def quote_all(text, comment: str | None = None, quote: str = '"'):
     """Does a CSV text quote every cell? Judged by its first line that is no comment; a text without such a line does."""
     lines = F.split(F.regexp_replace(text, r"(\r\n|\n|\r)\z", ""), "\r\n|\n|\r", -1)
     if comment:
         lines = F.filter(lines, lambda x: ~x.startswith(comment))
-    return F.when((text == "") | (F.size(lines) == 0), True).otherwise(F.get(lines, F.lit(0)).startswith('"'))
+    return F.when((text == "") | (F.size(lines) == 0), True).otherwise(F.get(lines, F.lit(0)).startswith(quote))
 
 
 def _records(text: str, delimiter: str, quote: str, comment: str | None) -> Iterator[list[str]]:

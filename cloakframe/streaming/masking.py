@@ -20,5 +20,6 @@ def mask_stream(rows: DataFrame, guard: Guard, target: str, instructions: DataFr
         result = run(batch, guard, instructions)
         for name, frame in (("lines", result.lines), ("report", result.report), ("restore", result.restore)):
             frame.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        result.close()
 
     return rows.writeStream.foreachBatch(mask)
