@@ -464,6 +464,7 @@ def file_scan_charset_zip(spark, sf_dir):
     About a quarter are entries of archives, and another quarter ISO-8859-1 where the text allows it and is not UTF-8
     as well; a null text becomes an empty file.
     """
+    from cloakframe.runtime import discard
     from cloakframe.sources.files import decoded, read_files, write_files
 
     root = _tree(spark)
@@ -478,7 +479,7 @@ def file_scan_charset_zip(spark, sf_dir):
         "text",
         F.when((F.col("part") == 1) & latin, F.lit("iso-8859-1")).alias("charset"),
     )
-    write_files(rows, root).count()
+    discard(write_files(rows, root))
     found = decoded(read_files(spark, root))
     doc_id = F.regexp_extract("file", r"/[0-9]+-(-?[0-9]+)\.txt$", 1)
     return found.select(

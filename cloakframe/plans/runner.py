@@ -6,7 +6,6 @@ files and the reports (folders of CSV part files in report order, which read_ins
 
 from __future__ import annotations
 
-import os
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -19,9 +18,9 @@ from cloakframe.operators.instructions import REPORT, read_instructions, skipped
 from cloakframe.operators.matching import Guard, find, lines, value_frames
 from cloakframe.plans import masking
 from cloakframe.plans.tables import TableConfig, candidate_rows, file_decisions, file_report, template_parts
-from cloakframe.runtime import written
+from cloakframe.runtime import discard, written
 from cloakframe.sources.dictionaries import guard_of, read_settings, word_set
-from cloakframe.sources.files import base_name, csv_cells, csv_config, csv_text, decoded, is_csv, local, quote_all, read_files, write_files
+from cloakframe.sources.files import base_name, csv_cells, csv_config, csv_text, decoded, is_csv, is_empty, quote_all, read_files, write_files
 
 
 @dataclass
@@ -210,8 +209,9 @@ def run_folder(spark: SparkSession, settings: dict | str) -> FolderRun:
     folder, write, told = s["read"]["folder"], s.get("write") or {}, s.get("context") or {}
     paths = lambda kind: [*(((own.get("file") or {}).get(kind) or {}).get("values") or []), *(w for f in ((own.get("file") or {}).get(kind) or {}).get("valueFiles") or [] for w in word_set(f))]
     pruned: dict[str, int] = {}
-    files = decoded(read_files(spark, folder, paths("guard") or ["**/", "**/*"], paths("ignore"), pruned))
-    files = written(files.select("path", "zip_path", "file", "text", F.regexp_replace("error", "^FAILED", "Failed").alias("error")), "files")
+    raw = read_files(spark, folder, paths("guard") or ["**/", "**/*"], paths("ignore"), pruned)
+    files = written(decoded(raw).select("path", "zip_path", "file", "text", F.regexp_replace("error", "^FAILED", "Failed").alias("error")), "files")
+    discard(raw)
     instructed = lambda d: read_instructions(spark, (d.get("instruction") or {}).get("files") or []).drop("src")
     c = s.get("csv") or {}
     listed = [TableConfig(x["filename"], x.get("columns") or {}, x.get("dictionary") or {}) for x in c.get("files") or []] if c.get("enabled") else []
@@ -232,9 +232,9 @@ def run_folder(spark: SparkSession, settings: dict | str) -> FolderRun:
             write_csv(run.candidates, c.get("dictionaryCandidate"))
     write_csv(run.errors.orderBy("File", "Message"), own.get("fileError"))
     if write.get("inplace"):
-        write_files(run.changed, folder, folder).count()
+        discard(write_files(run.changed, folder, folder))
     elif target := write.get("folder"):
-        if os.path.isdir(local(target)) and os.listdir(local(target)):
+        if not is_empty(target):
             warnings.warn(f"{target} was not empty before the run", stacklevel=2)
-        write_files(run.changed, target, folder).count()
+        discard(write_files(run.changed, target, folder))
     return run
