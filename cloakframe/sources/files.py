@@ -222,7 +222,7 @@ def read_files(spark: SparkSession, root: str, guard: list[str] = ("**/", "**/*"
     n = {r.kind: (r["n"], r.bytes) for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}  # four kinds
     if skipped is not None:
         skipped.update(files=n.get("ignored file", (0,))[0], folders=n.get("ignored folder", (0,))[0])
-    tasks = lambda rows, size: max(1, min(rows, cores), rows // 256, size // (64 << 20))
+    tasks = lambda rows, size: max(1, min(rows, cores), rows // 2048, size // (64 << 20))
     rows, size = n.get("file", (0, 0))
     todo = written(pieces(found.repartition(tasks(rows, 0)), root, guard, ignore), "pieces")
     rows, size = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -370,7 +370,7 @@ def write_files(changed: DataFrame, root: str, source: str | None = None) -> Dat
     spark = changed.sparkSession
     ship(spark)
     charset = F.col("charset") if "charset" in changed.columns else F.lit(None).cast("string")
-    run, tables = f".staging-{uuid.uuid4().hex}", []
+    run, tables, made = f".staging-{uuid.uuid4().hex}", [], set()  # made: folders that a task has made
     fs, top = store(root)
     fs.create_dir(f"{top}/{run}", recursive=True)
 
@@ -378,7 +378,9 @@ def write_files(changed: DataFrame, root: str, source: str | None = None) -> Dat
         fs, top = store(root)
         name = uuid.uuid4().hex
         folder = f"{run}/{name[:2]}"
-        fs.create_dir(f"{top}/{folder}", recursive=True)
+        if folder not in made:
+            fs.create_dir(f"{top}/{folder}", recursive=True)
+            made.add(folder)
         with _writing(fs, f"{top}/{folder}/{name}") as f:
             f.write(content)
         return f"{folder}/{name}"
