@@ -433,6 +433,38 @@ def folder_run_candidates(spark, sf_dir):
     return _folder(spark, sf_dir).candidates
 
 
+_COUNTERS = {  # of the run over documents and customers, as scalar expressions
+    "Read Files": "(SELECT count(*) FROM documents WHERE text IS NOT NULL) + n_csv",
+    "Read Bytes": "(SELECT sum(length(line)) FROM l) + (SELECT sum(length(c_custkey || ',' || c_name || ',' || c_mktsegment)) FROM customer) + n_csv * length('c_custkey,c_name,c_mktsegment')",
+    "Read Lines": "(SELECT count(*) FROM l) + (SELECT count(*) FROM customer) + n_csv",
+    "Read Csv Files": "n_csv",
+    "Read Zip Files": "0",
+    "Changed Files": "(SELECT count(DISTINCT file) FROM masked JOIN l USING (file, line_num) WHERE masked <> line) + n_csv",
+    "Changed Zip Files": "0",
+    "Changed Csv Column Template Files": "n_csv",
+    "Failed Files": "0",
+    "File Errors": "1 + n_csv",
+    "Words Matched": "(SELECT count(*) FROM k)",
+    "Words Replaced": "(SELECT count(*) FROM p)",
+    "Words Conflicts": "(SELECT count(*) FROM k WHERE NOT free AND NOT kept)",
+    "Words Replacements Generated": "(SELECT count(*) FROM gen WHERE gt = '' OR gv <> gt)",
+    "Words CSV Dictionary Candidate": "(SELECT count(DISTINCT lower(trim(c_mktsegment))) FROM customer WHERE trim(c_mktsegment) <> '')",
+    "Report Lines - All": "(SELECT count(*) FROM r) + n_csv",
+    "Report Lines - Allow": '(SELECT count(*) FROM r WHERE "Allow")',
+    "Report Lines - Disallow": '(SELECT count(*) FROM r WHERE NOT "Allow")',
+    "Report Lines - To Review": '(SELECT count(*) FROM r WHERE "Allow" IS NULL) + n_csv',
+    "Restore Report Lines - Last": "(SELECT count(*) FROM b)",
+    "Restore Report Lines - Cumulative": "(SELECT count(*) FROM b)",
+}
+
+
+@query(f"""{_RUN}, r AS ({_REPORT}), b AS (SELECT DISTINCT "Text", "Context", "File", "Line", "Replacement" FROM ({_BACK})), n AS (SELECT count(DISTINCT c_nationkey) AS n_csv FROM customer)
+""" + "\nUNION ALL ".join(f"SELECT {_text(k)} AS name, CAST({v} AS BIGINT) AS value FROM n" for k, v in _COUNTERS.items()))
+def folder_run_stats(spark, sf_dir):
+    """All counters of a run over files."""
+    return _folder(spark, sf_dir).stats
+
+
 @query("""SELECT 'mail/customer_' || c_nationkey || '.csv' AS file, '''c_custkey'',''c_name'',''c_mktsegment''' || chr(10) || string_agg('''' || c_custkey || ''',''n' || c_custkey || ''',''' || c_mktsegment || '''', chr(10) ORDER BY c_custkey) AS text FROM customer GROUP BY c_nationkey""")
 def csv_quoting_kept(spark, sf_dir):
     """CSV files that quote every cell, by a quote of their own, keep doing so."""
