@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from cloakframe.functions.text import EOL, GAP, WORD, blank, chunks, context, le
 KEY = ["file", "line_num", "part"]
 MATCH = [*KEY, "start", "end", "word", "word_lc", "reason", "template", "src", "context"]
 SMALL = 5_000  # first tokens of terms that are looked up within the lines; with more of them all tokens meet the terms
-INLINE = 16  # patterns that are expressions of their own; more of them are rows that lines with their literals meet
+INLINE = 16  # patterns that are expressions of their own; more of them are looked up by their literals
 _HIT = "struct<start:int,end:int,key:bigint,word_lc:string,src:int,template:string,rx:string>"
 
 
@@ -117,37 +118,52 @@ def _placed(found: str) -> str:
     return f"if(length(line) = length(lower(line)), {found}, {let(ends, mapped)})"
 
 
-def _pattern_hits(rx: str, src: str, template: str) -> str:
+def _pattern_hits(rx: str, src: str, template: str, low: str = "lower(line)") -> str:
     """Matches of a pattern (SQL text) in the lower-cased line; empty ones don't count."""
     hit = f"cast(named_struct('start', s.start, 'end', s.`end`, 'key', null, 'word_lc', s.word, 'src', {src}, 'template', {template}, 'rx', {rx}) as {_HIT})"
-    return let(_placed(spans("lower(line)", rx)), lambda v: f"transform(filter({v}, s -> length(s.word) > 0), s -> {hit})")
+    return let(_placed(spans(low, rx)), lambda v: f"transform(filter({v}, s -> length(s.word) > 0), s -> {hit})")
 
 
-def _many_pattern_hits(rows: DataFrame, guard: Guard, numbered: list[tuple[int, str, str]]) -> DataFrame:
-    """Hits of many patterns as rows: a line meets those patterns of which it has a stretch of three letters.
+def _listed(texts: list[str]) -> str:
+    """An array of texts as one literal that is cut up once."""
+    used = set("".join(texts))
+    mark = next(c for c in map(chr, range(1, 0xD800)) if c not in used and not c.isprintable() and not c.isspace())
+    return f"split({quoted(mark.join(texts))}, {quoted(mark)}, -1)"
 
-    The stretch comes from a literal that all matches hold. Patterns without such a literal are tried on the lines in which
-    one expression for all of them finds something. The patterns are data, so that the plan doesn't grow with them.
+
+def _many_pattern_hits(numbered: list[tuple[int, str, str]]) -> str:
+    """Matches of many patterns: of those of whose stretch of three letters the line has, without leaving the line's row.
+
+    The stretch comes from a literal that all matches hold; a hash of it says where the numbers of its patterns stand.
+    Patterns without such a literal are tried on the lines in which one expression for all of them finds something. All of
+    them are a few literals, so that the plan doesn't grow with their number.
     """
-    spark = rows.sparkSession
-    literal = {p: required_literal(p) for _, p, _ in numbered}
-    grams = gram_of([x for x in literal.values() if x])
-    indexed = [(i, p, t, literal[p], grams[literal[p]]) for i, p, t in numbered if literal[p]]
-    others = [(i, p, t) for i, p, t in numbered if not literal[p]]
-    wide = rows.select(*KEY, "line")
-    out = []
-    if indexed:
-        table = spark.createDataFrame(indexed, "src int, rx string, template string, literal string, gram string")
-        known = f"g in ({', '.join(sorted({quoted(x[4]) for x in indexed}))})"
-        seen = wide.withColumn("gram", F.expr(f"explode(filter(array_distinct(regexp_extract_all(lower(line), '(?s)(?=(...))', 1)), g -> {known}))"))
-        out.append(seen.join(table, "gram").where("contains(lower(line), literal)").select(*KEY, "line", "src", "rx", "template"))
-    if others:
-        plain = all("\\" + d not in p for _, p, _ in others for d in "123456789k")  # numbers of groups would change
-        some = wide.where(f"lower(line) rlike {quoted('|'.join(f'(?:{p})' for _, p, _ in others))}") if plain else wide
-        every = "array(" + ", ".join(f"named_struct('src', {i}, 'rx', {quoted(p)}, 'template', {quoted(t)})" for i, p, t in others) + ")"
-        out.append(some.select(*KEY, "line", F.expr(f"explode(filter({every}, p -> lower(line) rlike p.rx))").alias("p")).select(*KEY, "line", "p.*"))
-    found = out[0] if len(out) == 1 else out[0].unionByName(out[1])
-    return found.select(*KEY, F.expr(f"explode({_pattern_hits('rx', 'src', 'template')})").alias("t")).select(*KEY, "t.*")
+    literals = [required_literal(p) for _, p, _ in numbered]
+    grams = gram_of([x for x in literals if x])
+    rx, template, src = _listed([p for _, p, _ in numbered]), _listed([t for _, _, t in numbered]), f"i + {numbered[0][0]}"
+    others = [(i, p) for i, (_, p, _) in enumerate(numbered) if not literals[i]]
+    none = "cast(array() as array<int>)"
+
+    def tried(low: str) -> str:
+        found = []
+        if grams:
+            size = 1 << len(grams).bit_length()
+            at: list[list[str]] = [[] for _ in range(size)]
+            for i, x in enumerate(literals):
+                if x:
+                    at[zlib.crc32(grams[x].encode()) % size].append(str(i))
+            stretches = f"array_distinct(regexp_extract_all({low}, '(?s)(?=(...))', 1))"
+            numbers = f"array_join(filter(transform({stretches}, g -> get({_listed([','.join(x) for x in at])}, cast(crc32(cast(g as binary)) % {size} as int))), x -> x <> ''), ',')"
+            held = f"i -> contains({low}, get({_listed([x or '' for x in literals])}, i))"
+            found.append(let(numbers, lambda v: f"if({v} = '', {none}, filter(transform(array_distinct(split({v}, ',')), x -> cast(x as int)), {held}))"))
+        if others:
+            plain = all("\\" + d not in p for _, p in others for d in "123456789k")  # numbers of groups would change
+            each = f"filter(array({', '.join(str(i) for i, _ in others)}), i -> {low} rlike get({rx}, i))"
+            found.append(f"if({low} rlike {quoted('|'.join(f'(?:{p})' for _, p in others))}, {each}, {none})" if plain else each)
+        hits = _pattern_hits(f"get({rx}, i)", src, f"get({template}, i)", low)
+        return f"flatten(transform(concat({', '.join(found)}), i -> {hits}))"
+
+    return let("lower(line)", tried)
 
 
 def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, keep: int = 15) -> DataFrame:
@@ -172,9 +188,11 @@ def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, k
     inline = numbered if len(numbered) <= INLINE else []
 
     parts = [_token_hits(sorted(ks), firsts)] * bool(ks) + [_bare_hits(sorted(bare))] * bool(bare) + [_pattern_hits(quoted(p), str(i), quoted(t)) for i, p, t in inline]
+    if inline != numbered:
+        parts.append(_many_pattern_hits(numbered))
     hits_of = f"concat({', '.join(parts)})" if parts else f"cast(array() as array<{_HIT}>)"
     some = rows
-    if small and not bare:  # a cheap look at each line first
+    if small and not bare and inline == numbered:  # a cheap look at each line first
         looks = [f"lower(line) rlike {quoted(p)}" for _, p, _ in inline]
         if firsts:
             looks.append(f"arrays_overlap(split(lower(line), {quoted(GAP + '+')}, -1), array({', '.join(map(quoted, firsts))})) or length(line) <> length(lower(line))")
@@ -185,7 +203,7 @@ def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, k
         own = F.col("key").isNotNull()
         hits = hits.withColumns({
             "start": F.when(own, F.col("start") - F.col("lead")).otherwise(F.col("start")), "end": F.when(own, F.col("end") + F.col("tail")).otherwise(F.col("end")),
-            "src": F.when(own, F.col("phrase").cast("int")).otherwise(F.col("src")), "word_lc": F.coalesce("term", "word_lc"), "template": F.coalesce("term_template", "template"),
+            "src": F.when(own, F.col("phrase").cast("int")).otherwise(F.col("src")), "word_lc": F.coalesce(F.when(own, F.col("term")), "word_lc"), "template": F.coalesce(F.when(own, F.col("term_template")), "template"),
         })
         good = "start >= 0 and src is not null"
         if guard.ignore_values:
@@ -197,17 +215,19 @@ def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, k
     table = every.select("key", "term", F.col("template").alias("term_template"), "phrase", "lead", "tail", "overlaps")
     lookups = {"term": "string", "term_template": "string", "phrase": "boolean", "lead": "int", "tail": "int", "overlaps": "boolean"}
     bare_row = lambda df: df.withColumns({c: F.lit(None).cast(t) for c, t in lookups.items()})
-    if small and inline == numbered:  # the first hit brings the line along
+    if small:  # the first hit brings the line along
         hit = some.select(*KEY, "prefix", "line", F.expr(f"posexplode({hits_of}) as (i, t)")).select(*KEY, F.expr("if(i = 0, prefix, null)").alias("prefix"), F.expr("if(i = 0, line, null)").alias("line"), "t.*")
-        hit = hit.join(table, "key", "left") if ks or bare else bare_row(hit)
+        if ks or bare:  # matches of patterns have no key: dealt by what they are, they don't meet in one task
+            probe = F.coalesce("key", F.xxhash64(*KEY, "start"))
+            hit = hit.withColumn("probe", probe).join(table.withColumnRenamed("key", "probe"), "probe", "left")
+        else:
+            hit = bare_row(hit)
         per = merged_rows(hit, F.first("prefix", True).alias("prefix"), F.first("line", True).alias("line")).where(F.size("ms") > 0)
     else:  # no line travels with its hits
         hit = some.select(*KEY, F.expr(f"explode({hits_of})").alias("t")).select(*KEY, "t.*")
         found = [hit.where("key is not null").join(table, "key")] if ks or bare else []
-        if inline:
+        if numbered:
             found.append(bare_row(hit.where("key is null")))
-        elif numbered:
-            found.append(bare_row(_many_pattern_hits(rows, guard, numbered)))
         one = found[0]
         for f in found[1:]:
             one = one.unionByName(f)

@@ -99,6 +99,24 @@ def test_many_patterns_are_data(spark):
     assert got == sorted((*k, y) for k, v in first.items() for y in v) and len(got) > 200
 
 
+def shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_lines_do_not_travel_for_patterns_that_they_may_hold(spark):
+    r = random.Random(5)
+    names = sorted({"".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)})
+    patterns = {rf"{w}\s+x\w*": "p" for w in names} | {r"qq\s+x": "p"}
+    lines = [" ".join(r.choice(names) + r.choice("0123456789") for _ in range(600)) for _ in range(200)]
+    lines[7] += f" {names[3]}  xyz, {names[3]} x qq x"
+    df = find(rows(spark, *lines), Guard({"acme": ""}, patterns))
+    before = shuffled(spark)
+    got = sorted((x.line_num, x.word_lc) for x in df.collect())
+    time.sleep(1)  # the counters follow the tasks
+    assert got == [(8, f"{names[3]}  xyz"), (8, f"{names[3]} x"), (8, "qq x")]
+    assert shuffled(spark) - before < sum(map(len, lines)) / 4
+
+
 @pytest.mark.parametrize("pattern, literal", [
     (r"acme\d+", "acme"), (r"\w[\w.-]+@\w+(\.\w+)+", None), (r"ab|cdef", None), (r"abc?def", "def"), (r"abc+def", "abc"), (r"x(abcd)yzw", "yzw"), (r"a\.b\.c", "a.b.c"), (r"[abc]{3}hello{2}", "hell"),
     (r"(?i)abcd", None), (r"\Qabcd\E", None), (r"abcdAxyz", "abcdAxyz"), (r"^start.end$", "start"), (r"abcd{0,2}ef", "abc"), (r"", None), (r"[^]a]bcd[[x]y]efgh", "efgh"),
