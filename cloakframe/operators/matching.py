@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass, field
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.literals import gram_of, required_literal
 from cloakframe.functions.text import EOL, GAP, WORD, blank, chunks, context, let, piece, quoted, running, spans, whole_word
+from cloakframe.runtime import written
 
 KEY = ["file", "line_num", "part"]
 MATCH = [*KEY, "start", "end", "word", "word_lc", "reason", "template", "src", "context"]
 SMALL = 5_000  # first tokens of terms that are looked up within the lines; with more of them all tokens meet the terms
+MOST_BITS = 1 << 26  # bits that tell which keys are known
 INLINE = 16  # patterns that are expressions of their own; more of them are looked up by their literals
 _HIT = "struct<start:int,end:int,key:bigint,word_lc:string,src:int,template:string,rx:string>"
 
@@ -166,13 +169,31 @@ def _many_pattern_hits(numbered: list[tuple[int, str, str]]) -> str:
     return let("lower(line)", tried)
 
 
+def _perhaps(rows: DataFrame, key: str, known: DataFrame, n: int) -> DataFrame:
+    """rows less most of those whose key (a hash) is none of the n known ones (column key), without moving any of them.
+
+    One bit stands for each known key, in n longs or twice as many (up to MOST_BITS in all; beyond that more rows
+    stay). Some hundredth of the other rows stay by chance; a join with what is known is still to come.
+    """
+    spark, size = rows.sparkSession, min(max((n - 1).bit_length(), 4), MOST_BITS.bit_length() - 7)
+    slot, bit = f"shiftrightunsigned({{}}, {64 - size})", "cast({} & 63 as int)"
+    words = known.groupBy(F.expr(slot.format("key")).alias("id")).agg(F.expr(f"bit_or(shiftleft(1L, {bit.format('key')}))").alias("w"))
+    bits = spark.range(1 << size).join(words, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))).alias("w")).select(F.col("w.w").alias("bits"))
+    view = f"known_{uuid.uuid4().hex}"
+    bits.createOrReplaceTempView(view)
+    try:
+        return rows.where(f"getbit(get((select bits from {view}), cast({slot.format(key)} as int)), {bit.format(key)}) = 1")
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, keep: int = 15) -> DataFrame:
     """Lines (file, line_num, part, prefix, line) that may have a match, and ms: their matches less the ignored, by place.
 
     words replaces the guard's values. A line gives a key for each run of as many tokens as some term has; keys meet
     the terms in a join, so that the work follows the tokens of the lines and the true matches, however many terms begin
     alike. With few first tokens of terms, lines without any of them and runs that begin otherwise are dropped within the
-    scan; else all runs come out as rows. Of a term's occurrences that overlap each other those count that a search from
+    scan; else a bit of its key tells that a run is none of them. Of a term's occurrences that overlap each other those count that a search from
     left to right finds, each beginning where the last one ended. file, line_num and part tell lines apart.
     """
     rows, spark = keyed(rows), rows.sparkSession
@@ -182,15 +203,18 @@ def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, k
     if small:
         ks, bare = ({r[c] for r in shapes} - {0, None} for c in ("k", "bare"))
     else:
-        ks, bare = (set(x or []) - {0} for x in every.agg(F.collect_set("k"), F.collect_set("bare")).first())
+        every = written(every, "terms")
+        ks, bare, n = every.agg(F.collect_set("k"), F.collect_set("bare"), F.count("key")).first()
+        ks, bare = set(ks or []) - {0}, set(bare or []) - {0}
     firsts = sorted({r.first for r in shapes if r.first is not None}) if small else None
     numbered = [(i + 2, p, (t or "").strip()) for i, (p, t) in enumerate(guard.patterns.items())]
     inline = numbered if len(numbered) <= INLINE else []
 
-    parts = [_token_hits(sorted(ks), firsts)] * bool(ks) + [_bare_hits(sorted(bare))] * bool(bare) + [_pattern_hits(quoted(p), str(i), quoted(t)) for i, p, t in inline]
+    keyed_parts = [_token_hits(sorted(ks), firsts)] * bool(ks) + [_bare_hits(sorted(bare))] * bool(bare)
+    parts = [_pattern_hits(quoted(p), str(i), quoted(t)) for i, p, t in inline]
     if inline != numbered:
         parts.append(_many_pattern_hits(numbered))
-    hits_of = f"concat({', '.join(parts)})" if parts else f"cast(array() as array<{_HIT}>)"
+    hits = lambda xs: f"concat({', '.join(xs)})" if xs else f"cast(array() as array<{_HIT}>)"
     some = rows
     if small and not bare and inline == numbered:  # a cheap look at each line first
         looks = [f"lower(line) rlike {quoted(p)}" for _, p, _ in inline]
@@ -215,23 +239,22 @@ def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, k
     table = every.select("key", "term", F.col("template").alias("term_template"), "phrase", "lead", "tail", "overlaps")
     lookups = {"term": "string", "term_template": "string", "phrase": "boolean", "lead": "int", "tail": "int", "overlaps": "boolean"}
     bare_row = lambda df: df.withColumns({c: F.lit(None).cast(t) for c, t in lookups.items()})
-    if small:  # the first hit brings the line along
-        hit = some.select(*KEY, "prefix", "line", F.expr(f"posexplode({hits_of}) as (i, t)")).select(*KEY, F.expr("if(i = 0, prefix, null)").alias("prefix"), F.expr("if(i = 0, line, null)").alias("line"), "t.*")
-        if ks or bare:  # matches of patterns have no key: dealt by what they are, they don't meet in one task
+    if small or not keyed_parts:  # the first hit brings the line along
+        hit = some.select(*KEY, "prefix", "line", F.expr(f"posexplode({hits(keyed_parts + parts)}) as (i, t)")).select(*KEY, F.expr("if(i = 0, prefix, null)").alias("prefix"), F.expr("if(i = 0, line, null)").alias("line"), "t.*")
+        if keyed_parts:  # matches of patterns have no key: dealt by what they are, they don't meet in one task
             probe = F.coalesce("key", F.xxhash64(*KEY, "start"))
             hit = hit.withColumn("probe", probe).join(table.withColumnRenamed("key", "probe"), "probe", "left")
         else:
             hit = bare_row(hit)
         per = merged_rows(hit, F.first("prefix", True).alias("prefix"), F.first("line", True).alias("line")).where(F.size("ms") > 0)
-    else:  # no line travels with its hits
-        hit = some.select(*KEY, F.expr(f"explode({hits_of})").alias("t")).select(*KEY, "t.*")
-        found = [hit.where("key is not null").join(table, "key")] if ks or bare else []
-        if numbered:
-            found.append(bare_row(hit.where("key is null")))
-        one = found[0]
-        for f in found[1:]:
-            one = one.unionByName(f)
-        per = merged_rows(one).where(F.size("ms") > 0).join(rows, KEY)
+    else:  # only hits that may be a term's go on, and only lines that have some
+        each = lambda xs: some.select(*KEY, F.expr(f"explode({hits(xs)})").alias("t")).select(*KEY, "t.*")
+        hit = _perhaps(each(keyed_parts), "key", every, n).join(table, "key")
+        if parts:
+            hit = hit.unionByName(bare_row(each(parts)))
+        per = written(merged_rows(hit).where(F.size("ms") > 0), "hits")
+        known = per.select(F.xxhash64(*KEY).alias("key"))
+        per = per.join(_perhaps(rows.withColumn("id", F.xxhash64(*KEY)), "id", known, known.count()).drop("id"), KEY)
 
     # phrases are compared letter by letter, and what is no word has no letter or digit beside it
     cut = f"named_struct('parts', {chunks('line')}, 'n', length(line))"

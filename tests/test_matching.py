@@ -117,6 +117,19 @@ def test_lines_do_not_travel_for_patterns_that_they_may_hold(spark):
     assert shuffled(spark) - before < sum(map(len, lines)) / 4
 
 
+def test_tokens_and_lines_without_terms_do_not_travel(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SMALL", 0)
+    r = random.Random(6)
+    lines = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(600)) for _ in range(200)]
+    lines[7] += " zebra cross, Zebra 12 x@y.io"
+    df = find(rows(spark, *lines), Guard(dict.fromkeys(["zebra", "zebra cross", "12", "none such"], ""), {r"\w+@\w+\.io": ""}))
+    before = shuffled(spark)
+    got = sorted((x.line_num, x.word_lc) for x in df.collect())
+    time.sleep(1)
+    assert got == [(8, "12"), (8, "x@y.io"), (8, "zebra"), (8, "zebra"), (8, "zebra cross")]
+    assert shuffled(spark) - before < sum(map(len, lines)) / 4
+
+
 @pytest.mark.parametrize("pattern, literal", [
     (r"acme\d+", "acme"), (r"\w[\w.-]+@\w+(\.\w+)+", None), (r"ab|cdef", None), (r"abc?def", "def"), (r"abc+def", "abc"), (r"x(abcd)yzw", "yzw"), (r"a\.b\.c", "a.b.c"), (r"[abc]{3}hello{2}", "hell"),
     (r"(?i)abcd", None), (r"\Qabcd\E", None), (r"abcdAxyz", "abcdAxyz"), (r"^start.end$", "start"), (r"abcd{0,2}ef", "abc"), (r"", None), (r"[^]a]bcd[[x]y]efgh", "efgh"),
