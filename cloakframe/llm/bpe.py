@@ -3,7 +3,7 @@
 A pre-token is first cut greedily into the longest vocabulary entries. Such a cut is the BPE result exactly if
 every piece encodes to itself and every two adjacent pieces are compatible: undoing their merges, newest first,
 never uncovers a merge across their border that BPE would have made earlier. The check runs over all distinct
-adjacent pairs of a batch at once; only pre-tokens with a failing pair are merged exactly.
+adjacent pairs of a batch at once; only pre-tokens with a failing pair are merged exactly, all of a batch together.
 """
 
 from __future__ import annotations
@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 
 from cloakframe.runtime import frugal, ship
 
-# Fixed value: the public byte-level pre-token pattern, with white space spelt out as Unicode's White_Space.
+# Fixed value: the public byte-level pre-token pattern, with white space spelt out as Unicode's White_Space;
+# words come first, which no other alternative can begin like.
 WHITE = r"\t-\r \x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+PATTERN = rf" ?\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+
+NEVER = 1 << 41  # no merge
+SHORT = 64  # bytes of a word that is merged together with others
 
 COLUMNS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -83,10 +87,12 @@ class Bpe:
         key = (self.left << 32 | self.right)[256:]
         by = np.argsort(key)
         self.key, self.made = key[by], by + 256
+        pair = np.arange(1 << 16)
+        self.byte_pairs = self.merged(pair >> 8, pair & 255).reshape(256, 256)
         self.merge = {(a, b): i for i, (a, b) in enumerate(zip(left, right)) if i >= 256}
-        self.longest: dict[bytes, int] = {}
-        for t in self.bytes:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 1), len(t))
+        self.sizes_of: dict[bytes, list[int]] = {}  # sizes of the entries that begin with four bytes, longest first
+        for n, head in sorted({(len(t), t[:4]) for t in self.bytes if len(t) > 3}, reverse=True):
+            self.sizes_of.setdefault(head, []).append(n)
         self.text_of = {int(i): b for i, b in zip(out, self.bytes)}
         self.special: dict[str, bytes] = {}
         for t in spec["added_tokens"]:
@@ -95,7 +101,7 @@ class Bpe:
             self.special[t["content"]] = int(t["id"]).to_bytes(4, "little")
             self.text_of[t["id"]] = t["content"].encode()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.table = [self.text_of.get(i, b"") for i in range(max(self.text_of) + 1)]
+        self.table = np.array([self.text_of.get(i, b"") for i in range(max(self.text_of) + 1)], object)
         self.words = regex.compile(PATTERN)
         # a token stands for itself if its halves do and nothing across them is made before it
         self.own = np.zeros(len(out), bool)
@@ -105,6 +111,7 @@ class Bpe:
         for i in ids:
             self.own[i] = fine[i - 256] and self.own[left[i]] and self.own[right[i]]
         self.limit, self.cache = cache, {}
+        self.earlier: dict[str, bytes] = {}  # what was the cache before it grew beyond the limit
         self.sizes: dict[str, int] = {}  # numbers of tokens, for callers that need no ids
         self.speculated = self.failed = 0
 
@@ -115,9 +122,7 @@ class Bpe:
         x, y = x.astype(np.int64), y.astype(np.int64)
         limit = np.full(len(x), 1 << 40) if limit is None else limit.astype(np.int64)
         while len(at):
-            key = x << 32 | y
-            place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            made = np.where(self.key[place] == key, self.made[place], 1 << 41)
+            made = self.merged(x, y)
             ok[at[made < limit]] = False
             go = (made >= limit) & ((x >= 256) | (y >= 256))
             at, x, y, limit = at[go], x[go], y[go], limit[go]
@@ -130,13 +135,17 @@ class Bpe:
         number = self.number
         if (t := number.get(word)) is not None:
             return [t]
-        out, i, n = [], 0, len(word)
+        out, i, n, get = [], 0, len(word), number.get
         while i < n:
-            end = min(n, i + self.longest.get(word[i : i + 2], 1))
-            while (t := number.get(word[i:end])) is None:
-                end -= 1
+            for k in self.sizes_of.get(word[i : i + 4], ()):
+                if i + k <= n and (t := get(word[i : i + k])) is not None:
+                    break
+            else:
+                k = min(3, n - i)
+                while (t := get(word[i : i + k])) is None:
+                    k -= 1
             out.append(t)
-            i = end
+            i += k
         return out
 
     def exact(self, word: bytes) -> list[int]:
@@ -162,6 +171,59 @@ class Bpe:
                 heapq.heappush(heap, (k, prv[i], tok[prv[i]], m))
         return [t for t in tok if t >= 0]
 
+    def merged(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The token that each pair makes, or NEVER."""
+        key = x << 32 | y
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[place] == key, self.made[place], NEVER)
+
+    def exact_many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many words, merged exactly: each round does the earliest merge of every word, wherever it stands in it.
+
+        A merge makes no pair that comes before it in merge order, so all its places in a word go at once, from left to
+        right. Long words would take many rounds and are merged one by one.
+        """
+        out = [b""] * len(words)
+        for i, w in enumerate(words):
+            if not 0 < len(w) <= SHORT:
+                out[i] = self.out[self.exact(w)].tobytes()
+        at = np.array([i for i, w in enumerate(words) if 0 < len(w) <= SHORT], np.int64)
+        if not len(at):
+            return out
+        size = np.array([len(words[i]) for i in at])
+        tok = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).astype(np.int64)
+        made = self.byte_pairs[tok, np.append(tok[1:], 0)]
+        made[np.cumsum(size) - 1] = NEVER
+        while len(at):
+            start = np.cumsum(size) - size
+            least = np.minimum.reduceat(made, start)
+            done = least == NEVER
+            if done.any():
+                ids, ended = self.out[tok[np.repeat(done, size)]].tobytes(), 0
+                for i, n in zip(at[done].tolist(), (4 * size[done]).tolist()):
+                    out[i] = ids[ended : ended + n]
+                    ended += n
+                live = np.repeat(~done, size)
+                tok, made, at, size, least = tok[live], made[live], at[~done], size[~done], least[~done]
+            hit = np.flatnonzero(made == np.repeat(least, size))
+            first = np.ones(len(hit), bool)
+            first[1:] = hit[1:] != hit[:-1] + 1
+            if not first.all():  # of equal tokens in a row every second pair goes
+                run = np.flatnonzero(first)
+                hit = hit[(np.arange(len(hit)) - run[np.cumsum(first) - 1]) % 2 == 0]
+            tok[hit] = made[hit]
+            stays = np.ones(len(tok), bool)
+            stays[hit + 1] = False
+            owner = np.repeat(np.arange(len(size)), size)
+            size = size - np.bincount(owner[hit], minlength=len(size))
+            tok, made, owner = tok[stays], made[stays], owner[stays]
+            hit = hit - np.arange(len(hit))
+            near = np.unique(np.concatenate([hit, hit[hit > 0] - 1]))
+            near = near[near < len(tok) - 1]
+            made[hit[hit == len(tok) - 1]] = NEVER
+            made[near] = np.where(owner[near] == owner[near + 1], self.merged(tok[near], tok[near + 1]), NEVER)
+        return out
+
     def learn(self, words: Iterable[str]) -> None:
         """Put the encoded words (distinct, not yet known) into the cache."""
         words = list(words)
@@ -180,12 +242,9 @@ class Bpe:
             key, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
             bad[owner[inner[~self.compatible(key >> 32, key & 0xFFFFFFFF)[back]]]] = True
         ids = self.out[flat].tobytes()
-        start = end - size
-        for i, w in enumerate(words):
-            if bad[i]:
-                self.cache[w] = self.out[self.exact(raw[i])].tobytes()
-            else:
-                self.cache[w] = ids[4 * start[i] : 4 * end[i]]
+        self.cache.update((w, ids[a:b]) for w, a, b in zip(words, (4 * (end - size)).tolist(), (4 * end).tolist()))
+        failed = np.flatnonzero(bad).tolist()
+        self.cache.update(zip([words[i] for i in failed], self.exact_many([raw[i] for i in failed])))
         self.speculated += len(words)
         self.failed += int(bad.sum())
 
@@ -200,22 +259,27 @@ class Bpe:
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for some in by_size(texts):
+        for some in by_size(texts, 256, 1 << 20):
             cut = [[(p, None) if sp else (None, self.words.findall(p)) for p, sp in self.parts(t)] for t in some]
             if len(self.cache) > self.limit:
-                self.cache.clear()
-            known = self.cache
-            self.learn(set().union(*(ws for c in cut for _, ws in c if ws)).difference(known))
+                self.earlier, self.cache = self.cache, {}
+            known, earlier = self.cache, self.earlier
+            new = set().union(*(ws for c in cut for _, ws in c if ws)).difference(known)
+            if earlier:  # pre-tokens that are met again stay
+                again = new.intersection(earlier)
+                known.update((w, earlier[w]) for w in again)
+                new -= again
+            self.learn(new)
             for c in cut:
                 yield b"".join([b"".join(map(known.__getitem__, ws)) if ws is not None else self.special[p] for p, ws in c])
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return b"".join(self.table[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str, cache: int = 600_000) -> Bpe:
-    """The tokenizer of a file, built once in each Python worker; cache bounds the pre-tokens it keeps."""
+    """The tokenizer of a file, built once in each Python worker; it keeps some cache to 2 * cache pre-tokens."""
     return Bpe(path, cache)
 
 
@@ -231,10 +295,10 @@ def bpe_round_trip(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_to
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path, 200_000)
+        bpe = tokenizer(path, 400_000)
         for whole in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             at = 0
-            for texts in by_size([t or "" for t in whole.column(1).to_pylist()], 128, 1 << 20):
+            for texts in by_size([t or "" for t in whole.column(1).to_pylist()], 256, 1 << 20):
                 b = whole.slice(at, len(texts))
                 at += len(texts)
                 got: dict[str, list] = {c: [] for c in columns}

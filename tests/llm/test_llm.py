@@ -107,6 +107,20 @@ def test_bpe_equals_library():
         assert tree.text == text[:a] + new + text[b:] and tree.tokens == len(lib.encode(tree.text, add_special_tokens=False).ids)
 
 
+def test_many_words_are_merged_together():
+    from cloakframe.llm.bpe import SHORT, Bpe
+
+    bpe, r = Bpe(vocabulary("byte_bpe_50k.json"), cache=300), random.Random(4)
+    words = ["".join(r.choice("aab e h tñ漢-=") for _ in range(r.randint(1, 30))).encode() for _ in range(2_000)] + [c * n for c in (b"a", b" ", b"=", b"ha") for n in range(1, SHORT + 9)] + [b""]
+    assert bpe.exact_many(words) == [bpe.out[bpe.exact(w)].tobytes() for w in words]
+    assert bpe.exact_many([]) == []
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    texts = ["".join(f" ha{letters(i)}onti" for i in range(200)) + "".join(f" x{letters(1000 * n + i)}y" for i in range(400)) for n in range(20)]
+    got = [ids for t in texts for ids in bpe.encode_many([t])]
+    assert got == list(Bpe(vocabulary("byte_bpe_50k.json")).encode_many(texts))
+    assert bpe.speculated <= 200 + 20 * 400  # pre-tokens that are met again are not encoded again
+
+
 def test_fingerprints_equal_brute_force(spark, docs):
     from cloakframe.llm.fingerprint import edited_versions, likeness
 
