@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 LEAST = 3
@@ -36,13 +37,13 @@ def _group_end(p: str, i: int) -> int:
     return i
 
 
-def required_literal(pattern: str) -> str | None:
-    """The longest text of at least LEAST characters that stands in every match, as far as a look at the top level tells.
+def required_literal(pattern: str, least: int = LEAST) -> str | None:
+    """The longest text of at least least characters that stands in every match, as far as a look at the top level tells.
 
     Groups, classes and escapes for classes of characters end a literal, and so does a repeated character. An expression
     with an alternative at the top level, inline flags or \\Q has none.
     """
-    if "(?i" in pattern or "(?x" in pattern or "(?u" in pattern or "(?-" in pattern or "\\Q" in pattern:
+    if re.search(r"\(\?[a-zA-Z]*[iux-]", pattern) or "\\Q" in pattern:
         return None
     found, run, i = [], "", 0
     while i < len(pattern):
@@ -53,7 +54,7 @@ def required_literal(pattern: str) -> str | None:
             one, i = pattern[i + 1 : i + 2], i + 2
             if one.isalnum():
                 if one in "xucpPk0":  # longer escapes
-                    return max(found + [run], key=len) if len(max(found + [run], key=len)) >= LEAST else None
+                    return max(found + [run], key=len) if len(max(found + [run], key=len)) >= least else None
                 one = None
         elif c == "(":
             i = _group_end(pattern, i)
@@ -76,7 +77,7 @@ def required_literal(pattern: str) -> str | None:
         else:
             run += one
     best = max([*found, run], key=len)
-    return best if len(best) >= LEAST else None
+    return best if len(best) >= least else None
 
 
 def gram_of(literals: list[str]) -> dict[str, str]:

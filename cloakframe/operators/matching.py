@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions.literals import gram_of, required_literal
-from cloakframe.functions.text import EOL, GAP, WORD, blank, chunks, context, let, piece, quoted, running, spans, whole_word
+from cloakframe.functions.text import GAP, WORD, blank, chunks, context, let, piece, quoted, running, spans, whole_word
 from cloakframe.runtime import written
 
 KEY = ["file", "line_num", "part"]
@@ -48,7 +48,8 @@ def merged(pairs) -> dict[str, str]:
 
 def lines(rows: DataFrame, file: str, text: str) -> DataFrame:
     """file, line_num (from 1) and line; an empty text has no lines, a final line end gives a last empty one."""
-    rows = rows.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(file).cast("string").alias("file"), F.posexplode(F.split(F.col(text), EOL, -1)).alias("n", "line"))
+    ended = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))  # a plain character is split at without an expression
+    rows = rows.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(file).cast("string").alias("file"), F.posexplode(F.split(ended, "\n", -1)).alias("n", "line"))
     return rows.select("file", (F.col("n") + 1).cast("int").alias("line_num"), "line")
 
 
@@ -127,6 +128,26 @@ def _pattern_hits(rx: str, src: str, template: str, low: str = "lower(line)") ->
     return let(_placed(spans(low, rx)), lambda v: f"transform(filter({v}, s -> length(s.word) > 0), s -> {hit})")
 
 
+def _look(patterns: list[str], firsts: list[str]) -> str:
+    """The line may have a match of patterns or a token of firsts (or has letters that become more in lower case).
+
+    An expression is tried where a literal stands that all its matches hold, and few tokens are sought as plain text
+    before a line is cut up.
+    """
+    looks = []
+    for p in patterns:
+        literal = required_literal(p, 1)
+        looks.append(f"({f'contains(low, {quoted(literal)}) and ' if literal else ''}low rlike {quoted(p)})")
+    if firsts:
+        each = ", ".join(map(quoted, firsts))
+        if len(firsts) <= INLINE:
+            looks.append(f"(({' or '.join(f'contains(low, {quoted(f)})' for f in firsts)}) and arrays_overlap(split(low, {quoted(GAP + '+')}, -1), array({each})))")
+        else:
+            looks.append(f"exists(split(line, {quoted(GAP + '+')}, -1), w -> lower(w) in ({each}))")
+        looks.append("length(line) <> length(low)")
+    return f"exists(array(lower(line)), low -> {' or '.join(looks)})" if looks else "false"
+
+
 def _listed(texts: list[str]) -> str:
     """An array of texts as one literal that is cut up once."""
     used = set("".join(texts))
@@ -169,20 +190,24 @@ def _many_pattern_hits(numbered: list[tuple[int, str, str]]) -> str:
     return let("lower(line)", tried)
 
 
-def _perhaps(rows: DataFrame, key: str, known: DataFrame, n: int) -> DataFrame:
+def _perhaps(rows: DataFrame, key: str, known: DataFrame, n: int, probes: int = 1, also: str = "false") -> DataFrame:
     """rows less most of those whose key (a hash) is none of the n known ones (column key), without moving any of them.
 
-    One bit stands for each known key, in n longs or twice as many (up to MOST_BITS in all; beyond that more rows
-    stay). Some hundredth of the other rows stay by chance; a join with what is known is still to come.
+    As many bits as probes stand for each known key, in as many longs or twice as many (up to MOST_BITS in all; beyond
+    that more rows stay). Some hundredth of the other rows stay by chance, a hundredth of these with each further probe;
+    a join with what is known is still to come. Rows that fit also stay, too.
     """
-    spark, size = rows.sparkSession, min(max((n - 1).bit_length(), 4), MOST_BITS.bit_length() - 7)
+    spark, size = rows.sparkSession, min(max((n * probes - 1).bit_length(), 4), MOST_BITS.bit_length() - 7)
     slot, bit = f"shiftrightunsigned({{}}, {64 - size})", "cast({} & 63 as int)"
-    words = known.groupBy(F.expr(slot.format("key")).alias("id")).agg(F.expr(f"bit_or(shiftleft(1L, {bit.format('key')}))").alias("w"))
+    probed = [lambda k, i=i: f"xxhash64({k}, {i})" if i else k for i in range(probes)]
+    every = known.select(F.expr(f"explode(array({', '.join(at('key') for at in probed)}))").alias("key"))
+    words = every.groupBy(F.expr(slot.format("key")).alias("id")).agg(F.expr(f"bit_or(shiftleft(1L, {bit.format('key')}))").alias("w"))
     bits = spark.range(1 << size).join(words, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))).alias("w")).select(F.col("w.w").alias("bits"))
     view = f"known_{uuid.uuid4().hex}"
     bits.createOrReplaceTempView(view)
+    fits = [f"getbit(get((select bits from {view}), cast({slot.format(at(key))} as int)), {bit.format(at(key))}) = 1" for at in probed]
     try:
-        return rows.where(f"getbit(get((select bits from {view}), cast({slot.format(key)} as int)), {bit.format(key)}) = 1")
+        return rows.where(f"({' and '.join(fits)}) or {also}")
     finally:
         spark.catalog.dropTempView(view)
 
@@ -192,8 +217,8 @@ def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, k
 
     words replaces the guard's values. A line gives a key for each run of as many tokens as some term has; keys meet
     the terms in a join, so that the work follows the tokens of the lines and the true matches, however many terms begin
-    alike. With few first tokens of terms, lines without any of them and runs that begin otherwise are dropped within the
-    scan; else a bit of its key tells that a run is none of them. Of a term's occurrences that overlap each other those count that a search from
+    alike. Lines without any first token of a term are dropped within the scan: with few first tokens they are sought, and
+    runs that begin otherwise are dropped; with many, bits tell which lines may have one, and which runs may be terms. Of a term's occurrences that overlap each other those count that a search from
     left to right finds, each beginning where the last one ended. file, line_num and part tell lines apart.
     """
     rows, spark = keyed(rows), rows.sparkSession
@@ -216,11 +241,14 @@ def found_lines(rows: DataFrame, guard: Guard, words: DataFrame | None = None, k
         parts.append(_many_pattern_hits(numbered))
     hits = lambda xs: f"concat({', '.join(xs)})" if xs else f"cast(array() as array<{_HIT}>)"
     some = rows
-    if small and not bare and inline == numbered:  # a cheap look at each line first
-        looks = [f"lower(line) rlike {quoted(p)}" for _, p, _ in inline]
-        if firsts:
-            looks.append(f"arrays_overlap(split(lower(line), {quoted(GAP + '+')}, -1), array({', '.join(map(quoted, firsts))})) or length(line) <> length(lower(line))")
-        some = rows.where(" or ".join(looks) or "false")
+    if not bare and inline == numbered:  # a cheap look at each line first
+        look = _look([p for _, p, _ in inline], firsts or [])
+        if small:
+            some = rows.where(look)
+        elif ks:  # keys of runs are made in lines that may have a first token of some term
+            token = rows.select(*KEY, F.explode(F.split("line", GAP + "+", -1)).alias("w")).withColumn("first", F.expr("xxhash64(lower(w))"))
+            near = written(_perhaps(token, "first", every.where("k > 0").select(F.xxhash64("first").alias("key")).distinct(), n, 3).select(F.xxhash64(*KEY).alias("key")).distinct(), "near")
+            some = _perhaps(rows.withColumn("id", F.xxhash64(*KEY)), "id", near, near.count(), also=look).drop("id")
 
     def merged_rows(hits: DataFrame, *also: Column) -> DataFrame:
         """The matches of each line, less the ignored (a row that is none of them still brings its line)."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.text import path_guarded, word_hash
 from cloakframe.operators.instructions import SCHEMA, decided, skipped_rows, typed
-from cloakframe.operators.matching import KEY, Guard, find, lines, tokens, value_frames
+from cloakframe.operators.matching import Guard, find, lines, tokens, value_frames
 from cloakframe.plans import masking
 from cloakframe.plans.runner import Csv, FolderRun, mask_files
 from cloakframe.plans.tables import TableConfig, dictionary_candidates, mask_table
@@ -275,12 +275,17 @@ def restore_roundtrip(spark, sf_dir):
     """
     guard = Guard(GUARD.values | {"trash": "moron"}, GUARD.patterns, GUARD.ignore_values, GUARD.ignore_patterns)
     told = typed(spark.createDataFrame(INSTRUCTIONS[:3], SCHEMA))
-    first = masking.run(_lines(spark, sf_dir), guard, told)
-    back = masking.run(first.lines.select("file", "line_num", F.col("masked").alias("line")), Guard({}, {}), first.restore, restore=True)
-    # a line that neither run changed comes back as it was
-    both = first.changed.join(back.changed.select(*KEY, F.col("line").alias("seen"), F.col("masked").alias("restored")), KEY, "full_outer")
-    both = both.select("file", "line_num", F.coalesce("line", "seen").alias("line"), F.coalesce("restored", "masked").alias("restored"))
-    return both.where("restored <> line").select("file", "line_num", "line", F.lit("moron").alias("also"))
+    rows = _lines(spark, sf_dir)
+    first = masking.run(rows, guard, told)
+    # lines as they are (part 0) and what masking made of those that it changed (1): no line meets the changed ones before it
+    # was searched, and what restoring makes of a line that masking changed counts no more
+    changed = first.changed.select("file", "line_num", "line", "masked")
+    both = rows.select("file", "line_num", F.lit(0).alias("part"), "line").unionAll(changed.select("file", "line_num", F.lit(1).alias("part"), F.col("masked").alias("line")))
+    back = masking.run(both, Guard({}, {}), first.restore, restore=True).changed.select("file", "line_num", "part", "line", F.col("masked").alias("restored"))
+    at = ["file", "line_num"]
+    alone = back.where("part = 0").drop("part").join(changed.select(*at), at, "left_anti")
+    again = changed.join(back.where("part = 1").select(*at, "restored"), at, "left").select(*at, "line", F.coalesce("restored", "masked").alias("restored"))
+    return alone.unionByName(again).where("restored <> line").select(*at, "line", F.lit("moron").alias("also"))
 
 
 _PHRASES = "SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS p FROM benchmark WHERE len(string_split(text, ' ')) > 2"

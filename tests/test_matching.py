@@ -11,6 +11,7 @@ from cloakframe.functions.literals import required_literal
 from cloakframe.operators import matching
 from cloakframe.operators.instructions import SCHEMA, decided, typed
 from cloakframe.operators.matching import Guard, find
+from cloakframe.plans.queries import QUERIES
 from tests.test_masking import rows
 
 
@@ -130,9 +131,48 @@ def test_tokens_and_lines_without_terms_do_not_travel(spark, monkeypatch):
     assert shuffled(spark) - before < sum(map(len, lines)) / 4
 
 
+def test_patterns_are_tried_where_their_literal_stands(spark):
+    began = time.time()
+    got = find(rows(spark, "x" * 400_000, "Ask me@acme.org now", "no at"), Guard({}, {r"\w[\w.-]+@\w+(\.\w+)+": "u"})).collect()
+    assert [(x.line_num, x.word_lc) for x in got] == [(2, "me@acme.org")] and time.time() - began < 60  # as many steps as pairs of letters before
+
+
+def test_runs_of_tokens_are_made_in_lines_that_may_have_a_first_token(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SMALL", 0)
+    made = matching._token_hits
+    monkeypatch.setattr(matching, "_token_hits", lambda ks, firsts: made(ks, firsts).replace("lower(x.word)", "if(lower(x.word) = 'w7', raise_error('a run of tokens is made'), lower(x.word))"))
+    lines = [" ".join(f"{c}{i}" for i in range(300)) for c in "vwxyz"] + ["ΑΣ.α, İ zebra, Zebra  12 u12@mail.local u12@mail", "CROSS zebra u12"]
+    guard = Guard(dict.fromkeys(["zebra", "zebra  12", "u12@mail.local", "ας", "none such"], ""), {r"u\d+@\w+$": ""})
+    got = sorted((x.line_num, x.word_lc) for x in find(rows(spark, *lines), guard).collect())
+    assert got == [(6, "u12@mail"), (6, "u12@mail.local"), (6, "zebra"), (6, "zebra"), (6, "zebra  12"), (6, "ας"), (7, "zebra")]
+
+
+@pytest.mark.parametrize("small", [matching.SMALL, 8])
+def test_a_round_trip_moves_changed_lines_only(spark, monkeypatch, tmp_path, small):
+    monkeypatch.setattr(matching, "SMALL", small)  # 8: few terms mask, many restore
+    r = random.Random(8)
+    lines = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)) for _ in range(1000)]
+    for i in range(0, 1000, 50):
+        lines[i] += f" trash m{i}@x.org 10.2.3.{i % 256} idiot, cc by-nc" + " Moron" * (i % 100 == 0)
+    lines[7], lines[9], lines[11] = lines[7] + " moron", lines[9] + " MORON!", lines[11] + " moron1"
+    docs = [(i, "\r\n".join(lines[i : i + 10])) for i in range(0, 1000, 10)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    before, join = shuffled(spark), "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(join)
+    spark.conf.set(join, "-1")  # as with large tables: the changed lines are not sent to every task
+    try:
+        got = QUERIES["restore_roundtrip"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(join, was)
+    time.sleep(1)
+    want = sorted((str(i // 10 * 10), i % 10 + 1, x, "moron") for i, x in enumerate(lines) if re.search(r"\bmoron\b", x.lower()))
+    assert sorted(map(tuple, got)) == want and len(want) == 12
+    assert shuffled(spark) - before < sum(map(len, lines)) / 2
+
+
 @pytest.mark.parametrize("pattern, literal", [
     (r"acme\d+", "acme"), (r"\w[\w.-]+@\w+(\.\w+)+", None), (r"ab|cdef", None), (r"abc?def", "def"), (r"abc+def", "abc"), (r"x(abcd)yzw", "yzw"), (r"a\.b\.c", "a.b.c"), (r"[abc]{3}hello{2}", "hell"),
-    (r"(?i)abcd", None), (r"\Qabcd\E", None), (r"abcdAxyz", "abcdAxyz"), (r"^start.end$", "start"), (r"abcd{0,2}ef", "abc"), (r"", None), (r"[^]a]bcd[[x]y]efgh", "efgh"),
+    (r"(?i)abcd", None), (r"\Qabcd\E", None), (r"abcdAxyz", "abcdAxyz"), (r"^start.end$", "start"), (r"abcd{0,2}ef", "abc"), (r"", None), (r"[^]a]bcd[[x]y]efgh", "efgh"), (r"(?si)abcd", None),
 ])
 def test_required_literals(pattern, literal):
     assert required_literal(pattern) == literal
